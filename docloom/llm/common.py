@@ -135,18 +135,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, its text's index, first word of each text and the end).
+def words_of(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hash of each word, its text's index, first word of each text and the end, hash of each prefix).
 
     Words are the runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased.
-    A word's hash is a polynomial in its bytes modulo 2**64, mixed.
+    A word's hash is a polynomial in its bytes modulo 2**64, mixed. For each of
+    `prefixes` follow the hashes of the words' first so many bytes, 0 where a
+    word is no longer than that.
     """
     joined = b"\n".join(texts).translate(LOWER)
     buf = np.frombuffer(joined, np.uint8)
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     ends_of_text = np.cumsum(sizes)
     if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), *(np.zeros(0, np.uint64) for _ in prefixes))
     inside = ~_SPACE[buf]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
@@ -154,9 +156,13 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[buf] * power[: len(buf)], dtype=np.uint64)))
         hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        parts = []
+        for n in prefixes:
+            stop = np.minimum(starts + n, ends)
+            parts.append(np.where(stop < ends, mix((sums[stop] - sums[starts]) * inverse[starts] + np.uint64(n << 32)), np.uint64(0)))
     owner = np.searchsorted(ends_of_text, starts, side="right")
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
-    return hashes, owner, first
+    return hashes, owner, first, *parts
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, packing, sharding, tokencounts
+from docloom.llm import bpe, linededup, packing, sharding, tokencounts, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(read(spark, sf_dir, "documents"))
     return placed.select(
@@ -29,14 +33,23 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = toxicity.train(documents, read(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(documents, model, ["doc_id"])
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    predicted = (F.col("toxicity") >= 0.7).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = tokencounts.token_lengths(read(spark, sf_dir, "documents"))
     return tokencounts.limit_table(tokencounts.length_histogram(lengths))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_bpe, op7_sharding, op10_token_counts)}
+    return {f.__name__: f for f in (op2_packing, op4_bpe, op5_line_dedup, op7_sharding, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": linededup.ORACLE}
