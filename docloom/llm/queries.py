@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, linededup, packing, sharding, tokencounts, toxicity
+from docloom.llm import bpe, crosspolytope, linededup, mtree, packing, sharding, tokencounts, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return mtree.top_k(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
 
@@ -33,6 +38,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return crosspolytope.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     model = toxicity.train(documents, read(spark, sf_dir, "labels"))
@@ -48,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_bpe, op5_line_dedup, op7_sharding, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op2_packing, op3_top_k, op4_bpe, op5_line_dedup, op7_sharding, op8_nearest, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
