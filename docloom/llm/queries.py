@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, crosspolytope, linededup, mtree, packing, sharding, tokencounts, toxicity
+from docloom.llm import bpe, crosspolytope, linededup, minhash, mtree, packing, sharding, tokencounts, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_top_k, op4_bpe, op5_line_dedup, op7_sharding, op8_nearest, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_packing, op3_top_k, op4_bpe, op5_line_dedup, op7_sharding, op8_nearest, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
