@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, mix, prepare, shingle_sets, sub_batches, utf8
+from docloom.llm.common import Scratch, filter_place, id_filter, in_filter, mix, prepare, shingle_sets, sub_batches, utf8
 from docloom.llm.components import components
 
 COORDINATES, TREES, CHOICES, DEPTH = 64, 4, 2, 6
@@ -35,8 +35,6 @@ COORDINATES, TREES, CHOICES, DEPTH = 64, 4, 2, 6
 SMALL, PIVOTS = 128, 16
 #: Equal coordinates that make a candidate (a pair at 0.8 has fewer once in 10^6), and that make two sets alike.
 CANDIDATE, ALIKE = 35, 45
-#: Bits of the fixed-size filter for the documents whose sets are built again.
-FILTER_BITS = 23
 SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, minwise array<int>, bytes binary"
 
 _RNG = np.random.default_rng(90210)
@@ -220,19 +218,12 @@ def chosen_paths(sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataF
 
 def shingles_again(docs: DataFrame, wanted: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
     """id and set (sorted 64-bit hashes) of the wanted documents, with some others that a fixed-size filter lets through."""
-    spark = docs.sparkSession
-    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS)
-    words = wanted.select(place.alias("p")).groupBy((F.col("p") / 32).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("bits"))
-    bitmap = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    got = words.toPandas()  # at most 2**(FILTER_BITS - 5) rows, whatever the corpus
-    bitmap[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = id_filter(wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            p = batch.column(2).to_numpy()
-            batch = batch.take(pa.array(np.flatnonzero(bits[p >> 5] >> (p & 31).astype(np.uint32) & 1)))
+            batch = batch.take(pa.array(in_filter(bits, batch.column(2).to_numpy())))
             texts = utf8(batch.column(1))
             for a, b in sub_batches(np.array([len(t) for t in texts])):
                 grams, first = shingle_sets(texts[a:b], width)
@@ -240,7 +231,7 @@ def shingles_again(docs: DataFrame, wanted: DataFrame, width: int, scratch: Scra
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "set"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    return scratch.table(rows.select("id", "text", place.alias("p")).mapInArrow(run, "id long, set binary").join(wanted, "id", "left_semi"), name)
+    return scratch.table(rows.select("id", "text", filter_place("id").alias("p")).mapInArrow(run, "id long, set binary").join(wanted, "id", "left_semi"), name)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, crosspolytope, linededup, minhash, mtree, packing, sharding, tokencounts, toxicity
+from docloom.llm import bpe, crosspolytope, kneserney, linededup, minhash, mtree, packing, sharding, tokencounts, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = kneserney.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "perplexity", "threshold", "rejected")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(read(spark, sf_dir, "documents"))
     return placed.select(
@@ -62,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_packing, op3_top_k, op4_bpe, op5_line_dedup, op7_sharding, op8_nearest, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_packing, op3_top_k, op4_bpe, op5_line_dedup, op6_quality, op7_sharding, op8_nearest, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
