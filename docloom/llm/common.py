@@ -110,10 +110,15 @@ def filter_place(c: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS)
 
 
+def filter_words(ids: DataFrame, column: str) -> DataFrame:
+    """w and bits: the filter as a table of 32-bit words, at most 2**(FILTER_BITS - 5) rows whatever the corpus."""
+    words = ids.select(filter_place(column).alias("p")).groupBy((F.col("p") / 32).cast("long").alias("w"))
+    return words.agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("bits"))
+
+
 def id_filter(ids: DataFrame, column: str):
     """A broadcast bitmap that holds every id of `ids`, and others by chance: it spares a shuffle most of what a join drops."""
-    words = ids.select(filter_place(column).alias("p")).groupBy((F.col("p") / 32).cast("long").alias("w"))
-    got = words.agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("bits")).toPandas()  # at most 2**(FILTER_BITS - 5) rows, whatever the corpus
+    got = filter_words(ids, column).toPandas()
     bitmap = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     bitmap[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
     return ids.sparkSession.sparkContext.broadcast(bitmap)
@@ -123,6 +128,24 @@ def in_filter(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[places >> 5] >> (places & 31).astype(np.uint32) & 1)
 
 
+def split_by_filter(docs: DataFrame, ids: DataFrame, key: Column, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is certainly not in `ids`, the other rows), both as `docs`; nothing is shuffled."""
+    words = filter_words(ids, column).select(F.col("w").alias("_w"), "bits")
+    rows = docs.withColumn("_k", key).withColumn("_p", filter_place("_k")).withColumn("_w", (F.col("_p") / 32).cast("long"))
+    rows = rows.join(F.broadcast(words), "_w", "left")  # at most 2**(FILTER_BITS - 5) rows
+    hit = F.coalesce(F.expr("shiftright(bits, cast(_p % 32 as int)) & 1L"), F.lit(0)) == 1
+    return rows.where(~hit).select(*docs.columns), rows.where(hit).select(*docs.columns)
+
+
+def without_rows(docs: DataFrame, bad: DataFrame, **keys: Column) -> DataFrame:
+    """`docs` without the rows whose keys are a row of `bad` (columns named like `keys`, not null); only suspects are shuffled."""
+    names = list(keys)
+    bad = bad.select(*names).distinct()
+    clear, suspects = split_by_filter(docs, bad.select(F.xxhash64(*names).alias("k")), F.xxhash64(*keys.values()), "k")
+    marked = suspects.withColumns(keys).join(bad, names, "left_anti")
+    return clear.unionByName(marked.select(*docs.columns))
+
+
 # ------------------------------------------------------------------ hashing
 
 _RNG = np.random.default_rng(20240607)

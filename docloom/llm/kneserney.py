@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, filter_place, id_filter, in_filter, prepare, sub_batches, utf8
+from docloom.llm.common import Scratch, filter_place, id_filter, in_filter, prepare, sub_batches, utf8, without_rows
 
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
@@ -286,6 +286,6 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> DataFram
 
 def good_documents(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> DataFrame:
     """The rows of `docs` that the model does not reject, unchanged."""
-    bad = quality(docs, labels, q).where("rejected").select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text"))
-    return docs.join(bad, same, "left_anti")
+    least = F.lit(-(2**63)).cast("long")
+    bad = quality(docs, labels, q).where("rejected").select(F.coalesce("doc_id", least).alias("_doc"), F.col("text_id").alias("_text"))
+    return without_rows(docs, bad, _doc=F.coalesce(F.col("doc_id").cast("long"), least), _text=F.xxhash64("text"))

@@ -212,17 +212,27 @@ def score_documents(docs: DataFrame, model: Model, columns: list[str]) -> DataFr
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # a fixed number of rows, whatever the corpus
-    source = docs.select(F.col("text").alias("_scored"), *columns)
+    source = docs.select(*columns) if "text" in columns else docs.select(*columns, F.col("text").alias("_scored"))
+    at = columns.index("text") if "text" in columns else len(columns)
     schema = docs.select(*columns, F.lit(0.0).cast("double").alias("toxicity")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = pa.array(shared.value.score(utf8(batch.column(0))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], score], [*columns, "toxicity"])
+            score = pa.array(shared.value.score(utf8(batch.column(at))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], score], [*columns, "toxicity"])
 
     return source.mapInArrow(run, schema)
 
 
+def harmless_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang) below their language's threshold, unchanged."""
+    model = train(docs, labels)
+    names = docs.columns
+    kept = docs.select(*[F.col(c).alias(f"c{i}") if c == "toxicity" else F.col(c) for i, c in enumerate(names)])
+    scored = score_documents(kept, model, kept.columns).where(~rejected(model))
+    return scored.select(*[F.col(c).alias(n) for c, n in zip(kept.columns, names, strict=True)])
+
+
 def rejected(model: Model):
     """The column that says whether a scored document goes: its language's threshold decides."""
     cut = F.lit(float(model.threshold))
