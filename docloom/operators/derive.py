@@ -39,8 +39,8 @@ def abstract_pairs(sections: DataFrame) -> DataFrame:
 
 def embedding_payloads(sections: DataFrame, documents: DataFrame) -> DataFrame:
     """Every embedding-ready block with its place and its document's title, author and type (documents: from enrich.metadata)."""
-    about = documents.select("doc_id", F.col("title").alias("document_title"), "author", "language")
-    return sections.where("embedding_ready").join(about, "doc_id", "left").select("doc_id", "chunk_id", "text_plain", "type", "structure_path", "section_role", "language", "page_number", "token_count_est", "document_title", "author")
+    about = documents.select("doc_id", F.col("title").alias("document_title"), "author", F.col("language").alias("document_language"))
+    return sections.where("embedding_ready").join(about, "doc_id", "left").select("doc_id", "chunk_id", "text_plain", "type", "structure_path", "section_role", "document_language", "page_number", "token_count_est", "document_title", "author")
 
 
 def table_texts(sections: DataFrame) -> DataFrame:
