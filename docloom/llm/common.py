@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import tempfile
 import uuid
@@ -68,6 +69,12 @@ class Scratch:
                 delete_path(self.spark, f"{self.root}/{n}")
                 self.kept.discard(n)
 
+    def release(self, *names: str) -> None:
+        """Drop, and let Spark remove the shuffle files of plans that nothing refers to any more."""
+        self.drop(*names)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         try:
             delete_path(self.spark, self.root)

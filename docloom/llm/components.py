@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch
 
-PART_LINKS = 200_000
+#: Links that one task contracts at a time: a bound on its memory, whatever the input.
+PART_LINKS = 1_000_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,9 +42,9 @@ def contract(links: DataFrame) -> DataFrame:
         for batch in batches:
             a = np.concatenate((a, batch.column(0).to_numpy()))
             b = np.concatenate((b, batch.column(1).to_numpy()))
-            if len(a) > PART_LINKS:
+            if len(a) > 2 * PART_LINKS:
                 a, b = forest(a, b)
-                if len(a) > PART_LINKS // 2:
+                if len(a) > PART_LINKS:
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
                     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         a, b = forest(a, b)
@@ -53,9 +54,16 @@ def contract(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """id and label, the smallest id reachable, of every node of a link (a, b)."""
-    links = contract(contract(links.where("a <> b")).repartition("b"))
-    both = scratch.table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
+    """id and label, the smallest id reachable, of the nodes of links (a, b) that are not the smallest themselves.
+
+    Partitions contract what they hold to stars; while more links are left than
+    one task may hold, hooking and pointer jumping go on over the cluster.
+    """
+    links = scratch.table(contract(links.where("a <> b").select("a", "b")), f"{name}-links")
+    n = links.count()
+    if n <= PART_LINKS:
+        return scratch.table(contract(links.coalesce(1)).select(F.col("a").alias("id"), F.col("b").alias("label")), name)
+    both = scratch.table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-both")
     labels = scratch.table(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("label")), f"{name}-0")
     turn = 0
     while True:
@@ -69,5 +77,5 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         scratch.drop(f"{name}-{turn - 1}")
         labels = new.select("id", "label")
         if not changed:
-            scratch.drop(f"{name}-links")
-            return labels
+            scratch.drop(f"{name}-both", f"{name}-links")
+            return labels.where("id <> label")

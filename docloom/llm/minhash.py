@@ -1,16 +1,19 @@
 """Operator 1: near-duplicate components by a chosen-path set similarity join.
 
-Each distinct shingle set has 64 minwise hashes. In every one of a few
-independent trees the sets are dealt to nodes: a node chooses two of the 64
-coordinates by its own path, and a set goes to the child named by its minwise
-token at each of them. Two sets of Jaccard similarity s share a child with
-probability 1 - (1 - s)^2 a level, so a tree of the depth that is met here
-finds a pair at 0.8 with probability about 0.94, and four trees all but one in
-10^5. Small nodes are compared exhaustively; large ones are compared with a few
-pivots and branch on. A large node that hardly branches, because most of its
-sets are alike, ends there: when its pivots have linked most of its sets into
-one component, each set outside that component is compared with all of the
-node, so no link to an outsider is lost and none within is repeated.
+Each distinct shingle set has minwise hashes. In every one of a few independent
+trees the sets are dealt to nodes: a node chooses coordinates by its own path,
+and a set goes to the children named by its minwise tokens there. The root's
+children take one coordinate each, those of deeper nodes two, so that a level
+does the work of two. Two sets of Jaccard similarity 0.8 share a root's child
+with probability 0.96 and a deeper one's with 0.98; with four trees a pair is
+missed about once in 10^5.
+
+Small nodes are compared exhaustively; in a large one every set is compared with
+a few pivots, and the node branches on. A large node most of whose sets are like
+a pivot would hardly get smaller. It ends: once its sets are linked as far as
+other comparisons do it, each set outside the node's largest component is
+compared, on full sets, with all of the node. So no link to an outsider is lost,
+and none within the component is sought again.
 
 Comparisons use one byte for each coordinate. What they find are candidates;
 every link is confirmed on the full sets. Candidates between sets that are
@@ -30,11 +33,13 @@ from pyspark.sql import functions as F
 from docloom.llm.common import Scratch, filter_place, id_filter, in_filter, mix, prepare, shingle_sets, sub_batches, utf8
 from docloom.llm.components import components
 
-COORDINATES, TREES, CHOICES, DEPTH = 64, 4, 2, 6
+#: Coordinates that are compared, and how many of them name paths.
+COORDINATES, PATHS = 128, 32
+TREES, ROOT_CHOICES, CHOICES, DEPTH = 4, 2, 4, 4
 #: Sets in a node that is compared exhaustively, at most; pivots of a larger one.
 SMALL, PIVOTS = 128, 16
-#: Equal coordinates that make a candidate (a pair at 0.8 has fewer once in 10^6), and that make two sets alike.
-CANDIDATE, ALIKE = 35, 45
+#: Equal coordinates that make a candidate (a pair at 0.8 has fewer once in 10^6), that need no doubt, and that make two sets alike.
+CANDIDATE, SURE, ALIKE = 81, 122, 90
 SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, minwise array<int>, bytes binary"
 
 _RNG = np.random.default_rng(90210)
@@ -68,8 +73,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     with np.errstate(over="ignore"):
                         for row, salt in enumerate((0x51ED270B, 0xA0761D64)):
                             names[row, full] = np.add.reduceat(mix(grams + np.uint64(salt)), first[full])
-                flat = pa.array(hashes.view(np.int32).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * COORDINATES), flat)
+                flat = pa.array(np.ascontiguousarray(hashes[:, :PATHS]).view(np.int32).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * PATHS), flat)
                 low = (hashes ^ (hashes >> 8) ^ (hashes >> 16) ^ (hashes >> 24)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), lists, pa.array([r.tobytes() for r in low], pa.binary())],
@@ -88,17 +93,24 @@ def equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates_of(ids: np.ndarray, rows: np.ndarray, sizes: np.ndarray, other: tuple | None, percent: int) -> tuple[np.ndarray, ...]:
-    """(a, b, agreeing coordinates) of candidate pairs within a node, or between it and another one."""
-    ids2, rows2, sizes2 = other or (ids, rows, sizes)
-    same = equal_bytes(rows, rows2)
-    fits = np.minimum(sizes[:, None], sizes2) * 100 >= percent * np.maximum(sizes[:, None], sizes2)
-    hit = (same >= CANDIDATE) & fits & (ids[:, None] != ids2)
-    if other is None:
-        hit &= np.triu(np.ones(hit.shape, bool), 1)
-    i, j = np.nonzero(hit)
-    a, b = ids[i], ids2[j]
-    return np.minimum(a, b), np.maximum(a, b), same[i, j]
+def candidates_of(ids: np.ndarray, rows: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """(a, b, agreeing coordinates) of a node's candidate pairs: a spanning forest of the sure ones, and all others between its trees."""
+    same = equal_bytes(rows, rows)
+    fits = np.minimum(sizes[:, None], sizes) * 100 >= percent * np.maximum(sizes[:, None], sizes)
+    i, j = np.nonzero(np.triu((same >= CANDIDATE) & fits, 1))
+    score = same[i, j]
+    order = np.lexsort((j, i, -score))
+    i, j, score = i[order], j[order], score[order]
+    tree = np.arange(len(ids))
+    keep = np.ones(len(i), bool)
+    for k in range(int((score >= SURE).sum())):
+        x, y = tree[i[k]], tree[j[k]]
+        keep[k] = x != y
+        if x != y:
+            tree[tree == max(x, y)] = min(x, y)
+    keep &= (score >= SURE) | (tree[i] != tree[j])
+    a, b = ids[i[keep]], ids[j[keep]]
+    return np.minimum(a, b), np.maximum(a, b), score[keep]
 
 
 def _arrays(row_ids: pa.Array, row_bytes: pa.Array, row_sizes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,40 +126,38 @@ def _pairs(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 
 
 def compare_nodes(blocks: DataFrame, percent: int) -> DataFrame:
-    """Candidates within each row's sets: columns id, bytes, n as lists; with id2, bytes2, n2 between the two."""
-    two = "id2" in blocks.columns
-    names = ["id", "bytes", "n"] + (["id2", "bytes2", "n2"] if two else [])
+    """Candidates within each row's sets: columns id, bytes, n as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for i in range(batch.num_rows):
-                sides = [_arrays(*(batch.column(c)[i].values for c in range(s, s + 3))) for s in ((0, 3) if two else (0,))]
-                found.append(candidates_of(*sides[0], sides[1] if two else None, percent))
+                found.append(candidates_of(*_arrays(*(batch.column(c)[i].values for c in range(3))), percent))
                 if sum(len(f[0]) for f in found) > 100_000:
                     yield _pairs(found)
                     found = []
             if found:
                 yield _pairs(found)
 
-    return blocks.select(*names).mapInArrow(run, PAIRS)
+    return blocks.select("id", "bytes", "n").mapInArrow(run, PAIRS)
 
 
-def compare_pivots(rows: DataFrame, percent: int) -> DataFrame:
-    """node, id, the most coordinates shared with a pivot, and the candidates among the pivots (p_id, p_bytes, p_n as lists)."""
+def compare_pivots(blocks: DataFrame) -> DataFrame:
+    """node, id, and the pivot that shares the most coordinates with it: a, b, same (columns node, id, bytes, n and p_id, p_bytes as lists)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, lists = [], []
             for i in range(batch.num_rows):
-                own = (np.array([batch.column(1)[i].as_py()]), np.frombuffer(batch.column(2)[i].as_py(), np.uint8)[None], np.array([batch.column(3)[i].as_py()]))
-                pivots = _arrays(*(batch.column(c)[i].values for c in (4, 5, 6)))
-                best.append(int(equal_bytes(own[1], pivots[1]).max()))
-                lists.append([{"a": int(a), "b": int(b), "same": int(s)} for a, b, s in zip(*candidates_of(*own, pivots, percent), strict=True)])
-            found = pa.array(lists, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("same", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.int32()), found], ["node", "id", "best", "pairs"])
+                ids, rows, _ = _arrays(*(batch.column(c)[i].values for c in (1, 2, 3)))
+                p_ids, p_rows, _ = _arrays(*(batch.column(c)[i].values for c in (4, 5, 6)))
+                same = equal_bytes(rows, p_rows)
+                same[ids[:, None] == p_ids] = -1
+                best = same.argmax(1)
+                p = p_ids[best]
+                node = pa.array(np.full(len(ids), batch.column(0)[i].as_py()))
+                yield pa.RecordBatch.from_arrays([node, pa.array(ids), pa.array(np.minimum(ids, p)), pa.array(np.maximum(ids, p)), pa.array(same[np.arange(len(ids)), best].astype(np.int32))], ["node", "id", "a", "b", "same"])
 
-    return rows.select("node", "id", "bytes", "n", "p_id", "p_bytes", "p_n").mapInArrow(run, f"node long, id long, best int, pairs array<struct<a:long,b:long,same:int>>")
+    return blocks.select("node", "id", "bytes", "n", "p_id", "p_bytes", "p_n").mapInArrow(run, "node long, id long, a long, b long, same int")
 
 
 def packed(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -160,60 +170,50 @@ def salt(c: str, blocks) -> F.Column:
 
 
 def branch(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Children of the placed sets (node, id): the node's path chooses the coordinates."""
-    at = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(CHOICES - 1))))
-    start, step = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(COORDINATES)), F.pmod(F.xxhash64("node", F.lit(2)), F.lit(COORDINATES - 1)) + 1
-    at = at.withColumn("c", F.pmod(start + F.col("j") * step, F.lit(COORDINATES)).cast("int"))
-    token = F.element_at("minwise", F.col("c") + 1)
-    return at.join(sets.select("id", "minwise"), "id").select(F.xxhash64("node", "c", token).alias("node"), "id")
+    """Children of the placed sets (node, id): the node's path chooses two coordinates for each."""
+    at = placed.join(sets.select("id", "minwise"), "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(CHOICES - 1))))
+    pick = [F.pmod(F.xxhash64("node", F.lit(s), F.col("j")), F.lit(PATHS)).cast("int") for s in (1, 2)]
+    tokens = [F.element_at("minwise", c + 1) for c in pick]
+    return at.select(F.xxhash64("node", *pick, *tokens).alias("node"), "id")
 
 
 def chosen_paths(sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
     """(candidates a, b, same; the large nodes that ended: node, id)."""
-    roots = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(t * CHOICES + j).alias("c")) for t in range(TREES) for j in range(CHOICES)]))
-    # the root chooses like every node; its trees take coordinates of their own
-    nodes = sets.select("id", "minwise", roots.alias("r")).select(F.xxhash64("r.t", "r.c", F.element_at("minwise", F.col("r.c") + 1)).alias("node"), "id")
+    roots = F.explode(F.array(*[F.lit(k) for k in range(TREES * ROOT_CHOICES)]))
+    # the trees' roots take coordinates of their own
+    nodes = sets.select("id", "minwise", roots.alias("c")).select(F.xxhash64("c", F.element_at("minwise", F.col("c") + 1)).alias("node"), "id")
     found, ended = [], []
     for depth in range(1, DEPTH + 1):
-        nodes = scratch.table(nodes, f"nodes{depth}")
         counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        counts = scratch.table(counts, f"sizes{depth}")
-        held = nodes.join(counts, "node").join(sets.select("id", "bytes", "n"), "id")
-        held = scratch.table(held, f"held{depth}")
-        found.append(compare_nodes(packed(held.where(F.col("size") <= SMALL), ["node"]), percent))
-        if counts.where(F.col("size") > SMALL).isEmpty():
-            break
+        held = scratch.table(nodes.join(counts, "node").join(sets.select("id", "bytes", "n"), "id"), f"held{depth}")
+        found.append(scratch.table(compare_nodes(packed(held.where(F.col("size") <= SMALL), ["node"]), percent), f"small{depth}"))
         large = held.where(F.col("size") > SMALL)
-        # the pivots: about PIVOTS sets of each node, by hash
+        if large.isEmpty():
+            break
+        # the pivots: about PIVOTS sets of each node, by hash; a node of any size is dealt over the cluster in blocks
         pick = F.pmod(F.xxhash64(F.lit(3), "node", "id"), F.col("size")) < PIVOTS
-        pivots = packed(large.where(pick), ["node"]).select("node", *[F.col(c).alias(f"p_{c}") for c in ("id", "bytes", "n")])
-        # a node of any size is dealt over the cluster: its pivots go to each of its blocks
         blocks = F.ceil(F.col("size") / 1024).cast("int")
-        spread = large.withColumn("block", salt("id", blocks))
-        pivots = counts.where(F.col("size") > SMALL).join(pivots, "node").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("size")
-        compared = scratch.table(compare_pivots(spread.join(pivots, ["node", "block"]), percent), f"pivots{depth}")
-        found.append(compared.select(F.explode("pairs").alias("p")).select("p.*"))
-        alike = compared.groupBy("node").agg((F.avg((F.col("best") >= ALIKE).cast("int")) >= 0.8).alias("ends"))
-        if depth == DEPTH:
-            alike = alike.withColumn("ends", F.lit(True))
-        alike = scratch.table(alike, f"alike{depth}")
-        going = compared.select("node", "id").join(alike, "node")
-        ended.append(going.where("ends").select("node", "id"))
-        # sets without a pivot in their block compare with none, and only branch on
-        rest = large.select("node", "id").join(alike.where("ends"), "node", "left_anti")
-        if alike.where("NOT ends").isEmpty() or depth == DEPTH:
+        pivots = packed(large.where(pick), ["node", "size"]).select("node", *[F.col(c).alias(f"p_{c}") for c in ("id", "bytes", "n")], F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        spread = packed(large.withColumn("block", salt("id", blocks)), ["node", "block"])
+        near = scratch.table(compare_pivots(spread.join(pivots, ["node", "block"])), f"near{depth}")
+        found.append(near.where(F.col("same") >= CANDIDATE).select("a", "b", "same"))
+        ends = near.groupBy("node").agg(F.avg((F.col("same") >= ALIKE).cast("int")).alias("alike")).where((F.col("alike") >= 0.7) | F.lit(depth == DEPTH)).select("node")
+        ends = scratch.table(ends, f"ends{depth}")
+        ended.append(large.select("node", "id").join(ends, "node", "left_semi"))
+        rest = large.select("node", "id").join(ends, "node", "left_anti")
+        if depth == DEPTH or rest.isEmpty():
             break
         nodes = branch(rest, sets)
-        scratch.drop(f"sizes{depth - 1}", f"nodes{depth - 1}")
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.unionByName(x)
-    pairs = pairs.groupBy("a", "b").agg(F.max("same").alias("same"))
-    none = sets.select(F.col("id").alias("node"), "id").limit(0)
-    last = ended[0] if ended else none
+    pairs = scratch.table(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "candidates")
+    last = ended[0] if ended else sets.select(F.col("id").alias("node"), "id").limit(0)
     for x in ended[1:]:
         last = last.unionByName(x)
-    return scratch.table(pairs, "candidates"), scratch.table(last, "ended")
+    last = scratch.table(last, "ended")
+    scratch.release(*[f"{n}{d}" for n in ("held", "small", "near", "ends") for d in range(1, DEPTH + 1)])
+    return pairs, last
 
 
 def shingles_again(docs: DataFrame, wanted: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
@@ -261,23 +261,59 @@ def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
 
 
-def outsiders(ended: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Candidates between the sets of an ended node that are outside its largest component and all its sets."""
-    rows = ended.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+def overlaps(x: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
+    """How many elements of the sorted set x each of the sets has."""
+    sizes = np.array([len(m) for m in members])
+    if not len(x) or not sizes.sum():
+        return np.zeros(len(members), np.int64)
+    every = np.concatenate(members)
+    hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+    total = np.concatenate(([0], np.cumsum(hit)))
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
+def outside_links(docs: DataFrame, ended: DataFrame, labels: DataFrame, width: int, scratch: Scratch, percent: int) -> DataFrame:
+    """Links between the sets of an ended node that are outside its largest component and any of its sets, on full sets.
+
+    Of the links of one set with one component within a block, one is enough.
+    """
+    rows = ended.distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rows = scratch.table(rows, "placed")
     sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("size"))
-    rows = rows.join(main, "node").join(sets.select("id", "bytes", "n"), "id")
-    out = scratch.table(rows.where("label <> main"), "outside")
-    if out.isEmpty():
-        return out.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("same"))
-    counts = out.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(SMALL)).cast("int").alias("parts"), F.first("size").alias("size"))
-    blocks = F.ceil(F.col("size") / 1024).cast("int")
-    left = packed(out.join(counts.select("node", "parts"), "node").withColumn("part", salt("id", F.col("parts"))), ["node", "part"])
-    left = left.join(counts.select("node", blocks.alias("blocks")), "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = packed(rows.join(counts.select("node"), "node", "left_semi").withColumn("block", salt("id", blocks)), ["node", "block"])
-    right = right.select("node", "block", F.col("id").alias("id2"), F.col("bytes").alias("bytes2"), F.col("n").alias("n2"))
-    pairs = compare_nodes(left.join(right, ["node", "block"]), percent)
-    return scratch.table(crossing(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), labels), "outside-pairs")
+    main = sizes.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("size"), (F.sum("k") - F.max("k")).alias("outside"))
+    main = scratch.table(main.where("outside > 0"), "main")
+    none = rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    if main.isEmpty():
+        return none
+    rows = rows.join(main, "node")
+    sets = shingles_again(docs, rows.select("id").distinct(), width, scratch, "outside-sets")
+    rows = rows.join(sets, "id")
+    # blocks of 32 outsiders meet blocks of 256 sets of their node
+    left = rows.where("label <> main").withColumn("part", salt("id", F.ceil(F.col("outside") / 32).cast("int"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / 256).cast("int") - 1)))
+    left = left.groupBy("node", "part", "block").agg(F.collect_list(F.struct("id", "label", "set")).alias("x"))
+    right = rows.withColumn("block", salt("id", F.ceil(F.col("size") / 256).cast("int")))
+    right = right.groupBy("node", "block").agg(F.collect_list(F.struct("id", "label", "set")).alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for i in range(batch.num_rows):
+                xs, ys = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                members = [np.frombuffer(y["set"], np.uint64) for y in ys]
+                sizes = np.array([len(m) for m in members])
+                names = np.array([y["label"] for y in ys])
+                for x in xs:
+                    own = np.frombuffer(x["set"], np.uint64)
+                    both = overlaps(own, members)
+                    linked = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (names != x["label"]) & (sizes > 0))
+                    _, once = np.unique(names[linked], return_index=True)
+                    for j in linked[once]:
+                        a.append(min(x["id"], ys[j]["id"]))
+                        b.append(max(x["id"], ys[j]["id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return scratch.table(left.join(right, ["node", "block"]).select("x", "y").mapInArrow(run, "a long, b long").distinct(), "outside-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -301,7 +337,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # equal sets are one set, named by its smallest document
     classes = full.groupBy(*name).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("minwise").alias("minwise"), F.first("bytes").alias("bytes"))
     classes = scratch.table(classes.withColumn("n", F.col("n_shingles").cast("int")), "sets")
+    signed = scratch.table(signed.select("doc_id", *name), "names")
+    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    scratch.release("signatures")
     pairs, ended = chosen_paths(classes, scratch, percent)
+    classes = scratch.table(classes.select(*name, "id", "copies"), "classes")
+    scratch.release("sets")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = shingles_again(docs, wanted, width, scratch, "full-sets")
@@ -310,16 +351,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = scratch.table(confirmed(ends.select("p.a", "p.b").distinct(), sets, percent), "links0")
     labels = components(links, scratch, "labels0")
     more = scratch.table(confirmed(crossing(pairs, labels), sets, percent), "links1")
+    scratch.release("full-sets", "candidates")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links, scratch, "labels1")
     if not ended.isEmpty():
-        last = outsiders(ended.distinct(), labels, classes, scratch, percent)
+        last = outside_links(docs, ended, labels, width, scratch, percent)
         if not last.isEmpty():
-            wanted = last.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            sets = shingles_again(docs, wanted, width, scratch, "outside-sets")
-            more = scratch.table(confirmed(last, sets, percent), "links2")
-            labels = components(links.unionByName(more), scratch, "labels2")
+            labels = components(links.unionByName(last), scratch, "labels2")
+        scratch.release("outside-sets")
 
     named = classes.select(*name, "id", "copies").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     # rows that share a doc_id are one document: the classes it is in meet
