@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, prepare
+from docloom.llm.common import Scratch, prepare, split_by_filter
 
 MIN_WORDS = 10
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -151,16 +151,34 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cuts = runs.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "n_lines")).alias("_cuts"))  # at most two a line of one document
     cuts = scratch.table(cuts, "cuts")
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    rest = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), least).alias("_doc"), F.xxhash64("text").alias("_text_id"))
-    joined = rest.join(cuts.select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text_id"), "_cuts"), ["_doc", "_text_id"], "left")
-    lines = F.split("text", "\n", -1)
-    spans = F.flatten(F.transform("_cuts", lambda c: F.sequence(c["pos"], c["pos"] + c["n_lines"] - 1)))
-    gone = F.array_distinct(spans)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
-    n_lines = F.when(F.length("text") > 0, F.size(lines)).otherwise(0)
-    joined = joined.withColumn("_n", n_lines).withColumn("_gone", F.coalesce(F.size(F.when(F.col("_cuts").isNotNull(), gone)), F.lit(0)))
-    text = F.when(F.col("_cuts").isNotNull(), kept).otherwise(F.col("text"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.col("_n").alias("n_lines"), F.when(F.col("_gone") > 0, F.col("_gone")).otherwise(0).alias("n_deleted"))
+    rows = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), least).alias("_doc"), F.xxhash64("text").alias("_text_id"))
+    # only documents that a filter of fixed size lets through are shuffled to their deletions
+    quiet, touched = split_by_filter(rows, cuts.select(F.xxhash64(*KEY).alias("k")), F.xxhash64("_doc", "_text_id"), "k")
+    n_lines = F.when(F.col("text") != "", F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    quiet = quiet.select(*names, n_lines.cast("int").alias("n_lines"), F.lit(0).alias("n_deleted"))
+    cuts = cuts.select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text_id"), "_cuts")
+    touched = touched.join(cuts, ["_doc", "_text_id"], "left").withColumn("_new", F.arrow_udf(without, "text string, n_lines int, n_deleted int")("text", "_cuts"))
+    touched = touched.select(*[F.col("_new.text").alias(c) if c == "text" else F.col(c) for c in names], F.col("_new.n_lines").alias("n_lines"), F.col("_new.n_deleted").alias("n_deleted"))
+    return quiet.unionByName(touched)
+
+
+def without(text: pa.Array, cuts: pa.Array) -> pa.Array:
+    """The text without its cut runs of lines, how many lines it had, how many went."""
+    texts, n_lines, n_deleted = [], [], []
+    for t, c in zip(text.to_pylist(), cuts, strict=True):
+        lines = t.split("\n") if t else []
+        gone = np.zeros(len(lines) + 1, np.int64)
+        runs = c.values if c.is_valid else None
+        if runs is not None and len(runs):
+            start = runs.field("pos").to_numpy().astype(np.int64)
+            np.add.at(gone, start, 1)
+            np.add.at(gone, start + runs.field("n_lines").to_numpy(), -1)
+        gone = np.cumsum(gone)[:-1] > 0
+        n_lines.append(len(lines))
+        n_deleted.append(int(gone.sum()))
+        texts.append(t if not n_deleted[-1] else "\n".join([x for x, g in zip(lines, gone, strict=True) if not g]))
+    arrays = [pa.array(texts, pa.string()), pa.array(n_lines, pa.int32()), pa.array(n_deleted, pa.int32())]
+    return pa.StructArray.from_arrays(arrays, ["text", "n_lines", "n_deleted"])
 
 
 #: The same rows by brute force over pairs of equal lines: for small tables.
