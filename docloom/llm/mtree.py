@@ -250,6 +250,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64) ->
     order = [F.desc("score"), F.col("vec_id")]
     full = best_of(home, k, order).groupBy("query_id").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
     norm = F.aggregate("q", F.lit(radius2), lambda a, x: a + x * x)
-    bound = F.coalesce(F.sqrt(F.greatest(norm - 2 * F.col("s"), F.lit(0.0))), F.lit(float("inf")))
+    # a query that has not found k rows yet is bounded by nothing
+    bound = F.when(F.col("s").isNull(), F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(norm - 2 * F.col("s"), F.lit(0.0))))
     rest = searched(asked.join(full, "query_id", "left").select("query_id", "q", bound.alias("bound")).mapInArrow(visits(False), visit_schema), "rest")
     return best_of(home.unionByName(rest).distinct(), k, order).select("query_id", "rank", "vec_id", "score")
