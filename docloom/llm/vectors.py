@@ -56,6 +56,13 @@ def best_of(found: DataFrame, k: int, order: list[Column]) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def first_copies(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Places of the rows without repeated ones: equal id, equal vector."""
+    order = np.lexsort((*v.T[::-1], ids))
+    same = (ids[order][1:] == ids[order][:-1]) & (v[order][1:] == v[order][:-1]).all(1)
+    return np.sort(order[np.concatenate(([True], ~same))]) if len(ids) else order
+
+
 def smallest(values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k smallest of `values`, ties to the smaller id, ascending."""
     if len(values) > k:
