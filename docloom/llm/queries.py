@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, crosspolytope, kneserney, linededup, minhash, mtree, packing, sharding, tokencounts, toxicity
+from docloom.llm.common import Scratch
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,7 +64,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = tokencounts.token_lengths(read(spark, sf_dir, "documents"))
-    return tokencounts.limit_table(tokencounts.length_histogram(lengths))
+    # written once: the suffix sums read it twice, and the texts are encoded once only
+    histogram = Scratch(spark, "lengths").table(tokencounts.length_histogram(lengths), "histogram")
+    return tokencounts.limit_table(histogram)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
