@@ -143,10 +143,12 @@ def completeness(issues: DataFrame) -> DataFrame:
 
 def inline_marks(blocks: DataFrame) -> DataFrame:
     """Emphasis, code and links that the plain text marks: doc_id, ordinal, type, text, href."""
+    def marks_of(kind: str, texts: Column) -> Column:
+        return F.transform(texts, lambda t: F.struct(F.lit(kind).alias("type"), t.alias("text"), F.lit(None).cast("string").alias("href")))
+
     found = []
     for kind, pattern in (("strong", r"\*\*([^*]+)\*\*"), ("em", r"(?<!\*)\*([^*]+)\*(?!\*)"), ("code", r"`([^`]+)`"), ("mark", r"==([^=]+)=="), ("del", r"~~([^~]+)~~")):
-        texts = F.regexp_extract_all("text_plain", F.lit(pattern), F.lit(1))
-        found.append(F.transform(texts, lambda t, kind=kind: F.struct(F.lit(kind).alias("type"), t.alias("text"), F.lit(None).cast("string").alias("href"))))
+        found.append(marks_of(kind, F.regexp_extract_all("text_plain", F.lit(pattern), F.lit(1))))
     links = F.transform(F.regexp_extract_all("text_plain", F.lit(r"\S+ \[((?:https?:|/)[^\]]*)\]"), F.lit(0)), lambda t: F.struct(F.lit("link").alias("type"), F.regexp_extract(t, r"^(\S+)", 1).alias("text"), F.regexp_extract(t, r"\[([^\]]*)\]$", 1).alias("href")))
     marks = F.explode(F.concat(*found, links))
     return blocks.where("type = 'paragraph'").select("doc_id", "ordinal", marks.alias("m")).select("doc_id", "ordinal", "m.*")
