@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docloom.llm import bpe, packing, tokencounts
-from docloom.llm.tokenizers import file_encoder, public, public_pattern, rank_encoder
+from docloom.llm.tokenizers import encode, file_encoder, public, public_pattern, rank_encoder
 
 
 def reference_ids(text):
@@ -157,3 +157,13 @@ def test_odd_lengths(odd, empty):
     got = {r.doc_id: r.n_tokens for r in tokencounts.token_lengths(odd).collect()}
     assert got[3] == 0 and got[4] == 0 and got[8] == len(reference_ids("long " * 30000))
     assert tokencounts.limit_table(tokencounts.length_histogram(tokencounts.token_lengths(empty))).collect() == []
+
+
+def test_texts_beyond_the_rank_encoders_reach():
+    """A million blanks overflow its regex engine; the tokenizer itself takes them."""
+    text = " " * 1_000_000 + "x"
+    json_path, rank_path = public("byte_bpe_50k.json"), public("byte_bpe_50k.tiktoken")
+    assert encode(text, json_path, rank_path, public_pattern()) == reference_ids(text)
+    codec = bpe.codec(public("byte_bpe_multi_50k.tiktoken"), public_pattern())
+    ids, raw = codec.encode_batch([" " * 20_000 + "x"])[0]
+    assert raw == b" " * 20_000 + b"x" and np.frombuffer(ids, "<u4").tolist() == tiktoken_ids(" " * 20_000 + "x")
