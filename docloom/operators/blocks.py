@@ -161,7 +161,6 @@ def table_records(blocks: DataFrame) -> DataFrame:
     rows = blocks.where((F.col("type") == "table") & (F.size("rows") > 1)).select("doc_id", "ordinal", "headers", F.posexplode(F.slice("rows", 2, F.size("rows"))).alias("row", "cells"))
     n = F.least(F.size("headers"), F.size("cells"))
     pairs = F.zip_with(F.slice("headers", 1, n), F.slice("cells", 1, n), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    names = F.transform(pairs, lambda p: p["key"])
     first = F.filter(pairs, lambda p, i: F.array_position(names, p["key"]) == i + 1)
     return rows.select("doc_id", "ordinal", "row", F.map_from_entries(first).alias("record"))
 
