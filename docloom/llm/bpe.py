@@ -26,6 +26,8 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: Words known to a worker process, at most; beyond that the cache starts anew.
 CACHE_WORDS = 600_000
+#: Text bytes that are split and encoded together.
+RUN_BYTES = 4 << 20
 #: Bytes of new words that go to one recursive query.
 QUERY_BYTES = 1 << 20
 #: Longer words contract all their leftmost non-overlapping minimum-rank pairs at a time.
@@ -174,9 +176,20 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     pattern = pattern or public_pattern()
     schema = SCHEMA + (", ids array<long>, decoded binary" if keep else "")
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches in runs of about RUN_BYTES: a query for each small one would cost more than its words."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= RUN_BYTES:
+                yield pa.concat_batches(held)
+                held = []
+        if held:
+            yield pa.concat_batches(held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in together(batches):
             coded = c.encode_batch([t or "" for t in batch.column(1).to_pylist()])
             columns = {
                 "doc_id": batch.column(0),

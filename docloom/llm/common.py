@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import math
 import tempfile
@@ -14,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold: long texts must not pile up in a worker.
-BATCH_ROWS, BATCH_BYTES = "1024", "16777216"
+BATCH_ROWS, BATCH_BYTES = "256", "4194304"
 #: Text bytes that a numpy kernel takes at a time.
-KERNEL_BYTES = 2 << 20
+KERNEL_BYTES = 1 << 19
 
 
 def prepare(spark: SparkSession) -> None:
@@ -102,6 +103,15 @@ def sub_batches(sizes: np.ndarray, limit: int = KERNEL_BYTES):
         yield start, len(sizes)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The column's texts as bytes; null becomes empty."""
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]

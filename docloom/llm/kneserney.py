@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, filter_place, id_filter, in_filter, prepare, sub_batches, utf8, without_rows
+from docloom.llm.common import KERNEL_BYTES, Scratch, filter_place, id_filter, in_filter, prepare, sub_batches, trim, utf8, without_rows
 
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
@@ -30,7 +30,9 @@ PAD = b"\n" * (ORDER - 1)
 HELD_OUT = 5
 QUANTILE = 0.99
 #: Text bytes in a bucket of documents, and n-grams in a shard of the model, on average.
-BUCKET_BYTES, SHARD_ROWS = 16 << 20, 150_000
+BUCKET_BYTES, SHARD_ROWS = 8 << 20, 150_000
+#: Counts that a task holds before it passes them on.
+HELD_ROWS = 500_000
 #: Buckets whose requests visit a shard together.
 TOGETHER = 32
 #: Held-out trusted documents that a language needs for a threshold of its own.
@@ -65,11 +67,22 @@ def count_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
+        x, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(c)], ["x", "c"])
+
         for batch in batches:
             texts = [d.decompress(b) for b in batch.column(0).to_pylist()]
-            for a, b in sub_batches(np.array([len(t) for t in texts]), 8 << 20):
-                x, c = np.unique(ngrams(texts[a:b])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(c.astype(np.int64))], ["x", "c"])
+            for a, b in sub_batches(np.array([len(t) for t in texts])):
+                new, n = np.unique(ngrams(texts[a:b])[0], return_counts=True)
+                x, at = np.unique(np.concatenate((x, new)), return_inverse=True)
+                c = np.bincount(at, np.concatenate((c, n)), len(x)).astype(np.int64)
+                if len(x) > HELD_ROWS:
+                    yield counted()
+                    x, c = x[:0], c[:0]
+        yield counted()
+        trim()
 
     return docs.mapInArrow(run, "x long, c long").groupBy("x").agg(F.sum("c").alias("c"))
 
@@ -145,6 +158,7 @@ def compressed(docs: DataFrame, keep: list[str]) -> DataFrame:
         for batch in batches:
             packed = pa.array([c.compress(t) for t in utf8(batch.column(0))], pa.binary())
             yield pa.RecordBatch.from_arrays([packed, *batch.columns[1:]], ["packed", *keep])
+        trim()
 
     return docs.select("text", *keep).mapInArrow(run, schema)
 
@@ -163,12 +177,19 @@ def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
     rows = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select("text", F.col("doc_id").cast("long").alias("doc_id"), filter_place("doc_id").alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(3)
         for batch in batches:
-            yield batch.take(pa.array(in_filter(shared.value, batch.column(2).to_numpy()))).select(["text", "doc_id"])
+            batch = batch.take(pa.array(in_filter(shared.value, batch.column(2).to_numpy())))
+            packed = pa.array([c.compress(t) for t in utf8(batch.column(0))], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, batch.column(1)], ["packed", "doc_id"])
+        trim()
 
-    passed = compressed(rows.mapInArrow(run, "text string, doc_id long"), ["doc_id"])
+    passed = rows.mapInArrow(run, "packed binary, doc_id long")
     counts = scratch.table(count_table(passed.join(learn, "doc_id", "left_semi").select("packed")), "counts")
-    return scratch.table(model_table(counts, scratch), "model")
+    model = scratch.table(model_table(counts, scratch), "model")
+    del passed, counts
+    scratch.release("counts", *[f"counts{n}" for n in range(1, ORDER)])
+    return model
 
 
 def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
@@ -189,7 +210,7 @@ def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFra
             t = next(texts, None)
             if t is not None:
                 held.append(t)
-            if t is None or sum(map(len, held)) > 2 << 20:
+            if t is None or sum(map(len, held)) > KERNEL_BYTES:
                 codes = np.unique(np.concatenate((codes, np.unique(ngrams(held)[0])))) if held else codes
                 held = []
             if t is None:
@@ -205,6 +226,7 @@ def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFra
         at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
         parts = np.split(keys, at[1:])
         bucket = table.column("bucket")[0].as_py()
+        trim()
         return pa.table({"bucket": pa.array([bucket] * len(parts), pa.int32()), "shard": pa.array(shard[at]), "keys": pa.array([_pack(p) for p in parts], pa.binary())})
 
     asked = rows.groupBy("bucket").applyInArrow(ask, "bucket int, shard int, keys binary")
@@ -229,7 +251,7 @@ def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFra
                         a, b = np.where(hit, own[k], 0.0), np.where(hit, rest[k], 1.0)
                     else:
                         a, b = np.zeros(len(want)), np.ones(len(want))
-                    for n, v in (("bucket", row["bucket"]), ("keys", row["keys"]), ("own", _pack(a)), ("rest", _pack(b))):
+                    for n, v in (("bucket", row["bucket"]), ("keys", row["keys"]), ("own", _pack(a.astype(np.float32))), ("rest", _pack(b.astype(np.float32)))):
                         out[n].append(v)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), **{n: pa.array(out[n], pa.binary()) for n in ("keys", "own", "rest")}})
 
@@ -239,7 +261,7 @@ def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFra
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "text_id": pa.array([], pa.int64()), "perplexity": pa.array([], pa.float64())})
         keys = np.concatenate([_unpack(b, np.uint64) for b in right.column("keys").to_pylist()])
-        own, rest = (np.concatenate([_unpack(b, np.float64) for b in right.column(c).to_pylist()]) for c in ("own", "rest"))
+        own, rest = (np.concatenate([_unpack(b, np.float32) for b in right.column(c).to_pylist()]).astype(np.float64) for c in ("own", "rest"))
         order = np.argsort(keys)
         keys, own, rest = keys[order], own[order], rest[order]
         top = keys[keys >= np.uint64(ORDER << 8 * ORDER)] & np.uint64((1 << 8 * ORDER) - 1)
@@ -250,6 +272,7 @@ def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFra
             for b in chunk:
                 x = ngrams([d.decompress(b.as_py())])[0]
                 out.append(float(np.exp(-logs[np.searchsorted(top, x)].mean())))
+        trim()
         return pa.table({"doc_id": left.column("doc_id"), "text_id": left.column("text_id"), "perplexity": pa.array(out, pa.float64())})
 
     return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, "doc_id long, text_id long, perplexity double")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, prepare, split_by_filter
+from docloom.llm.common import Scratch, prepare, split_by_filter, trim
 
 MIN_WORDS = 10
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -66,6 +66,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
                 at = pa.array(np.concatenate(owners))
                 columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(p)) for p in parts[:5])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_id", "pos", "hi", "lo", "ahead", "back"])
+        trim()
 
     return docs.mapInArrow(run, _LINES)
 

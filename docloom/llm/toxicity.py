@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import prepare, sub_batches, utf8, words_of
+from docloom.llm.common import prepare, sub_batches, trim, utf8, words_of
 
 PREFIXES = (4, 5, 6, 8)
 SLOT_BITS, DIM, FILTERS, WIDTHS = 19, 6, 4, (1, 2, 3)
 #: Labelled rows that the fit takes at most: of each class, the first by a hash of doc_id.
-MAX_TOXIC, MAX_CLEAN = 3000, 6000
+MAX_TOXIC, MAX_CLEAN = 2000, 4000
 #: Training texts that must hold a word or prefix before it gets an embedding.
 MIN_TEXTS = 4
 
@@ -190,16 +190,17 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(sample, "doc_id")
     # a repeated doc_id must not widen the bound
-    got = rows.orderBy("o", "doc_id", "text").limit(max_toxic + max_clean).toPandas()
-    texts = [t.encode() for t in got["text"]]
-    y = got["toxic"].to_numpy(np.int64)
+    got = rows.orderBy("o", "doc_id", "text").limit(max_toxic + max_clean).select("text", "toxic", "lang").toArrow()
+    texts = utf8(got.column("text"))
+    y = np.array(got.column("toxic").to_pylist(), np.int64)
+    langs = got.column("lang").to_pylist()
+    del got
     if y.sum() in (0, len(y)):
         k = len(WIDTHS) * FILTERS
         zero = [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS]
         return Model(np.zeros((1 << SLOT_BITS, DIM), np.float32), zero, np.zeros(k, np.float32), np.zeros(k), -3.0)
     aside = np.arange(len(y)) % 5 == 4
     model = fit([t for t, a in zip(texts, aside, strict=True) if not a], y[~aside])
-    langs = [x if isinstance(x, str) else None for x in got["lang"]]
     calibrate(model, [t for t, a in zip(texts, aside, strict=True) if a], y[aside], [x for x, a in zip(langs, aside, strict=True) if a])
     return model
 
@@ -220,6 +221,7 @@ def score_documents(docs: DataFrame, model: Model, columns: list[str]) -> DataFr
         for batch in batches:
             score = pa.array(shared.value.score(utf8(batch.column(at))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], score], [*columns, "toxicity"])
+        trim()
 
     return source.mapInArrow(run, schema)
 
