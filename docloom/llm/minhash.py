@@ -13,7 +13,8 @@ a few pivots, and the node branches on. A large node most of whose sets are like
 a pivot would hardly get smaller. It ends: once its sets are linked as far as
 other comparisons do it, each set outside the node's largest component is
 compared, on full sets, with all of the node. So no link to an outsider is lost,
-and none within the component is sought again.
+and none within the component is sought again. A small node with very many
+candidates ends likewise.
 
 Comparisons use one byte for each coordinate. What they find are candidates;
 every link is confirmed on the full sets. Candidates between sets that are
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, filter_place, id_filter, in_filter, mix, prepare, shingle_sets, sub_batches, utf8
+from docloom.llm.common import Scratch, filter_place, id_filter, in_filter, mix, prepare, shingle_sets, sub_batches, trim, utf8
 from docloom.llm.components import components
 
 #: Coordinates that are compared, and how many of them name paths.
@@ -40,6 +41,8 @@ TREES, ROOT_CHOICES, CHOICES, DEPTH = 4, 2, 4, 4
 SMALL, PIVOTS = 128, 16
 #: Equal coordinates that make a candidate (a pair at 0.8 has fewer once in 10^6), that need no doubt, and that make two sets alike.
 CANDIDATE, SURE, ALIKE = 81, 122, 90
+#: Candidates a set, in a small node, beyond which it ends.
+CROWD = 3
 SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, minwise array<int>, bytes binary"
 
 _RNG = np.random.default_rng(90210)
@@ -80,6 +83,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     [batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), lists, pa.array([r.tobytes() for r in low], pa.binary())],
                     ["doc_id", "n_shingles", "set_hi", "set_lo", "minwise", "bytes"],
                 )
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURE)
 
@@ -93,8 +97,13 @@ def equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates_of(ids: np.ndarray, rows: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """(a, b, agreeing coordinates) of a node's candidate pairs: a spanning forest of the sure ones, and all others between its trees."""
+def candidates_of(ids: np.ndarray, rows: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(a, b, agreeing coordinates) of a node's candidate pairs, and whether the node ends.
+
+    A spanning forest of the sure pairs goes first, then all others between its
+    trees. Where these are more than CROWD a set, the node gives a spanning
+    forest of all and ends: its other links are sought on full sets later.
+    """
     same = equal_bytes(rows, rows)
     fits = np.minimum(sizes[:, None], sizes) * 100 >= percent * np.maximum(sizes[:, None], sizes)
     i, j = np.nonzero(np.triu((same >= CANDIDATE) & fits, 1))
@@ -102,15 +111,24 @@ def candidates_of(ids: np.ndarray, rows: np.ndarray, sizes: np.ndarray, percent:
     order = np.lexsort((j, i, -score))
     i, j, score = i[order], j[order], score[order]
     tree = np.arange(len(ids))
-    keep = np.ones(len(i), bool)
-    for k in range(int((score >= SURE).sum())):
-        x, y = tree[i[k]], tree[j[k]]
-        keep[k] = x != y
-        if x != y:
-            tree[tree == max(x, y)] = min(x, y)
-    keep &= (score >= SURE) | (tree[i] != tree[j])
+
+    def joins(pairs: range) -> list[int]:
+        """The pairs that join two trees."""
+        out = []
+        for k in pairs:
+            x, y = tree[i[k]], tree[j[k]]
+            if x != y:
+                tree[tree == max(x, y)] = min(x, y)
+                out.append(k)
+        return out
+
+    n_sure = int((score >= SURE).sum())
+    sure = joins(range(n_sure))
+    between = np.flatnonzero(tree[i] != tree[j])
+    ends = len(between) > CROWD * len(ids)
+    keep = np.array(sure + (joins(range(n_sure, len(i))) if ends else between.tolist()), np.int64)
     a, b = ids[i[keep]], ids[j[keep]]
-    return np.minimum(a, b), np.maximum(a, b), score[keep]
+    return np.minimum(a, b), np.maximum(a, b), score[keep], ends
 
 
 def _arrays(row_ids: pa.Array, row_bytes: pa.Array, row_sizes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,20 +144,21 @@ def _pairs(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 
 
 def compare_nodes(blocks: DataFrame, percent: int) -> DataFrame:
-    """Candidates within each row's sets: columns id, bytes, n as lists."""
+    """Candidates a, b, same within each row's sets (columns node, and id, bytes, n as lists); the sets of a node that ends follow as node, id, -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for i in range(batch.num_rows):
-                found.append(candidates_of(*_arrays(*(batch.column(c)[i].values for c in range(3))), percent))
-                if sum(len(f[0]) for f in found) > 100_000:
-                    yield _pairs(found)
-                    found = []
+                ids, rows, sizes = _arrays(*(batch.column(c)[i].values for c in (1, 2, 3)))
+                *pairs, ends = candidates_of(ids, rows, sizes, percent)
+                found.append(tuple(pairs))
+                if ends:
+                    found.append((np.full(len(ids), batch.column(0)[i].as_py()), ids, np.full(len(ids), -1)))
             if found:
                 yield _pairs(found)
 
-    return blocks.select("id", "bytes", "n").mapInArrow(run, PAIRS)
+    return blocks.select("node", "id", "bytes", "n").mapInArrow(run, PAIRS)
 
 
 def compare_pivots(blocks: DataFrame) -> DataFrame:
@@ -186,7 +205,9 @@ def chosen_paths(sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataF
     for depth in range(1, DEPTH + 1):
         counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         held = scratch.table(nodes.join(counts, "node").join(sets.select("id", "bytes", "n"), "id"), f"held{depth}")
-        found.append(scratch.table(compare_nodes(packed(held.where(F.col("size") <= SMALL), ["node"]), percent), f"small{depth}"))
+        small = scratch.table(compare_nodes(packed(held.where(F.col("size") <= SMALL), ["node"]), percent), f"small{depth}")
+        found.append(small.where("same >= 0"))
+        ended.append(small.where("same < 0").select(F.col("a").alias("node"), F.col("b").alias("id")))
         large = held.where(F.col("size") > SMALL)
         if large.isEmpty():
             break
