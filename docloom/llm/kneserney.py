@@ -9,7 +9,8 @@ Scoring deals the documents to buckets of a bounded number of bytes. A bucket
 asks the model's shards for its distinct n-grams only, all orders at once, and
 puts each document's perplexity together from the answers. A language's
 threshold is a quantile of the perplexities of trusted documents that the model
-has not seen; documents above it are rejected.
+has not seen; documents above it are rejected. A language with few of them adds
+its other trusted documents, each scored by a model of the same size without it.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import KERNEL_BYTES, Scratch, filter_place, id_filter, in_filter, prepare, sub_batches, trim, utf8, without_rows
+from docloom.llm.common import KERNEL_BYTES, Scratch, filter_place, id_filter, in_filter, prepare, split_by_filter, sub_batches, trim, utf8, without_rows
 
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
-#: One trusted document in so many only calibrates.
+#: Folds of the trusted documents; the first only calibrates.
 HELD_OUT = 5
 QUANTILE = 0.99
 #: Text bytes in a bucket of documents, and n-grams in a shard of the model, on average.
@@ -35,7 +36,7 @@ BUCKET_BYTES, SHARD_ROWS = 8 << 20, 150_000
 HELD_ROWS = 500_000
 #: Buckets whose requests visit a shard together.
 TOGETHER = 32
-#: Held-out trusted documents that a language needs for a threshold of its own.
+#: A language with fewer held-out trusted rows calibrates on all its trusted documents, out of fold.
 LEAST = 30
 
 
@@ -164,14 +165,15 @@ def compressed(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_id and held (1 where it only calibrates) of the trusted documents: good quality, not toxic."""
+    """doc_id, fold and held (1 where it only calibrates) of the trusted documents: good quality, not toxic."""
     rows = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    held = (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_OUT)) == 0).cast("int")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("held", held)
+    fold = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_OUT)).cast("int")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("fold", fold)
+    return rows.withColumn("held", (F.col("fold") == 0).cast("int"))
 
 
 def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
-    """The model table from all trusted documents that do not calibrate, whole texts."""
+    """The model table from all trusted documents that do not calibrate, whole texts; their counts stay in scratch's `counts`."""
     learn = trusted.where("held = 0").select("doc_id")
     shared = id_filter(learn, "doc_id")
     rows = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select("text", F.col("doc_id").cast("long").alias("doc_id"), filter_place("doc_id").alias("p"))
@@ -188,10 +190,34 @@ def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
     counts = scratch.table(count_table(passed.join(learn, "doc_id", "left_semi").select("packed")), "counts")
     model = scratch.table(model_table(counts, scratch), "model")
     del passed, counts
-    scratch.release("counts", *[f"counts{n}" for n in range(1, ORDER)])
+    scratch.release(*[f"counts{n}" for n in range(1, ORDER)])
     return model
 
 
+def out_of_fold(docs: DataFrame, ids: DataFrame, counts: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """doc_id, text_id and perplexity of the documents of `ids` (doc_id, fold) that are in `counts`, each by a model without its fold.
+
+    Such a model takes the first fold of `ids` in place of the fold it leaves out.
+    """
+    key = F.col("doc_id").cast("long")
+    mine = split_by_filter(docs.select("doc_id", "text").where(F.col("text") != ""), ids.select("doc_id"), key, "doc_id")[1]
+    mine = scratch.table(mine.select(key.alias("doc_id"), "text").join(ids, "doc_id"), "small")
+    folds = sorted(r["fold"] for r in mine.select("fold").distinct().collect())
+    own = scratch.table(count_table(compressed(mine.where("fold = 0"), [])), "small0")
+    out = []
+    for fold in (f for f in folds if f):
+        rows = mine.where(F.col("fold") == fold)
+        less = count_table(compressed(rows, [])).withColumn("c", -F.col("c"))
+        c = counts.unionByName(own).unionByName(less).groupBy("x").agg(F.sum("c").alias("c")).where("c > 0")
+        model = scratch.table(model_table(scratch.table(c, "fold_counts"), scratch), "fold_model")
+        out.append(scratch.table(perplexities(rows.select("doc_id", "text"), model, scratch).dropDuplicates(["doc_id", "text_id"]), f"out{fold}"))
+        del rows, less, c, model
+        scratch.release("fold_counts", "fold_model", *[f"counts{n}" for n in range(1, ORDER)])
+    del mine, own
+    scratch.release("small", "small0")
+    return out
+
+
 def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_id and perplexity of every non-empty text: exp of the mean -log p of its bytes."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
@@ -283,11 +309,13 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> DataFram
 
     The model is trained on labels' trusted documents (quality 1, not toxic),
     but for one in HELD_OUT, whose q-quantile of perplexities is their language's
-    threshold; languages (null as well) with fewer than LEAST of them share one
-    over all. A document above its threshold is rejected. Null and empty texts
-    have no perplexity and are not rejected; nor is anything without trusted
-    text. Rows that agree in doc_id and text are scored alike; rows with a null
-    doc_id are scored and never trusted. Other columns are ignored.
+    threshold. A language with fewer than LEAST of them takes the quantile over
+    all its trusted documents, the others scored out of fold; null is a language
+    like others. A document above its threshold is rejected. Null and empty texts
+    have no perplexity and are not rejected; a language without trusted text has
+    no threshold, and nothing of it is rejected. Rows that agree in doc_id and
+    text are scored alike; rows with a null doc_id are scored and never trusted.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -299,11 +327,18 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> DataFram
     both = F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("text_id") == F.col("s_text"))
     rows = rows.join(scored.select(F.col("doc_id").alias("s_doc"), F.col("text_id").alias("s_text"), "perplexity"), both, "left").drop("s_doc", "s_text")
     rows = scratch.table(rows, "rows")
-    held = rows.where("perplexity IS NOT NULL").join(trusted.where("held = 1").select("doc_id"), "doc_id", "left_semi")
-    by_lang = held.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(q), F.lit(10_000)).alias("t"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= LEAST) & F.col("lang").isNotNull())
-    overall = held.agg(F.percentile_approx("perplexity", F.lit(q), F.lit(10_000)).alias("t")).first()["t"]
-    cut = by_lang.select("lang", F.col("t").alias("own"))
-    rows = rows.join(cut, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
+    known = rows.where("perplexity IS NOT NULL").join(trusted, "doc_id").select("doc_id", "text_id", "lang", "perplexity", "fold", "held")
+    known = scratch.table(known, "known")
+    few = known.groupBy("lang").agg(F.sum("held").alias("n")).where(F.col("n") < LEAST).select(F.col("lang").alias("few"))
+    small = scratch.table(known.join(few, F.col("lang").eqNullSafe(F.col("few"))).drop("few"), "few")
+    seen = known.where("held = 1").select("lang", "perplexity")
+    if small.where("held = 0").limit(1).count():
+        unseen = small.where("held = 0").select("doc_id", "text_id", "lang")
+        for scores in out_of_fold(docs, small.select("doc_id", "fold").distinct(), spark.read.parquet(f"{scratch.root}/counts"), scratch):
+            seen = seen.unionByName(unseen.join(scores, ["doc_id", "text_id"]).select("lang", "perplexity"))
+    scratch.release("counts")
+    cut = seen.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", F.lit(q), F.lit(10_000)).alias("threshold"))
+    rows = rows.join(F.broadcast(scratch.table(cut, "cut")), F.col("lang").eqNullSafe(F.col("of")), "left")  # a row for each language
     return rows.select("doc_id", "text_id", "perplexity", "threshold", F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False)).alias("rejected"))
 
 

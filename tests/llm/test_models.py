@@ -174,6 +174,37 @@ def test_quality_of_odd_rows(spark, odd, empty, table):
     assert kneserney.quality(odd, labels.limit(0)).where("rejected").count() == 0
 
 
+def test_small_languages_have_their_own_threshold(spark):
+    rng = np.random.default_rng(5)
+    words = {"en": "the cat sat on a mat and saw some dog run".split(), "fi": "kissa istui matolla ja koira juoksi pois talon".split(), None: "0110 1001 1100 0011 1010".split(), "sv": "katten satt på mattan och såg hunden".split()}
+    sizes = {"en": 400, "fi": 40, None: 40, "sv": 20}
+    rows, labels = [], []
+    for lang, n in sizes.items():
+        for _ in range(n):
+            i = len(rows)
+            rows.append((i, " ".join(rng.choice(words[lang], 12)), lang))
+            labels += [] if lang == "sv" else [(i, 1, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneserney.quality(docs, trusted).collect()}
+    fold = {r.doc_id: r.fold for r in kneserney.trusted_ids(trusted).collect()}
+    assert len(got) == len(rows)
+    texts = {i: t.encode() for i, t, _ in rows}
+    lang = {i: x for i, _, x in rows}
+    few = [i for i in fold if lang[i] != "en"]
+    for x in ("fi", None):
+        unseen = []
+        for f in {fold[i] for i in few}:
+            out = {i for i in few if fold[i] == f} | {i for i in fold if lang[i] == "en" and fold[i] == 0}
+            want = brute_model([texts[i] for i in fold if i not in out])
+            unseen += [want(texts[i]) for i in few if fold[i] == f and lang[i] == x]
+        q = sorted(unseen)[math.ceil(0.99 * len(unseen)) - 1]
+        assert len(unseen) == 40
+        assert all(r.threshold == pytest.approx(q, rel=1e-5) for i, r in got.items() if lang[i] == x)
+    # no trusted text: no threshold, nothing goes
+    assert all(r.threshold is None and not r.rejected and r.perplexity > 1 for i, r in got.items() if lang[i] == "sv")
+
+
 def test_rows_without_others(spark, odd):
     bad = spark.createDataFrame([(1,), (8,)], "_doc long")
     rest = without_rows(odd, bad, _doc=F.col("doc_id"))
