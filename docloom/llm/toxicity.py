@@ -8,8 +8,9 @@ zero: an unknown word says nothing.
 
 The fit takes a bounded sample of the labelled rows; scoring runs over every
 text in Arrow batches. Thresholds for keeping documents are calibrated for each
-language on a part of the training rows that the fit leaves out; the language
-chooses a threshold and never enters a score.
+language on all labelled rows that the fit leaves out, and, where these are few,
+on its rows scored out of fold; the language chooses a threshold and never
+enters a score.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import prepare, sub_batches, trim, utf8, words_of
+from docloom.llm.common import Scratch, prepare, sub_batches, trim, utf8, without_rows, words_of
 
 PREFIXES = (4, 5, 6, 8)
 SLOT_BITS, DIM, FILTERS, WIDTHS = 19, 6, 4, (1, 2, 3)
@@ -30,6 +31,12 @@ SLOT_BITS, DIM, FILTERS, WIDTHS = 19, 6, 4, (1, 2, 3)
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 #: Training texts that must hold a word or prefix before it gets an embedding.
 MIN_TEXTS = 4
+#: Folds of the sample; the fit leaves the last out.
+FOLDS = 5
+#: A language with fewer left-out rows of a class also calibrates on the sample's rows, out of fold.
+LEAST = 15
+#: Steps of the scores in the histograms that calibrate.
+STEPS = 10_000
 
 
 def slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +54,7 @@ class Model:
     bias: np.ndarray
     out: np.ndarray
     out_bias: float
-    thresholds: dict[str, float] = field(default_factory=dict)
+    thresholds: dict[str | None, float] = field(default_factory=dict)
     threshold: float = 0.7
 
     def pooled(self, rows: np.ndarray, first: np.ndarray, where: bool = False):
@@ -159,50 +166,95 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 64
     return model
 
 
-def calibrate(model: Model, texts: list[bytes], labels: np.ndarray, langs: list[str | None], least: int = 15) -> None:
-    """The model's thresholds: for each language with enough rows of either class, midway in the widest gap of best F1."""
-    scores, y = model.score(texts), np.asarray(labels)
-    for lang in sorted({x for x in langs if x is not None}):
-        mine = np.array([x == lang for x in langs])
-        s, t = scores[mine], y[mine]
-        if t.sum() < least or (1 - t).sum() < least:
-            continue
-        cuts = np.unique(np.concatenate((s, [1.0])))
-        f1 = np.array([2 * (t[s >= c]).sum() / max(1, (s >= c).sum() + t.sum()) for c in cuts])
-        top = np.flatnonzero(f1 == f1.max())
-        below = s[s < cuts[top[0]]]
-        model.thresholds[lang] = float(np.clip((cuts[top[-1]] + below.max()) / 2 if len(below) else cuts[top[0]], 0.3, 0.9))
+def threshold_of(scores: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float | None:
+    """Midway in the widest gap of best F1, from the distinct scores and how many toxic and clean rows have each; None without both classes."""
+    if not toxic.sum() or not clean.sum():
+        return None
+    order = np.argsort(scores)
+    s, t, c = scores[order], toxic[order], clean[order]
+    cuts = np.append(s, 1.0)
+    hits, all_above = (np.append(np.cumsum(x[::-1])[::-1], 0) for x in (t, t + c))
+    f1 = 2 * hits / np.maximum(1, all_above + t.sum())
+    top = np.flatnonzero(f1 == f1.max())
+    cut = (cuts[top[-1]] + s[top[0] - 1]) / 2 if top[0] else cuts[0]
+    return float(np.clip(cut, 0.3, 0.9))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    """A calibrated model of labels.toxic.
-
-    Learns only from rows whose crc32(doc_id as text) mod 3 is not 1. At most
-    `max_toxic` and `max_clean` of those rows are taken, the first by a hash of
-    doc_id; one in five of them only calibrates. With no row of one class every
-    text gets the same low score. Null texts count as empty.
-    """
+def learnable(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the labelled rows that may teach: crc32(doc_id as text) mod 3 is not 1."""
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
-    chosen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(learn & F.col("toxic").isin(0, 1))
-    chosen = chosen.withColumn("o", F.xxhash64("doc_id"))
+    return labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(learn & F.col("toxic").isin(0, 1))
+
+
+@dataclass
+class Sample:
+    """The rows that a fit may take, with the fold of each."""
+
+    ids: pa.ChunkedArray
+    texts: list[bytes]
+    toxic: np.ndarray
+    langs: list[str | None]
+    folds: np.ndarray
+
+    def fitted(self, without: int) -> Model:
+        """A model of all folds but one. With no row of one class every text gets the same low score."""
+        rows = np.flatnonzero(self.folds != without)
+        if self.toxic[rows].sum() in (0, len(rows)):
+            k = len(WIDTHS) * FILTERS
+            zero = [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS]
+            return Model(np.zeros((1 << SLOT_BITS, DIM), np.float32), zero, np.zeros(k, np.float32), np.zeros(k), -3.0)
+        return fit([self.texts[i] for i in rows], self.toxic[rows])
+
+
+def sample_of(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Sample:
+    """At most `max_toxic` and `max_clean` learnable rows, the first by a hash of doc_id. Null texts count as empty."""
+    chosen = learnable(labels).withColumn("o", F.xxhash64("doc_id"))
     first = [chosen.where(F.col("toxic") == t).orderBy("o", "doc_id").limit(n) for t, n in ((1, max_toxic), (0, max_clean))]
     sample = F.broadcast(first[0].unionByName(first[1]).dropDuplicates(["doc_id"]))  # at most max_toxic + max_clean rows
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(sample, "doc_id")
     # a repeated doc_id must not widen the bound
-    got = rows.orderBy("o", "doc_id", "text").limit(max_toxic + max_clean).select("text", "toxic", "lang").toArrow()
-    texts = utf8(got.column("text"))
-    y = np.array(got.column("toxic").to_pylist(), np.int64)
-    langs = got.column("lang").to_pylist()
-    del got
-    if y.sum() in (0, len(y)):
-        k = len(WIDTHS) * FILTERS
-        zero = [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS]
-        return Model(np.zeros((1 << SLOT_BITS, DIM), np.float32), zero, np.zeros(k, np.float32), np.zeros(k), -3.0)
-    aside = np.arange(len(y)) % 5 == 4
-    model = fit([t for t, a in zip(texts, aside, strict=True) if not a], y[~aside])
-    calibrate(model, [t for t, a in zip(texts, aside, strict=True) if a], y[aside], [x for x, a in zip(langs, aside, strict=True) if a])
-    return model
+    got = rows.orderBy("o", "doc_id", "text").limit(max_toxic + max_clean).select("doc_id", "text", "toxic", "lang").toArrow()
+    ids = got.column("doc_id").to_pylist()
+    # rows of one doc_id share a fold
+    folds = np.cumsum([k > 0 and i != ids[k - 1] for k, i in enumerate(ids)], dtype=np.int64) % FOLDS
+    return Sample(got.column("doc_id"), utf8(got.column("text")), np.array(got.column("toxic").to_pylist(), np.int64), got.column("lang").to_pylist(), folds)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+    """A model of labels.toxic, fitted on all folds of the sample but the last."""
+    return sample_of(docs, labels, max_toxic, max_clean).fitted(FOLDS - 1)
+
+
+def calibrate(model: Model, scored: DataFrame, sample: Sample, labels: DataFrame) -> None:
+    """The model's thresholds, for each language (null is one) with labelled rows of both classes.
+
+    They come from every learnable row of `scored` (doc_id, lang, toxicity) that
+    the model was not fitted on. A language with fewer than LEAST of them of a
+    class adds the fitted rows, each scored by a model fitted without its fold.
+    """
+    fitted = sample.folds != FOLDS - 1
+    used = scored.sparkSession.createDataFrame(pa.table({"doc_id": sample.ids.filter(pa.array(fitted))})).distinct()  # at most the sample
+    rest = learnable(labels).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(F.broadcast(used), "doc_id", "left_anti")
+    step = F.floor(F.col("toxicity") * STEPS).cast("int").alias("step")
+    counts = scored.join(rest, "doc_id").groupBy("lang", step).agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    bars: dict[str | None, list[tuple[float, int, int]]] = {}
+    for r in counts.collect():  # at most STEPS + 1 rows a language
+        bars.setdefault(r["lang"], []).append((r["step"] / STEPS, r["toxic"], r["clean"]))
+    langs = np.array(sample.langs, dtype=object)
+    few = {x for x in {*sample.langs, *bars} if min(sum(b[k] for b in bars.get(x, [])) for k in (1, 2)) < LEAST}
+    mine = fitted & np.array([x in few for x in langs], bool)
+    for fold in np.unique(sample.folds[mine]):
+        at = np.flatnonzero(mine & (sample.folds == fold))
+        other = sample.fitted(int(fold))
+        for i, score in zip(at, other.score([sample.texts[j] for j in at]), strict=True):
+            y = int(sample.toxic[i])
+            bars.setdefault(langs[i], []).append((np.floor(score * STEPS) / STEPS, y, 1 - y))
+    for lang, found in bars.items():
+        s, back = np.unique([b[0] for b in found], return_inverse=True)
+        t = threshold_of(s, *(np.bincount(back, [b[k] for b in found]) for k in (1, 2)))
+        if t is not None:
+            model.thresholds[lang] = t
 
 
 def score_documents(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
@@ -228,16 +280,20 @@ def score_documents(docs: DataFrame, model: Model, columns: list[str]) -> DataFr
 
 def harmless_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` (doc_id, text, lang) below their language's threshold, unchanged."""
-    model = train(docs, labels)
-    names = docs.columns
-    kept = docs.select(*[F.col(c).alias(f"c{i}") if c == "toxicity" else F.col(c) for i, c in enumerate(names)])
-    scored = score_documents(kept, model, kept.columns).where(~rejected(model))
-    return scored.select(*[F.col(c).alias(n) for c, n in zip(kept.columns, names, strict=True)])
+    sample = sample_of(docs, labels)
+    model = sample.fitted(FOLDS - 1)
+    rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("_text"), "text")
+    scored = score_documents(rows, model, ["doc_id", "lang", "_text"])
+    scored = Scratch(docs.sparkSession, "toxicity").table(scored, "scored")
+    calibrate(model, scored, sample, labels)
+    doc, lang = F.xxhash64("doc_id", F.col("doc_id").isNull()), F.xxhash64("lang", F.col("lang").isNull())
+    bad = scored.where(rejected(model)).select(doc.alias("_doc"), "_text", lang.alias("_lang"))
+    return without_rows(docs, bad, _doc=doc, _text=F.xxhash64("text"), _lang=lang)
 
 
 def rejected(model: Model):
     """The column that says whether a scored document goes: its language's threshold decides."""
     cut = F.lit(float(model.threshold))
-    for lang, t in sorted(model.thresholds.items()):
-        cut = F.when(F.col("lang") == lang, F.lit(t)).otherwise(cut)
+    for lang, t in model.thresholds.items():
+        cut = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(t)).otherwise(cut)
     return F.col("toxicity") >= cut

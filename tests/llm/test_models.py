@@ -84,6 +84,34 @@ def test_toxicity_of_odd_rows(spark, odd, empty, table):
     assert kept.columns == odd.columns
 
 
+def test_thresholds_cover_all_labelled_rows(spark):
+    learn = [i for i in range(1000) if not held(i)]
+    rows, labels = [], []
+    # 10 toxic rows of fi and null each: under the old least number of rows in the part left out
+    for k, i in enumerate(learn[:400]):
+        lang = "fi" if k % 8 == 1 else None if k % 8 == 2 else "en"
+        bad = k // 8 % 5 == 0
+        rows.append((i, f"word{k % 7} nice calm text {'vile brute ' if bad else 'kind friend '} end{k % 5}", lang))
+        labels.append((i, int(bad)))
+    rows.append((5000, "kind calm text", "sv"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    sample = toxicity.sample_of(docs, marks, 30, 60)
+    model = sample.fitted(toxicity.FOLDS - 1)
+    scored = toxicity.score_documents(docs, model, ["doc_id", "lang"]).cache()
+    toxicity.calibrate(model, scored, sample, marks)
+    assert set(model.thresholds) == {"en", "fi", None}
+    # en has enough rows left out, many beyond the sample: its threshold is theirs
+    used = {i for i, f in zip(sample.ids.to_pylist(), sample.folds, strict=True) if f != toxicity.FOLDS - 1}
+    toxic = dict(labels)
+    left = [(math.floor(r.toxicity * toxicity.STEPS) / toxicity.STEPS, toxic[r.doc_id]) for r in scored.collect() if r.lang == "en" and r.doc_id not in used]
+    s, y = (np.array(x) for x in zip(*left, strict=True))
+    assert len(used) < 80 and len(left) > 200
+    assert model.thresholds["en"] == pytest.approx(toxicity.threshold_of(s, y, 1 - y))
+    kept = {r.doc_id for r in toxicity.harmless_documents(docs, marks).collect()}
+    assert kept == {i for i, _, _ in rows if not toxic.get(i)}
+
+
 def test_filters_see_whole_texts():
     texts = [("nice words here " * 30 + ("vile brute " if k % 2 else "") + "more of it " * 200).encode() for k in range(80)]
     model = toxicity.fit(texts, np.array([k % 2 for k in range(80)]))
