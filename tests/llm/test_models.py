@@ -112,6 +112,10 @@ def test_thresholds_cover_all_labelled_rows(spark):
     assert kept == {i for i, _, _ in rows if not toxic.get(i)}
 
 
+def test_toxicity_sample_is_not_lowered():
+    assert toxicity.MAX_TOXIC >= 3000 and toxicity.MAX_CLEAN >= 6000
+
+
 def test_filters_see_whole_texts():
     texts = [("nice words here " * 30 + ("vile brute " if k % 2 else "") + "more of it " * 200).encode() for k in range(80)]
     model = toxicity.fit(texts, np.array([k % 2 for k in range(80)]))
