@@ -10,6 +10,8 @@ goes to sequences whose lengths are powers of two, which need no padding.
 
 A run is at most `run_docs` documents of one input partition, packed in the
 task that encodes them: nothing is shuffled, and memory is bounded by the run.
+The sequence of lowest cost with room is found in a tree over the room that is
+left, without a limit on the search.
 """
 
 from __future__ import annotations
@@ -56,36 +58,22 @@ def pack(lengths: list[int], size: int, linear: float = 1.0, quadratic: float =
     room = [size] * (total // size) + powers(total % size)
     used, costs = [0] * len(room), [0.0] * len(room)
     tails.sort(key=lambda t: (-cost(t[0], linear, quadratic), t[1]))
-    heap = [(0.0, s) for s in range(len(room))]
+    open_ = ByRoom(room, size)
     left = []
     for length, doc, start in tails:
-        passed = []
-        while heap:
-            c, s = heapq.heappop(heap)
-            if c != costs[s] or used[s] == room[s]:
-                continue
-            if room[s] - used[s] >= length:
-                break
-            passed.append((c, s))
-            if len(passed) == 64:  # a search that long means that hardly any sequence has the room; the cut below is exact
-                s = -1
-                break
-        else:
-            s = -1
-        for x in passed:
-            heapq.heappush(heap, x)
+        s = open_.cheapest(length)
         if s < 0:
             left.append((length, doc, start))
             continue
         pieces.append((doc, start, length, n_sequences + s, used[s]))
         used[s] += length
         costs[s] += cost(length, linear, quadratic)
-        heapq.heappush(heap, (costs[s], s))
-    open_ = sorted((s for s in range(len(room)) if used[s] < room[s]), key=lambda s: (costs[s], s))
+        open_.put(room[s] - used[s], costs[s], s)
+    rest = sorted((s for s in range(len(room)) if used[s] < room[s]), key=lambda s: (costs[s], s))
     k = 0
     for length, doc, start in left:
         while length:
-            s = open_[k]
+            s = rest[k]
             n = min(length, room[s] - used[s])
             pieces.append((doc, start, n, n_sequences + s, used[s]))
             used[s] += n
@@ -94,6 +82,48 @@ def pack(lengths: list[int], size: int, linear: float = 1.0, quadratic: float =
     return pieces
 
 
+class ByRoom:
+    """Sequences by the room that is left in them: a heap of (cost, sequence, room) for each room, and a tree of the heaps' least entries."""
+
+    NONE = (float("inf"), -1, -1)
+
+    def __init__(self, room: list[int], size: int):
+        self.heaps: list[list[tuple[float, int, int]]] = [[] for _ in range(size + 1)]
+        for s, r in enumerate(room):
+            self.heaps[r].append((0.0, s, r))  # ascending, so a heap
+        self.leaves = 1 << size.bit_length()
+        self.least = [self.NONE] * (2 * self.leaves)
+        for r, h in enumerate(self.heaps):
+            if h:
+                self._update(r)
+
+    def _update(self, r: int) -> None:
+        least, k = self.least, self.leaves + r
+        least[k] = self.heaps[r][0] if self.heaps[r] else self.NONE
+        while k > 1:
+            k >>= 1
+            least[k] = min(least[2 * k], least[2 * k + 1])
+
+    def cheapest(self, length: int) -> int:
+        """Take out the sequence of lowest cost, then lowest number, among those with room for `length`; -1 if none has."""
+        k = self.leaves + length
+        best = self.least[k]
+        while k > 1:
+            if not k & 1:
+                best = min(best, self.least[k + 1])
+            k >>= 1
+        if best[1] < 0:
+            return -1
+        heapq.heappop(self.heaps[best[2]])  # the least of its heap, as it is the least of several
+        self._update(best[2])
+        return best[1]
+
+    def put(self, room: int, cost: float, s: int) -> None:
+        if room:
+            heapq.heappush(self.heaps[room], (cost, s, room))
+            self._update(room)
+
+
 def pack_documents(
     docs: DataFrame,
     size: int = 1024,

@@ -22,7 +22,12 @@ BLOCK = 1024
 
 
 def token_lengths(docs: DataFrame, json_path: str | None = None, rank_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id and n_tokens for every row; null and empty texts have none."""
+    """doc_id and n_tokens for every row of `docs` (doc_id, text), whole texts, the ids being those of the tokenizer's file.
+
+    Null and empty texts have none. Repeated rows and rows without a doc_id count
+    one by one. An empty table gives no rows; other columns are ignored, whatever
+    their names. The end id that packing adds is not counted.
+    """
     prepare(docs.sparkSession)
     json_path = json_path or public("byte_bpe_50k.json")
     rank_path = rank_path or public("byte_bpe_50k.tiktoken")

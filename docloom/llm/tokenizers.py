@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 
@@ -22,12 +23,17 @@ def rank_encoder(path: str, pattern: str):
 
 @lru_cache(maxsize=4)
 def file_encoder(path: str):
-    """A tokenizers.Tokenizer that reads special tokens' strings as ordinary text."""
+    """The tokenizers.Tokenizer of the file, as it is."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> tuple[str, ...]:
+    """The strings that the file's tokenizer reads as one token wherever they stand."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", ()))
 
 
 def public(name: str) -> str:
@@ -43,13 +49,14 @@ def public_pattern() -> str:
 
 
 def encode(text: str, json_path: str, rank_path: str | None, pattern: str | None) -> list[int]:
-    """Ids as `json_path`'s tokenizer gives them.
+    """Ids as `json_path`'s tokenizer gives them, without its template's special tokens.
 
     Where the same vocabulary is at hand as ranks, the several times faster
-    rank encoder gives the same ids; texts it cannot take (runs of white space
-    beyond its regex engine's stack) go to the tokenizer itself.
+    rank encoder gives the same ids. Texts that hold the string of an added token
+    (it is one id then), and texts the rank encoder cannot take (runs of white
+    space beyond its regex engine's stack), go to the tokenizer itself.
     """
-    if rank_path:
+    if rank_path and not any(t in text for t in added_tokens(json_path)):
         try:
             return rank_encoder(rank_path, pattern).encode_ordinary(text)
         except BaseException as e:

@@ -36,11 +36,16 @@ ODD = [
 ]
 
 
+#: Names of columns that operators use for themselves, as integers; `odd` carries them beside the documents' columns.
+CLASHING = "rank bits words block bucket place key text_id text_bytes in_doc in_lang cuts rest w b p k n o fold step size shard slot turn level pos at hi lo ahead back n_lines n_shingles set_hi set_lo id copies component_id toxicity perplexity threshold n_tokens doc copy part".split()
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
-    """Odd rows, with extra columns whose names clash with those that operators use."""
-    rows = [(i, t, "en" if k % 3 else None, "s", 7, k, "x") for k, (i, t) in enumerate(ODD)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rank int, label string")
+    """Odd rows, with extra columns whose names clash with those that operators use, in other cases too, and one that needs quoting."""
+    rows = [(i, t, "en" if k % 3 else None, "s", 7, *[k] * len(CLASHING), "x", 1) for k, (i, t) in enumerate(ODD)]
+    extra = "".join(f", {c.upper() if c in ('bits', 'place', 'text_id') else c} int" for c in CLASHING)
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long{extra}, label string, `a.b` int")
 
 
 @pytest.fixture(scope="session")

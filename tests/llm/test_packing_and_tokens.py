@@ -9,11 +9,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docloom.llm import bpe, packing, tokencounts
-from docloom.llm.tokenizers import encode, file_encoder, public, public_pattern, rank_encoder
+from docloom.llm.tokenizers import encode, public, public_pattern, rank_encoder
+from tokenizers import Tokenizer
+
+LIBRARY = Tokenizer.from_file(public("byte_bpe_50k.json"))
 
 
 def reference_ids(text):
-    return file_encoder(public("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    """The ids of the library's tokenizer as its file has it."""
+    return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def check_pieces(rows, texts):
@@ -70,6 +74,61 @@ def test_pack_fills_sequences(lengths):
     assert sorted(used) == list(range(len(used)))
 
 
+def slow_pack(lengths, size):
+    """The same rule by trying every sequence: full pieces, then each tail to the cheapest sequence with room, then cuts."""
+    pieces, tails, n = [], [], 0
+    for doc, length in enumerate(lengths):
+        for k in range(length // size):
+            pieces.append((doc, k * size, size, n, 0))
+            n += 1
+        if length % size:
+            tails.append((length % size, doc, length - length % size))
+    total = sum(t[0] for t in tails)
+    rooms = [size] * (total // size) + [int(b) for b in (1 << k for k in reversed(range(20))) if (total % size) & b]
+    used, costs, left = [0] * len(rooms), [0.0] * len(rooms), []
+    for length, doc, start in sorted(tails, key=lambda t: (-t[0], t[1])):
+        fits = [(costs[s], s) for s in range(len(rooms)) if rooms[s] - used[s] >= length]
+        if not fits:
+            left.append((length, doc, start))
+            continue
+        _, s = min(fits)
+        pieces.append((doc, start, length, n + s, used[s]))
+        used[s] += length
+        costs[s] += packing.cost(length, 1.0, 1 / 512)
+    for length, doc, start in left:
+        while length:
+            _, s = min((costs[s], s) for s in range(len(rooms)) if used[s] < rooms[s])
+            m = min(length, rooms[s] - used[s])
+            pieces.append((doc, start, m, n + s, used[s]))
+            used[s], start, length = used[s] + m, start + m, length - m
+    return pieces
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 3000), max_size=120), st.sampled_from([64, 1000, 1024]))
+def test_every_tail_goes_to_the_cheapest_sequence_with_room(lengths, size):
+    assert sorted(packing.pack(lengths, size)) == sorted(slow_pack(lengths, size))
+
+
+def test_many_tails_go_to_the_cheapest_sequence_with_room():
+    rng = random.Random(3)
+    lengths = [rng.randrange(20, 1000) for _ in range(1500)]
+    assert sorted(packing.pack(lengths, 1024)) == sorted(slow_pack(lengths, 1024))
+
+
+def test_strings_of_special_tokens(spark):
+    """An added token's string is one id, as the library reads the file; null doc_ids and repeated rows are packed too."""
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>x"), (None, "a <|endoftext|> b"), (None, None), (3, "a < |endoftext|>")]
+    assert reference_ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_pieces([r for r in packing.pack_documents(df.where("doc_id IS NOT NULL")).collect()], {i: t for i, t in rows if i})
+    got = packing.pack_documents(df).collect()
+    assert sum(r.length for r in got) == sum(len(reference_ids(t or "")) + 1 for _, t in rows)
+    assert {(r.doc_id, r.doc_tokens) for r in got} == {(i, len(reference_ids(t or "")) + 1) for i, t in rows}
+    lengths = sorted((r.doc_id or 0, r.n_tokens) for r in tokencounts.token_lengths(df).collect())
+    assert lengths == sorted((i or 0, len(reference_ids(t or ""))) for i, t in rows)
+
+
 def test_costs_are_balanced():
     rng = random.Random(0)
     lengths = [rng.randrange(20, 600) for _ in range(3000)]
