@@ -8,6 +8,7 @@ import gc
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ KERNEL_BYTES = 1 << 19
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session."""
+    """Bound the Arrow batches of this session; the core's parsers set the same bounds, so the order of calls is of no matter."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
@@ -30,9 +31,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, where that is unset, gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,6 +48,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Scratch folders that are still there; they go when the driver ends.
+_ROOTS: set[str] = set()
+
+
+@atexit.register
+def _delete_roots() -> None:
+    spark = SparkSession.getActiveSession()
+    for root in _ROOTS if spark else ():
+        try:
+            delete_path(spark, root)
+        except Exception:  # the session may be gone by then
+            return
+
+
 class Scratch:
     """Written tables that cut lineage: each survives the loss of any executor.
 
@@ -56,7 +73,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
         self.kept: set[str] = set()
-        atexit.register(self.close)
+        _ROOTS.add(self.root)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -76,12 +93,6 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def close(self) -> None:
-        try:
-            delete_path(self.spark, self.root)
-        except Exception:  # the session may be gone by then
-            return
-
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -91,6 +102,11 @@ def text_of(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def lang_of(docs: DataFrame) -> Column:
+    """The language column; null where the table has none."""
+    return (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang")
+
+
 def sub_batches(sizes: np.ndarray, limit: int = KERNEL_BYTES):
     """(start, stop) runs of rows whose sizes sum to at most `limit`; a larger row stands alone."""
     start, total = 0, 0
@@ -117,28 +133,67 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-# ------------------------------------------------------------------ a filter of fixed size
+def unused(taken: list[str], *names: str) -> list[str]:
+    """Names like the given ones that no column of `taken` has (Spark compares names without case)."""
+    seen, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in seen:
+            n += "_"
+        seen.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(columns: list[str]) -> list[str]:
+    """Column names as Spark reads them back, whatever characters they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
 
-#: Bits of the filter for documents that are wanted.
-FILTER_BITS = 23
+# ------------------------------------------------------------------ a bitmap of wanted ids
 
+#: Bits for each id, and of the whole bitmap at least and at most (2**28 bits are 32 MB, broadcast once).
+ID_BITS, LEAST_BITS, MOST_BITS = 16, 16, 28
+#: 32-bit words in one row of the bitmap's table.
+BLOCK_WORDS = 2048
 
-def filter_place(c: str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS)
 
+def filter_place(c: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
 
-def filter_words(ids: DataFrame, column: str) -> DataFrame:
-    """w and bits: the filter as a table of 32-bit words, at most 2**(FILTER_BITS - 5) rows whatever the corpus."""
-    words = ids.select(filter_place(column).alias("p")).groupBy((F.col("p") / 32).cast("long").alias("w"))
-    return words.agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("bits"))
 
+class IdFilter:
+    """A bitmap that holds every id of a written table, and others by chance: it spares a shuffle most of what a join drops.
 
-def id_filter(ids: DataFrame, column: str):
-    """A broadcast bitmap that holds every id of `ids`, and others by chance: it spares a shuffle most of what a join drops."""
-    got = filter_words(ids, column).toPandas()
-    bitmap = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    bitmap[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    return ids.sparkSession.sparkContext.broadcast(bitmap)
+    Its size follows the number of ids. Beyond 2**MOST_BITS bits it fills up and
+    lets more rows through, which the join behind it then drops.
+    """
+
+    def __init__(self, ids: DataFrame, column: str):
+        n = ids.count()
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (ID_BITS * n).bit_length()))
+        words = ids.select(filter_place(column, self.bits).alias("p")).select(
+            F.shiftright("p", 5).alias("w"), F.expr("shiftleft(1, cast(p & 31L as int))").alias("b")
+        )
+        every = ids.sparkSession.range(1 << (self.bits - 5)).select(F.col("id").alias("w"), F.lit(0).alias("b"))
+        words = words.unionByName(every).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
+        blocks = words.groupBy((F.col("w") / BLOCK_WORDS).cast("long").alias("block"))
+        #: block and its BLOCK_WORDS words in order: 2**(bits - 5) words in all
+        self.table = blocks.agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("x")).select("block", F.col("x.b").alias("words"))
+
+    def place(self, c: str) -> Column:
+        return filter_place(c, self.bits)
+
+    @contextmanager
+    def shared(self):
+        """The bitmap as a broadcast numpy array, destroyed at the end: what reads it must be written by then."""
+        got = self.table.orderBy("block").toArrow().column("words")
+        words = np.concatenate([c.flatten().to_numpy() for c in got.chunks]).view(np.uint32)
+        out = self.table.sparkSession.sparkContext.broadcast(words)
+        del got, words
+        try:
+            yield out
+        finally:
+            out.destroy()
 
 
 def in_filter(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -146,21 +201,28 @@ def in_filter(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def split_by_filter(docs: DataFrame, ids: DataFrame, key: Column, column: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key is certainly not in `ids`, the other rows), both as `docs`; nothing is shuffled."""
-    words = filter_words(ids, column).select(F.col("w").alias("_w"), "bits")
-    rows = docs.withColumn("_k", key).withColumn("_p", filter_place("_k")).withColumn("_w", (F.col("_p") / 32).cast("long"))
-    rows = rows.join(F.broadcast(words), "_w", "left")  # at most 2**(FILTER_BITS - 5) rows
-    hit = F.coalesce(F.expr("shiftright(bits, cast(_p % 32 as int)) & 1L"), F.lit(0)) == 1
-    return rows.where(~hit).select(*docs.columns), rows.where(hit).select(*docs.columns)
-
-
-def without_rows(docs: DataFrame, bad: DataFrame, **keys: Column) -> DataFrame:
+    """(rows whose key is certainly not in the written table `ids`, the other rows), both as `docs`; nothing is shuffled."""
+    found = IdFilter(ids, column)
+    own = quoted(docs.columns)
+    k, p, at, words = unused(docs.columns, "key", "place", "block", "words")
+    rows = docs.select(*own, key.alias(k)).select(*own, found.place(k).alias(p))
+    rows = rows.withColumn(at, F.shiftright(p, 5 + BLOCK_WORDS.bit_length() - 1))
+    # the bitmap: at most 2**MOST_BITS bits
+    rows = rows.join(F.broadcast(found.table.withColumnsRenamed({"block": at, "words": words})), at, "left")
+    word = F.get(words, (F.shiftright(p, 5) % BLOCK_WORDS).cast("int"))
+    rows = rows.withColumn(words, word.cast("long")).withColumn(words, F.expr(f"shiftright({words}, cast({p} & 31L as int)) & 1L = 1L"))
+    return rows.where(~F.col(words)).select(*own), rows.where(F.col(words)).select(*own)
+
+
+def without_rows(docs: DataFrame, bad: DataFrame, scratch: Scratch, **keys: Column) -> DataFrame:
     """`docs` without the rows whose keys are a row of `bad` (columns named like `keys`, not null); only suspects are shuffled."""
     names = list(keys)
-    bad = bad.select(*names).distinct()
+    bad = scratch.table(bad.select(*names).distinct(), "gone")
     clear, suspects = split_by_filter(docs, bad.select(F.xxhash64(*names).alias("k")), F.xxhash64(*keys.values()), "k")
-    marked = suspects.withColumns(keys).join(bad, names, "left_anti")
-    return clear.unionByName(marked.select(*docs.columns))
+    own, fresh = quoted(docs.columns), unused(docs.columns, *names)
+    marked = suspects.select(*own, *[c.alias(n) for c, n in zip(keys.values(), fresh, strict=True)])
+    marked = marked.join(bad.toDF(*fresh), fresh, "left_anti")
+    return clear.unionByName(marked.select(*own))
 
 
 # ------------------------------------------------------------------ hashing

@@ -5,9 +5,11 @@ byte sequence, and one model serves all languages. Counting, continuation
 counts, discounts and back-off weights are aggregations and joins of count
 tables that are dealt (sharded) by n-gram; nothing of the model is broadcast.
 
-Scoring deals the documents to buckets of a bounded number of bytes. A bucket
-asks the model's shards for its distinct n-grams only, all orders at once, and
-puts each document's perplexity together from the answers. A language's
+Scoring deals the distinct texts to buckets of a bounded number of bytes; repeated
+texts meet before that, in a combining aggregation. A bucket asks the model's
+shards for its distinct n-grams only, all orders at once, and puts each text's
+perplexity together from the answers. Requests and shards meet in turns of a
+bounded size, for each of which the shards are sent once. A language's
 threshold is a quantile of the perplexities of trusted documents that the model
 has not seen; documents above it are rejected. A language with few of them adds
 its other trusted documents, each scored by a model of the same size without it.
@@ -23,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import KERNEL_BYTES, Scratch, filter_place, id_filter, in_filter, prepare, split_by_filter, sub_batches, trim, utf8, without_rows
+from docloom.llm.common import KERNEL_BYTES, IdFilter, Scratch, in_filter, lang_of, prepare, split_by_filter, sub_batches, trim, utf8, without_rows
 
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
@@ -34,8 +36,10 @@ QUANTILE = 0.99
 BUCKET_BYTES, SHARD_ROWS = 8 << 20, 150_000
 #: Counts that a task holds before it passes them on.
 HELD_ROWS = 500_000
-#: Buckets whose requests visit a shard together.
-TOGETHER = 32
+#: Shards at most (a bucket's request to one should be worth a row), and buckets whose requests visit a shard together, at least.
+MOST_SHARDS, TOGETHER = 400, 32
+#: Text bytes that a turn has at least for each byte of the model, which is sent once a turn.
+MODEL_SHARE, MODEL_ROW = 16, 24
 #: A language with fewer held-out trusted rows calibrates on all its trusted documents, out of fold.
 LEAST = 30
 
@@ -164,6 +168,14 @@ def compressed(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select("text", *keep).mapInArrow(run, schema)
 
 
+#: What names a text: rows with equal texts are scored once.
+TEXT = ["text_id", "text_bytes"]
+
+
+def text_key() -> list:
+    return [F.xxhash64("text").alias("text_id"), F.octet_length("text").alias("text_bytes")]
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """doc_id, fold and held (1 where it only calibrates) of the trusted documents: good quality, not toxic."""
     rows = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
@@ -173,44 +185,46 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
-    """The model table from all trusted documents that do not calibrate, whole texts; their counts stay in scratch's `counts`."""
+    """The model table from all trusted documents (a written table) that do not calibrate, whole texts; their counts stay in scratch's `counts`."""
     learn = trusted.where("held = 0").select("doc_id")
-    shared = id_filter(learn, "doc_id")
-    rows = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select("text", F.col("doc_id").cast("long").alias("doc_id"), filter_place("doc_id").alias("p"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = zstandard.ZstdCompressor(3)
-        for batch in batches:
-            batch = batch.take(pa.array(in_filter(shared.value, batch.column(2).to_numpy())))
-            packed = pa.array([c.compress(t) for t in utf8(batch.column(0))], pa.binary())
-            yield pa.RecordBatch.from_arrays([packed, batch.column(1)], ["packed", "doc_id"])
-        trim()
-
-    passed = rows.mapInArrow(run, "packed binary, doc_id long")
-    counts = scratch.table(count_table(passed.join(learn, "doc_id", "left_semi").select("packed")), "counts")
+    wanted = IdFilter(learn, "doc_id")
+    rows = docs.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    with wanted.shared() as shared:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = zstandard.ZstdCompressor(3)
+            for batch in batches:
+                batch = batch.take(pa.array(in_filter(shared.value, batch.column(2).to_numpy())))
+                packed = pa.array([c.compress(t) for t in utf8(batch.column(0))], pa.binary())
+                yield pa.RecordBatch.from_arrays([packed, batch.column(1)], ["packed", "doc_id"])
+            trim()
+
+        passed = rows.withColumn("place", wanted.place("doc_id")).mapInArrow(run, "packed binary, doc_id long")
+        counts = scratch.table(count_table(passed.join(learn, "doc_id", "left_semi").select("packed")), "counts")
     model = scratch.table(model_table(counts, scratch), "model")
     del passed, counts
     scratch.release(*[f"counts{n}" for n in range(1, ORDER)])
     return model
 
 
-def out_of_fold(docs: DataFrame, ids: DataFrame, counts: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """doc_id, text_id and perplexity of the documents of `ids` (doc_id, fold) that are in `counts`, each by a model without its fold.
+def out_of_fold(docs: DataFrame, ids: DataFrame, counts: DataFrame, scratch: Scratch) -> dict[int, DataFrame]:
+    """For each fold of `ids` (a written table of doc_id, fold) but the first: the texts' perplexities by a model without that fold.
 
-    Such a model takes the first fold of `ids` in place of the fold it leaves out.
+    The documents are in `counts`. Such a model takes the first fold of `ids` in
+    place of the fold it leaves out.
     """
     key = F.col("doc_id").cast("long")
     mine = split_by_filter(docs.select("doc_id", "text").where(F.col("text") != ""), ids.select("doc_id"), key, "doc_id")[1]
     mine = scratch.table(mine.select(key.alias("doc_id"), "text").join(ids, "doc_id"), "small")
-    folds = sorted(r["fold"] for r in mine.select("fold").distinct().collect())
+    folds = sorted(r["fold"] for r in mine.select("fold").distinct().collect())  # at most HELD_OUT
     own = scratch.table(count_table(compressed(mine.where("fold = 0"), [])), "small0")
-    out = []
+    out = {}
     for fold in (f for f in folds if f):
         rows = mine.where(F.col("fold") == fold)
         less = count_table(compressed(rows, [])).withColumn("c", -F.col("c"))
         c = counts.unionByName(own).unionByName(less).groupBy("x").agg(F.sum("c").alias("c")).where("c > 0")
         model = scratch.table(model_table(scratch.table(c, "fold_counts"), scratch), "fold_model")
-        out.append(scratch.table(perplexities(rows.select("doc_id", "text"), model, scratch).dropDuplicates(["doc_id", "text_id"]), f"out{fold}"))
+        out[fold] = scratch.table(perplexities(rows, model, scratch), f"out{fold}")
         del rows, less, c, model
         scratch.release("fold_counts", "fold_model", *[f"counts{n}" for n in range(1, ORDER)])
     del mine, own
@@ -219,13 +233,20 @@ def out_of_fold(docs: DataFrame, ids: DataFrame, counts: DataFrame, scratch: Scr
 
 
 def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, text_id and perplexity of every non-empty text: exp of the mean -log p of its bytes."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    """text_id, text_bytes and perplexity of every distinct non-empty text: exp of the mean -log p of its bytes."""
+    texts = docs.where(F.col("text") != "").select("text", *text_key())
+    seen = scratch.table(texts.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("n")), "seen")
+    size = seen.agg(F.sum("text_bytes").alias("b")).first()["b"] or 0
     buckets = max(1, -(-int(size) // BUCKET_BYTES))
-    shards = prime(-(-model.count() // SHARD_ROWS))
-    rows = docs.where(F.col("text") != "").select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_id"), F.lit(buckets)).cast("int"))
-    rows = compressed(rows, ["doc_id", "text_id", "bucket"]).repartition(buckets, "bucket")
+    model_rows = model.count()
+    shards = prime(min(MOST_SHARDS, -(-model_rows // SHARD_ROWS)))
+    together = min(max(TOGETHER, MODEL_SHARE * MODEL_ROW * model_rows // BUCKET_BYTES), max(TOGETHER, 20 * shards))
+    turns = -(-buckets // together)
+    # only texts that may be repeated are shuffled to meet their copies
+    once, repeated = split_by_filter(texts, seen.where("n > 1").select(F.xxhash64(*TEXT).alias("k")), F.xxhash64(*TEXT), "k")
+    repeated = compressed(repeated, TEXT).groupBy(*TEXT).agg(F.first("packed").alias("packed"))
+    rows = compressed(once, TEXT).unionByName(repeated).withColumn("bucket", F.pmod(F.xxhash64(*TEXT), F.lit(buckets)).cast("int"))
+    rows = rows.select("packed", *TEXT, "bucket").repartition(buckets, "bucket")
 
     def ask(table: pa.Table) -> pa.Table:
         d = zstandard.ZstdDecompressor()
@@ -256,10 +277,10 @@ def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFra
         return pa.table({"bucket": pa.array([bucket] * len(parts), pa.int32()), "shard": pa.array(shard[at]), "keys": pa.array([_pack(p) for p in parts], pa.binary())})
 
     asked = rows.groupBy("bucket").applyInArrow(ask, "bucket int, shard int, keys binary")
-    asked = asked.withColumn("turn", (F.col("bucket") / TOGETHER).cast("int"))
-    asked = asked.groupBy("shard", "turn").agg(F.collect_list(F.struct("bucket", "keys")).alias("asked"))  # at most TOGETHER rows each
+    asked = asked.withColumn("turn", (F.col("bucket") / together).cast("int"))
+    asked = asked.groupBy("shard", "turn").agg(F.collect_list(F.struct("bucket", "keys")).alias("asked"))  # at most `together` rows each
     held = model.withColumn("shard", F.pmod(F.col("key"), F.lit(shards)).cast("int")).groupBy("shard").agg(F.collect_list(F.struct("key", F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce("rest", F.lit(1.0)).alias("rest"))).alias("rows"))
-    held = held.select("shard", *[F.col("rows")[c].alias(c) for c in ("key", "own", "rest")])
+    held = held.select("shard", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), *[F.col("rows")[c].alias(c) for c in ("key", "own", "rest")])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,11 +302,11 @@ def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFra
                         out[n].append(v)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), **{n: pa.array(out[n], pa.binary()) for n in ("keys", "own", "rest")}})
 
-    answers = asked.join(held, "shard", "left").select("asked", "key", "own", "rest").mapInArrow(answer, "bucket int, keys binary, own binary, rest binary")
+    answers = asked.join(held, ["shard", "turn"], "left").select("asked", "key", "own", "rest").mapInArrow(answer, "bucket int, keys binary, own binary, rest binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "text_id": pa.array([], pa.int64()), "perplexity": pa.array([], pa.float64())})
+            return pa.table({"text_id": pa.array([], pa.int64()), "text_bytes": pa.array([], pa.int32()), "perplexity": pa.array([], pa.float64())})
         keys = np.concatenate([_unpack(b, np.uint64) for b in right.column("keys").to_pylist()])
         own, rest = (np.concatenate([_unpack(b, np.float32) for b in right.column(c).to_pylist()]).astype(np.float64) for c in ("own", "rest"))
         order = np.argsort(keys)
@@ -299,51 +320,54 @@ def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFra
                 x = ngrams([d.decompress(b.as_py())])[0]
                 out.append(float(np.exp(-logs[np.searchsorted(top, x)].mean())))
         trim()
-        return pa.table({"doc_id": left.column("doc_id"), "text_id": left.column("text_id"), "perplexity": pa.array(out, pa.float64())})
+        return pa.table({"text_id": left.column("text_id"), "text_bytes": left.column("text_bytes"), "perplexity": pa.array(out, pa.float64())})
 
-    return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, "doc_id long, text_id long, perplexity double")
+    return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, "text_id long, text_bytes int, perplexity double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> DataFrame:
-    """doc_id, text_id, perplexity, threshold, rejected for every row of docs (doc_id, text, lang).
+    """doc_id, text_id, text_bytes, lang, perplexity, threshold, rejected for every row of docs (doc_id, text, lang).
 
     The model is trained on labels' trusted documents (quality 1, not toxic),
     but for one in HELD_OUT, whose q-quantile of perplexities is their language's
     threshold. A language with fewer than LEAST of them takes the quantile over
     all its trusted documents, the others scored out of fold; null is a language
-    like others. A document above its threshold is rejected. Null and empty texts
-    have no perplexity and are not rejected; a language without trusted text has
-    no threshold, and nothing of it is rejected. Rows that agree in doc_id and
-    text are scored alike; rows with a null doc_id are scored and never trusted.
-    Other columns are ignored.
+    like others, and the only one where the table has no such column. A document
+    above its threshold is rejected. Null and empty texts have no perplexity and
+    are not rejected; a language without trusted text has no threshold, and
+    nothing of it is rejected. Equal texts have one perplexity; rows with a null
+    doc_id are scored and never trusted. An empty table gives no rows. Other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "kneserney")
     trusted = scratch.table(trusted_ids(labels), "trusted")
     model = train(docs, trusted, scratch)
-    scored = scratch.table(perplexities(docs, model, scratch).dropDuplicates(["doc_id", "text_id"]), "scored")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "lang")
-    both = F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("text_id") == F.col("s_text"))
-    rows = rows.join(scored.select(F.col("doc_id").alias("s_doc"), F.col("text_id").alias("s_text"), "perplexity"), both, "left").drop("s_doc", "s_text")
-    rows = scratch.table(rows, "rows")
-    known = rows.where("perplexity IS NOT NULL").join(trusted, "doc_id").select("doc_id", "text_id", "lang", "perplexity", "fold", "held")
+    scored = scratch.table(perplexities(docs, model, scratch), "scored")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), lang_of(docs))
+    # a text that a large part of the rows share is split by the adaptive join
+    rows = scratch.table(rows.join(scored, TEXT, "left").select("doc_id", *TEXT, "lang", "perplexity"), "rows")
+    known = rows.where("perplexity IS NOT NULL").join(trusted, "doc_id").select("doc_id", *TEXT, "lang", "perplexity", "fold", "held")
     known = scratch.table(known, "known")
     few = known.groupBy("lang").agg(F.sum("held").alias("n")).where(F.col("n") < LEAST).select(F.col("lang").alias("few"))
     small = scratch.table(known.join(few, F.col("lang").eqNullSafe(F.col("few"))).drop("few"), "few")
     seen = known.where("held = 1").select("lang", "perplexity")
     if small.where("held = 0").limit(1).count():
-        unseen = small.where("held = 0").select("doc_id", "text_id", "lang")
-        for scores in out_of_fold(docs, small.select("doc_id", "fold").distinct(), spark.read.parquet(f"{scratch.root}/counts"), scratch):
-            seen = seen.unionByName(unseen.join(scores, ["doc_id", "text_id"]).select("lang", "perplexity"))
-    scratch.release("counts")
+        ids = scratch.table(small.select("doc_id", "fold").distinct(), "few_ids")
+        for fold, scores in out_of_fold(docs, ids, spark.read.parquet(f"{scratch.root}/counts"), scratch).items():
+            unseen = small.where((F.col("held") == 0) & (F.col("fold") == fold)).select(*TEXT, "lang")
+            seen = seen.unionByName(unseen.join(scores, TEXT).select("lang", "perplexity"))
+    scratch.release("counts", "model", "scored", "seen")
     cut = seen.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("perplexity", F.lit(q), F.lit(10_000)).alias("threshold"))
     rows = rows.join(F.broadcast(scratch.table(cut, "cut")), F.col("lang").eqNullSafe(F.col("of")), "left")  # a row for each language
-    return rows.select("doc_id", "text_id", "perplexity", "threshold", F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False)).alias("rejected"))
+    return rows.select("doc_id", *TEXT, "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False)).alias("rejected"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> DataFrame:
-    """The rows of `docs` that the model does not reject, unchanged."""
-    least = F.lit(-(2**63)).cast("long")
-    bad = quality(docs, labels, q).where("rejected").select(F.coalesce("doc_id", least).alias("_doc"), F.col("text_id").alias("_text"))
-    return without_rows(docs, bad, _doc=F.coalesce(F.col("doc_id").cast("long"), least), _text=F.xxhash64("text"))
+    """The rows of `docs` that the model does not reject, unchanged. Cases are as `quality` defines them."""
+    lang = lang_of(docs)
+    lang = F.xxhash64(lang, lang.isNull())
+    bad = quality(docs, labels, q).where("rejected").select(*TEXT, F.xxhash64("lang", F.col("lang").isNull()).alias("in_lang"))
+    text_id, text_bytes = text_key()
+    return without_rows(docs, bad, Scratch(docs.sparkSession, "kneserney"), text_id=text_id, text_bytes=text_bytes, in_lang=lang)

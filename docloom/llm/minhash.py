@@ -9,12 +9,13 @@ with probability 0.96 and a deeper one's with 0.98; with four trees a pair is
 missed about once in 10^5.
 
 Small nodes are compared exhaustively; in a large one every set is compared with
-a few pivots, and the node branches on. A large node most of whose sets are like
-a pivot would hardly get smaller. It ends: once its sets are linked as far as
+a few pivots, and the node branches on, with fewer children beyond a depth that
+unrelated sets hardly reach. A large node most of whose sets seem to link to a
+pivot would hardly get smaller. It ends: once its sets are linked as far as
 other comparisons do it, each set outside the node's largest component is
-compared, on full sets, with all of the node. So no link to an outsider is lost,
-and none within the component is sought again. A small node with very many
-candidates ends likewise.
+compared with all of the node, on full sets where the minwise bytes leave a
+chance. So no link to an outsider is lost, and none within the component is
+sought again. A small node with very many candidates ends likewise.
 
 Comparisons use one byte for each coordinate. What they find are candidates;
 every link is confirmed on the full sets. Candidates between sets that are
@@ -28,19 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, filter_place, id_filter, in_filter, mix, prepare, shingle_sets, sub_batches, trim, utf8
+from docloom.llm.common import IdFilter, Scratch, in_filter, mix, prepare, shingle_sets, sub_batches, trim, utf8
 from docloom.llm.components import components
 
 #: Coordinates that are compared, and how many of them name paths.
 COORDINATES, PATHS = 128, 32
-TREES, ROOT_CHOICES, CHOICES, DEPTH = 4, 2, 4, 4
+TREES, ROOT_CHOICES, CHOICES, DEPTH = 4, 2, 4, 8
+#: Children of a set in a node beyond this depth: what is left there is alike, and 2 keep its rows from multiplying.
+BROAD, NARROW_CHOICES = 4, 2
 #: Sets in a node that is compared exhaustively, at most; pivots of a larger one.
 SMALL, PIVOTS = 128, 16
-#: Equal coordinates that make a candidate (a pair at 0.8 has fewer once in 10^6), that need no doubt, and that make two sets alike.
-CANDIDATE, SURE, ALIKE = 81, 122, 90
+#: Equal coordinates that make a candidate (a pair at 0.8 has fewer once in 10^6), that need no doubt, and that a pair at 0.8 has on average.
+CANDIDATE, SURE, LINKED = 81, 122, 102
 #: Candidates a set, in a small node, beyond which it ends.
 CROWD = 3
 SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, minwise array<int>, bytes binary"
@@ -188,9 +191,9 @@ def salt(c: str, blocks) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(7), c), blocks).cast("int")
 
 
-def branch(placed: DataFrame, sets: DataFrame) -> DataFrame:
+def branch(placed: DataFrame, sets: DataFrame, choices: int) -> DataFrame:
     """Children of the placed sets (node, id): the node's path chooses two coordinates for each."""
-    at = placed.join(sets.select("id", "minwise"), "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(CHOICES - 1))))
+    at = placed.join(sets.select("id", "minwise"), "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(choices - 1))))
     pick = [F.pmod(F.xxhash64("node", F.lit(s), F.col("j")), F.lit(PATHS)).cast("int") for s in (1, 2)]
     tokens = [F.element_at("minwise", c + 1) for c in pick]
     return at.select(F.xxhash64("node", *pick, *tokens).alias("node"), "id")
@@ -211,20 +214,22 @@ def chosen_paths(sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataF
         large = held.where(F.col("size") > SMALL)
         if large.isEmpty():
             break
-        # the pivots: about PIVOTS sets of each node, by hash; a node of any size is dealt over the cluster in blocks
-        pick = F.pmod(F.xxhash64(F.lit(3), "node", "id"), F.col("size")) < PIVOTS
+        # the pivots: the first PIVOTS sets of each node by hash, which each task limits for itself before they meet;
+        # a node of any size is dealt over the cluster in blocks
+        first = Window.partitionBy("node").orderBy(F.xxhash64(F.lit(3), "node", "id"), "id")
+        pick = large.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOTS)
         blocks = F.ceil(F.col("size") / 1024).cast("int")
-        pivots = packed(large.where(pick), ["node", "size"]).select("node", *[F.col(c).alias(f"p_{c}") for c in ("id", "bytes", "n")], F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        pivots = packed(pick, ["node", "size"]).select("node", *[F.col(c).alias(f"p_{c}") for c in ("id", "bytes", "n")], F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
         spread = packed(large.withColumn("block", salt("id", blocks)), ["node", "block"])
         near = scratch.table(compare_pivots(spread.join(pivots, ["node", "block"])), f"near{depth}")
         found.append(near.where(F.col("same") >= CANDIDATE).select("a", "b", "same"))
-        ends = near.groupBy("node").agg(F.avg((F.col("same") >= ALIKE).cast("int")).alias("alike")).where((F.col("alike") >= 0.7) | F.lit(depth == DEPTH)).select("node")
+        ends = near.groupBy("node").agg(F.avg((F.col("same") >= LINKED).cast("int")).alias("linked")).where((F.col("linked") >= 0.7) | F.lit(depth == DEPTH)).select("node")
         ends = scratch.table(ends, f"ends{depth}")
         ended.append(large.select("node", "id").join(ends, "node", "left_semi"))
         rest = large.select("node", "id").join(ends, "node", "left_anti")
         if depth == DEPTH or rest.isEmpty():
             break
-        nodes = branch(rest, sets)
+        nodes = branch(rest, sets, CHOICES if depth < BROAD else NARROW_CHOICES)
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.unionByName(x)
@@ -238,21 +243,23 @@ def chosen_paths(sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataF
 
 
 def shingles_again(docs: DataFrame, wanted: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
-    """id and set (sorted 64-bit hashes) of the wanted documents, with some others that a fixed-size filter lets through."""
-    shared = id_filter(wanted, "id")
+    """id and set (sorted 64-bit hashes) of the wanted documents: a written table with the column id."""
+    found = IdFilter(wanted, "id")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows = rows.withColumn("place", found.place("id"))
+    with found.shared() as shared:
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            batch = batch.take(pa.array(in_filter(bits, batch.column(2).to_numpy())))
-            texts = utf8(batch.column(1))
-            for a, b in sub_batches(np.array([len(t) for t in texts])):
-                grams, first = shingle_sets(texts[a:b], width)
-                sets = [grams[first[i] : first[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "set"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = shared.value
+            for batch in batches:
+                batch = batch.take(pa.array(in_filter(bits, batch.column(2).to_numpy())))
+                texts = utf8(batch.column(1))
+                for a, b in sub_batches(np.array([len(t) for t in texts])):
+                    grams, first = shingle_sets(texts[a:b], width)
+                    sets = [grams[first[i] : first[i + 1]].tobytes() for i in range(b - a)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "set"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    return scratch.table(rows.select("id", "text", filter_place("id").alias("p")).mapInArrow(run, "id long, set binary").join(wanted, "id", "left_semi"), name)
+        return scratch.table(rows.mapInArrow(run, "id long, set binary").join(wanted, "id", "left_semi"), name)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -284,7 +291,7 @@ def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def overlaps(x: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
     """How many elements of the sorted set x each of the sets has."""
-    sizes = np.array([len(m) for m in members])
+    sizes = np.array([len(m) for m in members], np.int64)
     if not len(x) or not sizes.sum():
         return np.zeros(len(members), np.int64)
     every = np.concatenate(members)
@@ -294,9 +301,10 @@ def overlaps(x: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def outside_links(docs: DataFrame, ended: DataFrame, labels: DataFrame, width: int, scratch: Scratch, percent: int) -> DataFrame:
+def outside_links(docs: DataFrame, ended: DataFrame, labels: DataFrame, signed: DataFrame, width: int, scratch: Scratch, percent: int) -> DataFrame:
     """Links between the sets of an ended node that are outside its largest component and any of its sets, on full sets.
 
+    Full sets are compared where the minwise bytes (of `signed`) make a candidate.
     Of the links of one set with one component within a block, one is enough.
     """
     rows = ended.distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -308,13 +316,14 @@ def outside_links(docs: DataFrame, ended: DataFrame, labels: DataFrame, width: i
     if main.isEmpty():
         return none
     rows = rows.join(main, "node")
-    sets = shingles_again(docs, rows.select("id").distinct(), width, scratch, "outside-sets")
-    rows = rows.join(sets, "id")
+    wanted = scratch.table(rows.select("id").distinct(), "outside-ids")
+    sets = shingles_again(docs, wanted, width, scratch, "outside-sets")
+    rows = rows.join(sets.join(signed.select("id", "bytes"), "id"), "id")
     # blocks of 32 outsiders meet blocks of 256 sets of their node
     left = rows.where("label <> main").withColumn("part", salt("id", F.ceil(F.col("outside") / 32).cast("int"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / 256).cast("int") - 1)))
-    left = left.groupBy("node", "part", "block").agg(F.collect_list(F.struct("id", "label", "set")).alias("x"))
+    left = left.groupBy("node", "part", "block").agg(F.collect_list(F.struct("id", "label", "set", "bytes")).alias("x"))
     right = rows.withColumn("block", salt("id", F.ceil(F.col("size") / 256).cast("int")))
-    right = right.groupBy("node", "block").agg(F.collect_list(F.struct("id", "label", "set")).alias("y"))
+    right = right.groupBy("node", "block").agg(F.collect_list(F.struct("id", "label", "set", "bytes")).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,12 +331,14 @@ def outside_links(docs: DataFrame, ended: DataFrame, labels: DataFrame, width: i
             for i in range(batch.num_rows):
                 xs, ys = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 members = [np.frombuffer(y["set"], np.uint64) for y in ys]
-                sizes = np.array([len(m) for m in members])
                 names = np.array([y["label"] for y in ys])
-                for x in xs:
+                rows = [np.frombuffer(b"".join(z["bytes"] for z in side), np.uint8).reshape(-1, COORDINATES) for side in (xs, ys)]
+                for x, same in zip(xs, equal_bytes(*rows), strict=True):
                     own = np.frombuffer(x["set"], np.uint64)
-                    both = overlaps(own, members)
-                    linked = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (names != x["label"]) & (sizes > 0))
+                    near = np.flatnonzero((same >= CANDIDATE) & (names != x["label"]))
+                    both = overlaps(own, [members[j] for j in near])
+                    sizes = np.array([len(members[j]) for j in near], np.int64)
+                    linked = near[(100 * both >= percent * (sizes + len(own) - both)) & (sizes > 0)]
                     _, once = np.unique(names[linked], return_index=True)
                     for j in linked[once]:
                         a.append(min(x["id"], ys[j]["id"]))
@@ -362,10 +373,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     scratch.release("signatures")
     pairs, ended = chosen_paths(classes, scratch, percent)
-    classes = scratch.table(classes.select(*name, "id", "copies"), "classes")
-    scratch.release("sets")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     sets = shingles_again(docs, wanted, width, scratch, "full-sets")
     # first each set's likeliest candidate, then whatever still crosses
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.struct("same", "a", "b").alias("p")).groupBy("id").agg(F.max("p").alias("p"))
@@ -377,10 +385,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         links = links.unionByName(more)
         labels = components(links, scratch, "labels1")
     if not ended.isEmpty():
-        last = outside_links(docs, ended, labels, width, scratch, percent)
+        last = outside_links(docs, ended, labels, classes, width, scratch, percent)
         if not last.isEmpty():
             labels = components(links.unionByName(last), scratch, "labels2")
         scratch.release("outside-sets")
+    classes = scratch.table(classes.select(*name, "id", "copies"), "classes")
+    scratch.release("sets")
 
     named = classes.select(*name, "id", "copies").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     # rows that share a doc_id are one document: the classes it is in meet

@@ -57,7 +57,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     model = toxicity.train(documents, read(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(documents, model, ["doc_id"])
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    # a null doc_id has no remainder
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     predicted = (F.col("toxicity") >= 0.7).cast("int")
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"))
 

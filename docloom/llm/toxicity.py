@@ -288,7 +288,7 @@ def harmless_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     calibrate(model, scored, sample, labels)
     doc, lang = F.xxhash64("doc_id", F.col("doc_id").isNull()), F.xxhash64("lang", F.col("lang").isNull())
     bad = scored.where(rejected(model)).select(doc.alias("_doc"), "_text", lang.alias("_lang"))
-    return without_rows(docs, bad, _doc=doc, _text=F.xxhash64("text"), _lang=lang)
+    return without_rows(docs, bad, Scratch(docs.sparkSession, "toxicity"), _doc=doc, _text=F.xxhash64("text"), _lang=lang)
 
 
 def rejected(model: Model):
