@@ -4,14 +4,18 @@ Every document is the sequence of its lines' IDs. Prefix doubling ranks the
 suffixes: the rank for depth 2h of a position is the rank of the pair (its rank
 for depth h, the rank for depth h of the position h lines on). Suffixes of equal
 rank for depth h are one interval of the suffix array whose longest common
-prefix is at least h lines; an interval of one suffix repeats nothing and takes
-no further part, so the work shrinks with each doubling to what really repeats.
-
-A run of lines is a passage if it holds at least `min_words` words. Every
-passage is covered by minimal ones: for each line the shortest run from it, and
-the shortest run up to it, of that many words. Two overlapping rank intervals
-name such a run exactly, whatever its length, so the copies of a run are the
-members of one interval; all but the first in (doc_id, line) order are deleted.
+prefix is at least h lines. A suffix that shares its prefix with no other is in
+its final place and takes no further part, so the work shrinks with each doubling
+to what really repeats; it ends when every suffix is told apart.
+
+On the way back from the deepest ranks to depth 1 the intervals are split to
+their exact longest common prefixes: the members of an interval of length l
+that agree in the rank of the next h lines are an interval of length l + h below
+it. Of that, the first member in (doc_id, line) order also stays in the upper
+interval, for all of its members share the same with those outside; the others
+leave it. In the end every suffix that is not the first of its interval is a
+later copy of a maximal repeated run of l lines, and goes, if the run holds at
+least `min_words` words.
 
 Only line IDs and positions move; the texts are read twice and joined once with
 the deletions of their document.
@@ -27,45 +31,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, prepare, split_by_filter, trim
+from docloom.llm.common import Scratch, prepare, quoted, split_by_filter, trim, unused
 
 MIN_WORDS = 10
 _SPACE = b" \t\n\x0b\x0c\r"
-_LINES = "doc_id long, text_id long, pos int, hi long, lo long, ahead int, back int"
+_LINES = "doc_id long, text_id long, pos int, hi long, lo long, least int"
 KEY = ["doc_id", "text_id"]
 
 
-def minimal_runs(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each line, the lines in the shortest run from it and in the shortest run up to it with `least` words; 0 if none."""
+def shortest_runs(words: np.ndarray, least: int) -> np.ndarray:
+    """For each line, how many lines from it on hold `least` words; 0 if the document ends before."""
     total = np.concatenate(([0], np.cumsum(words)))
-    n = len(words)
     stop = np.searchsorted(total, total[:-1] + least)
-    ahead = np.where(stop <= n, np.maximum(stop - np.arange(n), 1), 0)
-    start = np.searchsorted(total, total[1:] - least, side="right") - 1
-    back = np.where(total[1:] >= least, np.arange(n) - np.minimum(start, np.arange(n)) + 1, 0)
-    return ahead.astype(np.int32), back.astype(np.int32)
+    return np.where(stop <= len(words), np.maximum(stop - np.arange(len(words)), 1), 0).astype(np.int32)
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line: its document, position, 128-bit ID and minimal runs. Nulls and empty texts have no lines."""
+    """A row for each line: its document, position, 128-bit ID and shortest run of `min_words` words. Nulls and empty texts have no lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(4)]
             owners = []
             for k, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 if not text:
                     continue
                 lines = text.split(b"\n")
                 ids = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), "<i8").reshape(-1, 2)
-                ahead, back = minimal_runs(np.array([len(x.split(None)) for x in lines]), min_words)
-                for p, v in zip(parts, (np.arange(len(lines), dtype=np.int32), ids[:, 0], ids[:, 1], ahead, back), strict=False):
+                least = shortest_runs(np.array([len(x.split(None)) for x in lines]), min_words)
+                for p, v in zip(parts, (np.arange(len(lines), dtype=np.int32), ids[:, 0], ids[:, 1], least), strict=True):
                     p.append(v)
                 owners.append(np.full(len(lines), k))
             if owners:
                 at = pa.array(np.concatenate(owners))
-                columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(p)) for p in parts[:5])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_id", "pos", "hi", "lo", "ahead", "back"])
+                columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.concatenate(p)) for p in parts)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_id", "pos", "hi", "lo", "least"])
         trim()
 
     return docs.mapInArrow(run, _LINES)
@@ -84,50 +84,68 @@ def ranked(rows: DataFrame, by: list[str], scratch: Scratch, name: str) -> DataF
     return rows.join(order, by).drop(*by).withColumnRenamed("_rank", "rank")
 
 
-def suffix_ranks(lines: DataFrame, deepest: int, scratch: Scratch) -> DataFrame:
-    """level, document, pos and rank of every suffix that shares its first 2**level lines with another one."""
-    level = scratch.table(ranked(lines.select(*KEY, "pos", "hi", "lo"), ["hi", "lo"], scratch, "rank0"), "rank0")
-    levels = [level.withColumn("level", F.lit(0))]
-    k = 0
-    while 2 ** (k + 1) <= deepest:
+def suffix_ranks(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """For k = 0, 1, ...: document, pos, least and rank of every suffix that shares its first 2**k lines with another one."""
+    level = scratch.table(ranked(lines, ["hi", "lo"], scratch, "rank0"), "rank0")
+    levels: list[DataFrame] = []
+    while not level.isEmpty():
+        k = len(levels)
+        levels.append(level)
         ahead = level.select(*KEY, (F.col("pos") - 2**k).alias("pos"), F.col("rank").alias("next"))
         pairs = level.join(ahead, [*KEY, "pos"])
-        k += 1
-        level = scratch.table(ranked(pairs, ["rank", "next"], scratch, f"rank{k}"), f"rank{k}")
-        if level.isEmpty():
-            break
-        levels.append(level.withColumn("level", F.lit(k)))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+        level = scratch.table(ranked(pairs, ["rank", "next"], scratch, f"rank{k + 1}"), f"rank{k + 1}")
+    return levels
+
+
+def lcp_intervals(levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """node, n_lines (the longest common prefix of its members), document, pos, least and later (false for a node's first member).
+
+    A suffix is in one node as a later member at most, and may be the first one of
+    several nested nodes. Suffixes whose repeated prefix is shorter than `least`
+    lines are left out, as far as the depth of a level shows it.
+    """
+    here = ["node", "n_lines", *KEY, "pos", "least", "later"]
+    place = F.struct(*KEY, "pos")
+    nodes: DataFrame | None = None
+    moved: DataFrame | None = None  # suffixes that are no longer in the root, where all begin
+    for j in range(len(levels) - 1, -1, -1):
+        ranks = levels[j]
+        root = ranks.where((F.col("least") > 0) & (F.floor(F.log2(F.col("least") + F.lit(0.5))) <= j))
+        if moved is not None:
+            root = root.join(moved, [*KEY, "pos"], "left_anti")
+        at = root.select(F.lit(0).cast("long").alias("node"), F.lit(0).alias("n_lines"), *KEY, "pos", "least", F.lit(False).alias("later"), "rank")
+        if nodes is not None:
+            ahead = nodes.withColumn("at", F.col("pos") + F.col("n_lines"))
+            next_ = ranks.select(*KEY, F.col("pos").alias("at"), "rank")
+            at = at.unionByName(ahead.join(next_, [*KEY, "at"], "left").drop("at"))
+        at = scratch.table(at, f"at{j}")
+        found = at.where("rank IS NOT NULL")
+        groups = found.groupBy("node", "rank").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        found = found.join(groups, ["node", "rank"], "left").withColumn("goes", place != F.col("first"))
+        # in the new interval: all of a group; in the old one: all but those that go on
+        below = F.struct(F.xxhash64("node", "rank", F.lit(j)).alias("node"), (F.col("n_lines") + 2**j).alias("n_lines"), F.col("goes").alias("later"))
+        stays = F.struct("node", "n_lines", "later")
+        both = F.when(F.col("goes").isNull(), F.array(stays)).when(F.col("goes"), F.array(below)).otherwise(F.array(stays, below))
+        found = found.select(*KEY, "pos", "least", F.explode(both).alias("x")).select(*KEY, "pos", "least", "x.*")
+        stay = at.where("rank IS NULL").select(*here)
+        out = scratch.table(found.where("node <> 0").select(*here).unionByName(stay), f"nodes{j}")
+        nodes = out
+        # no suffix comes back to the root: those that have left it are later members now
+        moved = nodes.where("later").select(*KEY, "pos")
+        scratch.drop(f"at{j}", f"nodes{j + 1}")
+    return nodes
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
-    """The later copies of minimal repeated passages: doc_id, text_id, pos (first line), n_lines."""
+    """The later copies of maximal repeated passages: doc_id, text_id, pos (first line), n_lines."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     # rows that agree in doc_id and text are one document here
-    lines = scratch.table(line_table(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), "text"), min_words).dropDuplicates([*KEY, "pos"]), "lines")
-    runs = lines.where("ahead > 0").select(*KEY, "pos", F.col("ahead").alias("n_lines")).unionByName(
-        lines.where("back > 1").select(*KEY, (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("n_lines"))
-    )
-    deepest = runs.agg(F.max("n_lines")).first()[0] or 0
-    ranks = suffix_ranks(lines, deepest, scratch)
-    runs = runs.distinct().withColumn("level", F.floor(F.log2(F.col("n_lines") + F.lit(0.5))).cast("int"))
-    head = ranks.select(*KEY, "pos", "level", F.col("rank").alias("r1"))
-    tail = ranks.select(*KEY, F.col("pos").alias("at"), "level", F.col("rank").alias("r2"))
-    named = (
-        runs.join(head, [*KEY, "pos", "level"])
-        .withColumn("at", F.expr("pos + n_lines - shiftleft(1, level)"))
-        .join(tail, [*KEY, "at", "level"])
-        .select(*KEY, "pos", "n_lines", "level", "r1", "r2")
-    )
-    named = scratch.table(named, "named")
-    interval = ["level", "n_lines", "r1", "r2"]
-    place = F.struct("doc_id", "text_id", "pos")
-    first = named.groupBy(*interval).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = named.join(first, interval).where(place != F.col("first"))
-    return later.select(*KEY, "pos", "n_lines")
+    lines = line_table(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), "text"), min_words)
+    lines = scratch.table(lines.dropDuplicates([*KEY, "pos"]), "lines")
+    levels = suffix_ranks(lines, scratch)
+    if not levels:
+        return lines.select(*KEY, "pos", F.col("least").alias("n_lines")).limit(0)
+    return lcp_intervals(levels, scratch).where("later AND n_lines >= least").select(*KEY, "pos", "n_lines")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -149,17 +167,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     least = F.lit(-(2**63)).cast("long")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), "text").where("text <> ''")
     runs = repeated_runs(keyed, min_words, scratch)
-    cuts = runs.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "n_lines")).alias("_cuts"))  # at most two a line of one document
+    cuts = runs.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "n_lines")).alias("cuts"))  # at most one a line of one document
     cuts = scratch.table(cuts, "cuts")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    rows = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), least).alias("_doc"), F.xxhash64("text").alias("_text_id"))
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
+    own = quoted(names)
+    doc, text_id, runs_of, new = unused(names, "in_doc", "text_id", "cuts", "rest")
+    rows = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), least).alias(doc), F.xxhash64("text").alias(text_id))
     # only documents that a filter of fixed size lets through are shuffled to their deletions
-    quiet, touched = split_by_filter(rows, cuts.select(F.xxhash64(*KEY).alias("k")), F.xxhash64("_doc", "_text_id"), "k")
+    quiet, touched = split_by_filter(rows, cuts.select(F.xxhash64(*KEY).alias("k")), F.xxhash64(doc, text_id), "k")
     n_lines = F.when(F.col("text") != "", F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    quiet = quiet.select(*names, n_lines.cast("int").alias("n_lines"), F.lit(0).alias("n_deleted"))
-    cuts = cuts.select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text_id"), "_cuts")
-    touched = touched.join(cuts, ["_doc", "_text_id"], "left").withColumn("_new", F.arrow_udf(without, "text string, n_lines int, n_deleted int")("text", "_cuts"))
-    touched = touched.select(*[F.col("_new.text").alias(c) if c == "text" else F.col(c) for c in names], F.col("_new.n_lines").alias("n_lines"), F.col("_new.n_deleted").alias("n_deleted"))
+    quiet = quiet.select(*own, n_lines.cast("int").alias("n_lines"), F.lit(0).alias("n_deleted"))
+    touched = touched.join(cuts.toDF(doc, text_id, runs_of), [doc, text_id], "left")
+    touched = touched.withColumn(new, F.arrow_udf(without, "text string, n_lines int, n_deleted int")("text", runs_of))
+    rest = [F.col(f"{new}.text").alias(c) if c.lower() == "text" else F.col(q) for c, q in zip(names, own, strict=True)]
+    touched = touched.select(*rest, F.col(f"{new}.n_lines").alias("n_lines"), F.col(f"{new}.n_deleted").alias("n_deleted"))
     return quiet.unionByName(touched)
 
 
