@@ -6,8 +6,9 @@ widths slide over the words, each keeps its maximum over the whole text, and a
 logistic layer scores the maxima. Rows that too few training texts hold stay
 zero: an unknown word says nothing.
 
-The fit takes a bounded sample of the labelled rows; scoring runs over every
-text in Arrow batches. Thresholds for keeping documents are calibrated for each
+The fit takes a sample of the labelled rows, bounded in rows and in bytes, and
+runs in one executor task, which returns the model; the driver holds no texts.
+Scoring runs over every text in Arrow batches. Thresholds for keeping documents are calibrated for each
 language on all labelled rows that the fit leaves out, and, where these are few,
 on its rows scored out of fold; the language chooses a threshold and never
 enters a score.
@@ -15,20 +16,24 @@ enters a score.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, prepare, sub_batches, trim, utf8, without_rows, words_of
+from docloom.llm.common import Scratch, lang_of, prepare, quoted, sub_batches, trim, unused, utf8, without_rows, words_of
 
 PREFIXES = (4, 5, 6, 8)
 SLOT_BITS, DIM, FILTERS, WIDTHS = 19, 6, 4, (1, 2, 3)
 #: Labelled rows that the fit takes at most: of each class, the first by a hash of doc_id.
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
+#: Text bytes that the fit takes at most: a task's memory is a few times as much.
+MAX_BYTES = 48 << 20
 #: Training texts that must hold a word or prefix before it gets an embedding.
 MIN_TEXTS = 4
 #: Folds of the sample; the fit leaves the last out.
@@ -57,6 +62,17 @@ class Model:
     thresholds: dict[str | None, float] = field(default_factory=dict)
     threshold: float = 0.7
 
+    def __getstate__(self) -> dict:
+        """All but a few rows of the table are zero, and only the others travel."""
+        at = np.flatnonzero(self.table.any(1))
+        return {**self.__dict__, "table": (len(self.table), at, self.table[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        n, at, rows = state["table"]
+        self.__dict__.update(state)
+        self.table = np.zeros((n, rows.shape[1]), np.float32)
+        self.table[at] = rows
+
     def pooled(self, rows: np.ndarray, first: np.ndarray, where: bool = False):
         """The filters' maxima for each text (0 for a text shorter than a filter); with `where` also the words that made them."""
         n, k = len(first) - 1, len(WIDTHS) * FILTERS
@@ -180,94 +196,155 @@ def threshold_of(scores: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> fl
     return float(np.clip(cut, 0.3, 0.9))
 
 
+def nothing_learnt() -> Model:
+    """The model where a class has no rows: every text gets the same low score."""
+    k = len(WIDTHS) * FILTERS
+    zero = [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS]
+    return Model(np.zeros((1 << SLOT_BITS, DIM), np.float32), zero, np.zeros(k, np.float32), np.zeros(k), -3.0)
+
+
 def learnable(labels: DataFrame) -> DataFrame:
-    """doc_id and toxic of the labelled rows that may teach: crc32(doc_id as text) mod 3 is not 1."""
+    """doc_id and toxic of the labelled documents that may teach: crc32(doc_id as text) mod 3 is not 1. A document with both labels is toxic."""
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
-    return labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(learn & F.col("toxic").isin(0, 1))
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(learn & F.col("toxic").isin(0, 1))
+    return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-@dataclass
-class Sample:
-    """The rows that a fit may take, with the fold of each."""
-
-    ids: pa.ChunkedArray
-    texts: list[bytes]
-    toxic: np.ndarray
-    langs: list[str | None]
-    folds: np.ndarray
-
-    def fitted(self, without: int) -> Model:
-        """A model of all folds but one. With no row of one class every text gets the same low score."""
-        rows = np.flatnonzero(self.folds != without)
-        if self.toxic[rows].sum() in (0, len(rows)):
-            k = len(WIDTHS) * FILTERS
-            zero = [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS]
-            return Model(np.zeros((1 << SLOT_BITS, DIM), np.float32), zero, np.zeros(k, np.float32), np.zeros(k), -3.0)
-        return fit([self.texts[i] for i in rows], self.toxic[rows])
-
-
-def sample_of(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Sample:
-    """At most `max_toxic` and `max_clean` learnable rows, the first by a hash of doc_id. Null texts count as empty."""
+SAMPLE = "doc_id long, text string, toxic int, lang string, fold int"
+
+
+def sample_of(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows that a fit may take, written, with the fold of each: doc_id, text, toxic, lang, fold.
+
+    At most `max_toxic` and `max_clean` learnable rows and `max_bytes` of whole
+    texts, the first by a hash of doc_id. Null texts count as empty. Rows of one
+    doc_id share a fold.
+    """
     chosen = learnable(labels).withColumn("o", F.xxhash64("doc_id"))
     first = [chosen.where(F.col("toxic") == t).orderBy("o", "doc_id").limit(n) for t, n in ((1, max_toxic), (0, max_clean))]
-    sample = F.broadcast(first[0].unionByName(first[1]).dropDuplicates(["doc_id"]))  # at most max_toxic + max_clean rows
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(sample, "doc_id")
+    sample = F.broadcast(first[0].unionByName(first[1]))  # at most max_toxic + max_clean rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang_of(docs)).join(sample, "doc_id")
     # a repeated doc_id must not widen the bound
-    got = rows.orderBy("o", "doc_id", "text").limit(max_toxic + max_clean).select("doc_id", "text", "toxic", "lang").toArrow()
-    ids = got.column("doc_id").to_pylist()
-    # rows of one doc_id share a fold
-    folds = np.cumsum([k > 0 and i != ids[k - 1] for k, i in enumerate(ids)], dtype=np.int64) % FOLDS
-    return Sample(got.column("doc_id"), utf8(got.column("text")), np.array(got.column("toxic").to_pylist(), np.int64), got.column("lang").to_pylist(), folds)
+    rows = rows.orderBy("o", "doc_id", "text").limit(max_toxic + max_clean).select("doc_id", "text", "toxic", "lang")
+
+    def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, held = None, -1, 0
+        for batch in batches:
+            ids, sizes = batch.column(0).to_pylist(), [len(t) for t in utf8(batch.column(1))]
+            fold = []
+            for i, size in zip(ids, sizes, strict=True):
+                held += size
+                if held > max_bytes:
+                    break
+                n, last = n + (i != last), i
+                fold.append(n % FOLDS)
+            part = batch.slice(0, len(fold))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fold, pa.int32())], ["doc_id", "text", "toxic", "lang", "fold"])
+            if held > max_bytes:
+                return
+
+    prepare(docs.sparkSession)
+    return scratch.table(rows.coalesce(1).mapInArrow(folds, SAMPLE), "sample")
+
+
+def fitted(sample: DataFrame, without: int = FOLDS - 1) -> Model:
+    """A model of all folds but one, fitted in one executor task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, _ = _fit_rest(batches, without)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+        trim()
+
+    # the rows of the table that are not zero: bounded by the sample, and by 2**SLOT_BITS in any case
+    return pickle.loads(sample.coalesce(1).mapInArrow(run, "model binary").first()["model"])
+
+
+def out_of_fold(sample: DataFrame, folds: list[int]) -> DataFrame:
+    """lang, toxic and toxicity of the sample's rows in these folds, each scored by a model fitted without its fold: a task for each fold."""
+    parts = []
+    for fold in folds:
+
+        def run(batches: Iterator[pa.RecordBatch], fold: int = fold) -> Iterator[pa.RecordBatch]:
+            model, (texts, toxic, langs) = _fit_rest(batches, fold)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "toxic": pa.array(toxic, pa.int32()), "toxicity": pa.array(model.score(texts), pa.float64())})
+            trim()
+
+        parts.append(sample.coalesce(1).mapInArrow(run, "lang string, toxic int, toxicity double"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _fit_rest(batches: Iterator[pa.RecordBatch], without: int) -> tuple[Model, tuple[list[bytes], list[int], list[str | None]]]:
+    """A model of the rows outside a fold, and the fold's texts, labels and languages."""
+    own, rest = ([], [], []), ([], [])
+    for batch in batches:
+        for text, toxic, lang, fold in zip(utf8(batch.column(1)), *(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+            for part, x in zip(own if fold == without else rest, (text, toxic, lang), strict=False):
+                part.append(x)
+    texts, labels = rest
+    model = fit(texts, np.array(labels)) if 0 < sum(labels) < len(labels) else nothing_learnt()
+    return model, own
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """A model of labels.toxic, fitted on all folds of the sample but the last."""
-    return sample_of(docs, labels, max_toxic, max_clean).fitted(FOLDS - 1)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    model = fitted(sample_of(docs, labels, scratch, max_toxic, max_clean))
+    scratch.drop("sample")
+    return model
 
 
-def calibrate(model: Model, scored: DataFrame, sample: Sample, labels: DataFrame) -> None:
+def calibrate(model: Model, scored: DataFrame, sample: DataFrame, labels: DataFrame) -> None:
     """The model's thresholds, for each language (null is one) with labelled rows of both classes.
 
     They come from every learnable row of `scored` (doc_id, lang, toxicity) that
     the model was not fitted on. A language with fewer than LEAST of them of a
     class adds the fitted rows, each scored by a model fitted without its fold.
     """
-    fitted = sample.folds != FOLDS - 1
-    used = scored.sparkSession.createDataFrame(pa.table({"doc_id": sample.ids.filter(pa.array(fitted))})).distinct()  # at most the sample
-    rest = learnable(labels).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(F.broadcast(used), "doc_id", "left_anti")
     step = F.floor(F.col("toxicity") * STEPS).cast("int").alias("step")
-    counts = scored.join(rest, "doc_id").groupBy("lang", step).agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    sums = (F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    used = sample.where(F.col("fold") != FOLDS - 1).select("doc_id").distinct()
+    rest = learnable(labels).join(F.broadcast(used), "doc_id", "left_anti")  # at most the sample
     bars: dict[str | None, list[tuple[float, int, int]]] = {}
-    for r in counts.collect():  # at most STEPS + 1 rows a language
-        bars.setdefault(r["lang"], []).append((r["step"] / STEPS, r["toxic"], r["clean"]))
-    langs = np.array(sample.langs, dtype=object)
-    few = {x for x in {*sample.langs, *bars} if min(sum(b[k] for b in bars.get(x, [])) for k in (1, 2)) < LEAST}
-    mine = fitted & np.array([x in few for x in langs], bool)
-    for fold in np.unique(sample.folds[mine]):
-        at = np.flatnonzero(mine & (sample.folds == fold))
-        other = sample.fitted(int(fold))
-        for i, score in zip(at, other.score([sample.texts[j] for j in at]), strict=True):
-            y = int(sample.toxic[i])
-            bars.setdefault(langs[i], []).append((np.floor(score * STEPS) / STEPS, y, 1 - y))
-    for lang, found in bars.items():
-        s, back = np.unique([b[0] for b in found], return_inverse=True)
-        t = threshold_of(s, *(np.bincount(back, [b[k] for b in found]) for k in (1, 2)))
+
+    def add(counts: DataFrame) -> None:
+        for r in counts.groupBy("lang", step).agg(*sums).collect():  # at most STEPS + 1 rows a language
+            bars.setdefault(r["lang"], []).append((r["step"] / STEPS, r["toxic"], r["clean"]))
+
+    add(scored.join(rest, "doc_id"))
+    found: dict[str | None, set[int]] = {}
+    for r in sample.where(F.col("fold") != FOLDS - 1).select("lang", "fold").distinct().collect():  # at most the sample
+        found.setdefault(r["lang"], set()).add(r["fold"])
+    few = [x for x in found if min(sum(b[k] for b in bars.get(x, [])) for k in (1, 2)) < LEAST]
+    if few:
+        rows = out_of_fold(sample, sorted(set().union(*(found[x] for x in few))))
+        in_few = F.lit(False)
+        for x in few:
+            in_few |= F.col("lang").eqNullSafe(F.lit(x))
+        add(rows.where(in_few))
+    for lang, counts in bars.items():
+        s, back = np.unique([b[0] for b in counts], return_inverse=True)
+        t = threshold_of(s, *(np.bincount(back, [b[k] for b in counts]) for k in (1, 2)))
         if t is not None:
             model.thresholds[lang] = t
 
 
-def score_documents(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model | Broadcast, columns: list[str]) -> DataFrame:
     """`columns` of every row and its `toxicity` (0 to 1), from the whole text; null and empty texts get the bias alone.
 
-    Repeated rows and null doc_ids are scored like others; an empty table gives no rows.
+    Repeated rows and null doc_ids are scored like others; an empty table gives
+    no rows. Columns that are not asked for are ignored, whatever their names;
+    one that is asked for must not be called `toxicity`.
     """
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(model)  # a fixed number of rows, whatever the corpus
-    source = docs.select(*columns) if "text" in columns else docs.select(*columns, F.col("text").alias("_scored"))
-    at = columns.index("text") if "text" in columns else len(columns)
-    schema = docs.select(*columns, F.lit(0.0).cast("double").alias("toxicity")).schema
+    # a fixed number of rows, whatever the corpus
+    shared = model if isinstance(model, Broadcast) else spark.sparkContext.broadcast(model)
+    source = docs.select(*quoted(columns), F.col("text").alias(unused(columns, "text")[0]))
+    at = len(columns)
+    schema = docs.select(*quoted(columns), F.lit(0.0).cast("double").alias("toxicity")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,16 +356,26 @@ def score_documents(docs: DataFrame, model: Model, columns: list[str]) -> DataFr
 
 
 def harmless_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` (doc_id, text, lang) below their language's threshold, unchanged."""
-    sample = sample_of(docs, labels)
-    model = sample.fitted(FOLDS - 1)
-    rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("_text"), "text")
-    scored = score_documents(rows, model, ["doc_id", "lang", "_text"])
-    scored = Scratch(docs.sparkSession, "toxicity").table(scored, "scored")
+    """The rows of `docs` (doc_id, text, lang if there is one) below their language's threshold, unchanged.
+
+    Rows that agree in doc_id, text and language share their fate; rows without a
+    doc_id or text are judged by their score like others. An empty table gives no
+    rows. Other columns pass unchanged, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = sample_of(docs, labels, scratch)
+    model = fitted(sample)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select("doc_id", lang_of(docs), F.xxhash64("text").alias("text_id"), "text")
+    scored = scratch.table(score_documents(rows, shared, ["doc_id", "lang", "text_id"]), "scored")
+    shared.destroy()
     calibrate(model, scored, sample, labels)
-    doc, lang = F.xxhash64("doc_id", F.col("doc_id").isNull()), F.xxhash64("lang", F.col("lang").isNull())
-    bad = scored.where(rejected(model)).select(doc.alias("_doc"), "_text", lang.alias("_lang"))
-    return without_rows(docs, bad, Scratch(docs.sparkSession, "toxicity"), _doc=doc, _text=F.xxhash64("text"), _lang=lang)
+    lang = lang_of(docs)
+    doc, lang = F.xxhash64("doc_id", F.col("doc_id").isNull()), F.xxhash64(lang, lang.isNull())
+    bad = scored.where(rejected(model)).select(doc.alias("doc"), "text_id", lang.alias("in_lang"))
+    out = without_rows(docs, bad, scratch, doc=doc, text_id=F.xxhash64("text"), in_lang=lang)
+    scratch.drop("sample", "scored")
+    return out
 
 
 def rejected(model: Model):

@@ -1,11 +1,13 @@
 import math
+import pickle
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from docloom.llm import kneserney, sharding, toxicity
-from docloom.llm.common import Scratch, without_rows
+from docloom.llm.common import LOWER, IdFilter, Scratch, split_by_filter, without_rows
 from pyspark.sql import functions as F
 
 
@@ -39,6 +41,39 @@ def test_one_more_shard_moves_little(table):
     assert sum(before[i] != after[i] for i in before) < 0.35 * len(before)
 
 
+def test_rows_against_a_plain_clockwise_walk(table, odd):
+    """Shards of rows placed one by one: each tries the shards that it meets clockwise, first choices before second ones."""
+    import hashlib
+
+    for docs in (table("documents"), odd):
+        keyed = docs.select("doc_id", F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")).alias("k")).collect()
+        slots = 1 << sharding.SLOT_BITS
+        rows = sorted(((r.k % 2**64) * slots >> 64, r.k, r.doc_id or -1) for r in keyed)
+        ring = sorted((int.from_bytes(hashlib.blake2b(f"{s}:{v}".encode(), digest_size=8).digest(), "big") * slots >> 64, s, v) for s in range(8) for v in range(64))
+        room = [len(rows) // 8 + (s < len(rows) % 8) for s in range(8)]
+        shard = {}
+        for choice in range(8):
+            for n, (slot, _, _) in enumerate(rows):
+                if n not in shard:
+                    met = []
+                    for _, s, _ in [x for x in ring if x[0] >= slot] + [x for x in ring if x[0] < slot]:
+                        if s not in met:
+                            met.append(s)
+                    if room[met[choice]]:
+                        room[met[choice]] -= 1
+                        shard[n] = met[choice]
+        want = Counter((rows[n][2], s) for n, s in shard.items())
+        assert Counter((r.doc_id or -1, r.shard) for r in sharding.assign_shards(docs).collect()) == want
+
+
+def test_copies_of_one_row_fill_shards(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    docs = spark.range(100).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    rows = sharding.assign_shards(docs).collect()
+    assert sorted(Counter(r.shard for r in rows).values()) == [12] * 4 + [13] * 4
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in range(8))
+
+
 def test_walk_fills_clockwise():
     plan = sharding.walk({0: 10, 5: 10}, 2, 4, 16, 0.0)
     assert plan.groupby("shard").apply(lambda g: (g.hi - g.lo).sum(), include_groups=False).tolist() == [10, 10]
@@ -81,7 +116,9 @@ def test_toxicity_of_odd_rows(spark, odd, empty, table):
     nothing = toxicity.train(empty, table("labels"))
     assert all(r.toxicity == pytest.approx(1 / (1 + math.exp(3))) for r in toxicity.score_documents(odd, nothing, ["doc_id"]).collect())
     kept = toxicity.harmless_documents(odd, table("labels"))
-    assert kept.columns == odd.columns
+    assert kept.columns == odd.columns and kept.count() == odd.count()
+    plain = odd.drop("lang")
+    assert toxicity.harmless_documents(plain, table("labels")).columns == plain.columns
 
 
 def test_thresholds_cover_all_labelled_rows(spark):
@@ -96,13 +133,13 @@ def test_thresholds_cover_all_labelled_rows(spark):
     rows.append((5000, "kind calm text", "sv"))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
-    sample = toxicity.sample_of(docs, marks, 30, 60)
-    model = sample.fitted(toxicity.FOLDS - 1)
+    sample = toxicity.sample_of(docs, marks, Scratch(spark, "test"), 30, 60)
+    model = toxicity.fitted(sample)
     scored = toxicity.score_documents(docs, model, ["doc_id", "lang"]).cache()
     toxicity.calibrate(model, scored, sample, marks)
     assert set(model.thresholds) == {"en", "fi", None}
     # en has enough rows left out, many beyond the sample: its threshold is theirs
-    used = {i for i, f in zip(sample.ids.to_pylist(), sample.folds, strict=True) if f != toxicity.FOLDS - 1}
+    used = {r.doc_id for r in sample.collect() if r.fold != toxicity.FOLDS - 1}
     toxic = dict(labels)
     left = [(math.floor(r.toxicity * toxicity.STEPS) / toxicity.STEPS, toxic[r.doc_id]) for r in scored.collect() if r.lang == "en" and r.doc_id not in used]
     s, y = (np.array(x) for x in zip(*left, strict=True))
@@ -116,6 +153,49 @@ def test_toxicity_sample_is_not_lowered():
     assert toxicity.MAX_TOXIC >= 3000 and toxicity.MAX_CLEAN >= 6000
 
 
+def slow_score(model, text):
+    """The network word by word and filter by filter."""
+    words = [w for w in re.split(rb"[ \t\n\x0b\x0c\r]+", text.translate(LOWER)) if w]
+    vectors = []
+    for w in words:
+        rows, _ = toxicity.slots([w])
+        vectors.append(sum(model.table[r].astype(float) for r in rows[0]))
+    z, k = float(model.out_bias), 0
+    for width, weights in zip(toxicity.WIDTHS, model.weights, strict=True):
+        for f in range(toxicity.FILTERS):
+            found = [sum(float(vectors[i + j] @ weights[j * toxicity.DIM : (j + 1) * toxicity.DIM, f]) for j in range(width)) + float(model.bias[k]) for i in range(len(words) - width + 1)]
+            z += max([0.0, *found]) * float(model.out[k])
+            k += 1
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_against_a_loop(spark, table, odd):
+    model = toxicity.train(table("documents"), table("labels"))
+    for df in (table("documents").where("doc_id < 40"), odd.where("doc_id <> 8 OR doc_id IS NULL")):
+        texts = {r.k: r.text or "" for r in df.select(F.xxhash64("text").alias("k"), "text").collect()}
+        rows = df.select(F.xxhash64("text").alias("k"), "text")
+        for r in toxicity.score_documents(rows, model, ["k"]).collect():
+            assert r.toxicity == pytest.approx(slow_score(model, texts[r.k].encode()), abs=1e-4)
+
+
+def test_a_model_travels_without_its_empty_rows(table):
+    model = toxicity.train(table("documents"), table("labels"))
+    packed = pickle.dumps(model)
+    assert len(packed) < 2_000_000 < model.table.nbytes
+    assert np.array_equal(pickle.loads(packed).table, model.table)
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark, table):
+    docs, labels = table("documents"), table("labels")
+    rows = toxicity.sample_of(docs, labels, Scratch(spark, "test"), max_bytes=30_000).collect()
+    whole = toxicity.sample_of(docs, labels, Scratch(spark, "test")).collect()
+    assert 0 < sum(len(r.text.encode()) for r in rows) <= 30_000 and set(rows) < set(whole)
+    # a document with both labels is toxic, one row each
+    i = next(r.doc_id for r in whole if not r.toxic)
+    both = labels.unionByName(labels.where(F.col("doc_id") == i).withColumn("toxic", F.lit(1).cast("int")))
+    assert [r.toxic for r in toxicity.sample_of(docs, both, Scratch(spark, "test")).collect() if r.doc_id == i] == [1]
+
+
 def test_filters_see_whole_texts():
     texts = [("nice words here " * 30 + ("vile brute " if k % 2 else "") + "more of it " * 200).encode() for k in range(80)]
     model = toxicity.fit(texts, np.array([k % 2 for k in range(80)]))
@@ -174,14 +254,15 @@ def test_perplexity_against_dictionaries(spark):
     other = [(100, "the dog sat"), (101, "ZZZ!! ###"), (102, "é"), (103, ""), (104, None), (None, "the dog sat"), (105, "the cat " * 20000)]
     docs = spark.createDataFrame(train + other, "doc_id long, text string")
     scratch = Scratch(spark, "test")
-    trusted = spark.createDataFrame([(i, 0) for i, _ in train], "doc_id long, held int")
+    trusted = scratch.table(spark.createDataFrame([(i, 0) for i, _ in train], "doc_id long, held int"), "trusted")
     model = kneserney.train(docs, trusted, scratch)
     want = brute_model([t.encode() for _, t in train])
     got = kneserney.perplexities(docs, model, scratch).collect()
-    assert len(got) == len(train) + 5
-    texts = dict(train + other)
+    # equal texts are scored once
+    assert len(got) == len(train) + 4
+    texts = {r.k: r.text for r in docs.select(F.xxhash64("text").alias("k"), "text").collect()}
     for r in got:
-        assert r.perplexity == pytest.approx(want(texts[r.doc_id].encode()), rel=1e-5)
+        assert r.perplexity == pytest.approx(want(texts[r.text_id].encode()), rel=1e-5)
 
 
 def test_quality_separates_labels(spark):
@@ -203,6 +284,10 @@ def test_quality_of_odd_rows(spark, odd, empty, table):
     assert len({r.perplexity for r in rows if r.doc_id == 1}) == 1
     assert kneserney.good_documents(odd, labels).columns == odd.columns
     assert kneserney.quality(empty, labels).collect() == []
+    plain = odd.drop("lang")
+    assert kneserney.good_documents(plain, labels).columns == plain.columns
+    rows = kneserney.quality(plain, labels).collect()
+    assert len(rows) == odd.count() and {r.lang for r in rows} == {None}
     assert kneserney.quality(odd, labels.limit(0)).where("rejected").count() == 0
 
 
@@ -239,6 +324,20 @@ def test_small_languages_have_their_own_threshold(spark):
 
 def test_rows_without_others(spark, odd):
     bad = spark.createDataFrame([(1,), (8,)], "_doc long")
-    rest = without_rows(odd, bad, _doc=F.col("doc_id"))
+    rest = without_rows(odd, bad, Scratch(spark, "test"), _doc=F.col("doc_id"))
     assert rest.columns == odd.columns
     assert sorted(map(repr, rest.collect())) == sorted(repr(r) for r in odd.collect() if r.doc_id not in (1, 8))
+
+
+def test_filter_holds_every_id(spark):
+    scratch = Scratch(spark, "test")
+    ids = scratch.table(spark.range(0, 30_000, 3), "ids")
+    for n in (0, 1, 10_000):
+        some = scratch.table(ids.limit(n), f"ids{n}")
+        clear, hit = split_by_filter(spark.range(30_000), some, F.col("id"), "id")
+        assert clear.count() + hit.count() == 30_000 and clear.join(some, "id").count() == 0
+        assert hit.count() <= n + 0.08 * 30_000
+    found = IdFilter(ids, "id")
+    with found.shared() as bits:
+        places = np.array([r[0] for r in ids.select(found.place("id")).collect()])
+        assert len(np.flatnonzero(bits.value[places >> 5] >> (places & 31).astype(np.uint32) & 1)) == 10_000
