@@ -12,6 +12,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,29 @@ def _delete_roots() -> None:
             return
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Let the driver's JVM give freed native memory back: its compiler leaves much of it. A JVM without that command is left alone."""
+    gateway = spark.sparkContext._gateway
+    jvm = gateway.jvm
+
+    def array(kind, *items):
+        out = gateway.new_array(kind, len(items))
+        for k, x in enumerate(items):
+            out[k] = x
+        return out
+
+    try:
+        # the server's class is not public, its interface is
+        types = [jvm.java.lang.Class.forName(n) for n in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *types))
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        empty = array(jvm.java.lang.Object), array(jvm.java.lang.String)
+        invoke.invoke(server, array(jvm.java.lang.Object, name, "systemTrimNativeHeap", *empty))
+    except Py4JError:
+        return
+
+
 class Scratch:
     """Written tables that cut lineage: each survives the loss of any executor.
 
@@ -79,6 +103,7 @@ class Scratch:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         self.kept.add(name)
+        trim_driver(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
