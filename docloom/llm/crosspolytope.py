@@ -8,7 +8,10 @@ exact Euclidean distances to the original query vector.
 
 Every row is in every table. A bucket is split into blocks of bounded size, all
 of which a query visits, so a bucket that holds a third of the rows costs time
-in proportion and no task holds it whole. The index has no fitted part.
+in proportion and no task holds it whole. The index has no fitted part. Vectors
+travel in the width that the table has (float or double) and are compared in
+double precision. A query that finds fewer than k rows in its buckets is compared
+with all rows of its length, block by block.
 """
 
 from __future__ import annotations
@@ -52,23 +55,28 @@ def axes(v: np.ndarray, table: int, probes: int) -> np.ndarray:
     return np.argsort(-signed, 1, kind="stable")[:, :probes]
 
 
-def hashed(rows: DataFrame, tables: int, probes: int) -> DataFrame:
-    """A row for each table and probe: vec_id, v, width, bucket (table and axis in one)."""
+def hashed(rows: DataFrame, tables: int, probes: int, kind: str) -> DataFrame:
+    """A row for each table and probe: vec_id, v (packed), width, bucket (table and axis in one; -1 with no table)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for width, at in groups_of_width(batch.column(1)):
                 part = batch.take(pa.array(at))
-                v = matrix(part.column(1))
+                v, n = matrix(part.column(1)), len(at)
+                raw = pa.array([r.tobytes() for r in v.astype(kind)], pa.binary())
                 v = v / np.abs(v).max(1, keepdims=True)  # else the squares of tiny components vanish
                 v /= np.sqrt((v * v).sum(1, keepdims=True))
-                for t in range(tables):
-                    bucket = axes(v, t, probes) + (t << 32)
+                buckets = [axes(v, t, probes) + (t << 32) for t in range(tables)] if tables else [np.full((n, 1), -1)]
+                for bucket in buckets:
                     for p in range(bucket.shape[1]):
-                        n = len(at)
-                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(n, width, np.int32)), pa.array(bucket[:, p].astype(np.int64))], ["vec_id", "v", "width", "bucket"])
+                        yield pa.RecordBatch.from_arrays([part.column(0), raw, pa.array(np.full(n, width, np.int32)), pa.array(bucket[:, p].astype(np.int64))], ["vec_id", "v", "width", "bucket"])
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, width int, bucket long")
+    return rows.mapInArrow(run, "vec_id long, v binary, width int, bucket long")
+
+
+def unpacked(cells: pa.Array, kind: str) -> np.ndarray:
+    """Packed vectors of one length as a matrix of doubles."""
+    return np.frombuffer(b"".join(cells.to_pylist()), kind).astype(np.float64).reshape(len(cells), -1)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -78,24 +86,28 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABL
     of its own vec_id. Vectors null, zero, or with null or non-finite components
     take no part; only vectors of the query's length are candidates. Equal
     distances rank by vec_id. Repeated rows of a vec_id count once if their
-    vectors agree, and as candidates of their own otherwise. Fewer than k rows
-    give as many; an empty table gives none. Other columns are ignored.
+    vectors agree, and as candidates of their own otherwise. A query always gets
+    k rows if there are as many, and all where there are fewer; an empty table
+    gives none. Other columns are ignored.
     """
     spark = rows.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "axes")
-    index = hashed(usable(rows, nonzero=True), tables, 1)
-    index = pack(salted(index, ["width", "bucket"], BLOCK_ROWS, F.col("vec_id")), ["width", "bucket", "block"], ["vec_id", "v"])
-    index = scratch.table(index, "index")
-    asked = hashed(usable(queries, nonzero=True), tables, probes).withColumnsRenamed({"vec_id": "query_id", "v": "q"})
-    asked = pack(salted(asked, ["width", "bucket"], QUERY_ROWS, F.col("query_id")).withColumnRenamed("block", "q_block"), ["width", "bucket", "q_block"], ["query_id", "q"])
-    pairs = asked.join(index, ["width", "bucket"]).select("query_id", "q", "vec_id", "v")
+    kind = "<f4" if all(d.schema["embedding"].dataType.simpleString() == "array<float>" for d in (rows, queries)) else "<f8"
+    group = ["width", "bucket"]  # at most 2 * tables * (width as a power of two) buckets for each length
+
+    def searched(tables: int, who: DataFrame, name: str) -> DataFrame:
+        index = pack(salted(hashed(usable(rows, nonzero=True), tables, 1, kind), group, BLOCK_ROWS, F.col("vec_id")), [*group, "block"], ["vec_id", "v"])
+        asked = hashed(usable(who, nonzero=True), tables, probes, kind).withColumnsRenamed({"vec_id": "query_id", "v": "q"})
+        asked = pack(salted(asked, group, QUERY_ROWS, F.col("query_id")).withColumnRenamed("block", "q_block"), [*group, "q_block"], ["query_id", "q"])
+        pairs = asked.join(index, group).select("query_id", "q", "vec_id", "v")
+        return scratch.table(pairs.mapInArrow(run, "query_id long, vec_id long, score double").distinct(), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 qid, vid = (np.array(batch.column(c)[i].as_py()) for c in (0, 2))
-                q, v = (matrix(batch.column(c)[i].values) for c in (1, 3))
+                q, v = (unpacked(batch.column(c)[i].values, kind) for c in (1, 3))
                 out: tuple[list, list, list] = ([], [], [])
                 once = first_copies(vid, v)  # equal rows share a block
                 vid, v = vid[once], v[once]
@@ -112,5 +124,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABL
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
+    found = searched(tables, queries, "found")
+    full = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("full"))
+    short = queries.join(full, F.col("vec_id") == F.col("full"), "left_anti").select("vec_id", "embedding")
+    short = scratch.table(short, "short")
+    if not short.isEmpty():
+        found = found.unionByName(searched(0, short, "exact")).distinct()
     return best_of(found, k, [F.col("score"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "score")

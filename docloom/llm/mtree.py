@@ -2,9 +2,9 @@
 
 Inner products become distances by one more dimension: with a component
 sqrt(R^2 - |v|^2), R the largest norm, all rows lie on a sphere, and the row of
-largest inner product is the nearest one. Rows go to the nearest of a bounded
-number of pivots, and each pivot's rows to M-trees of bounded size: pages of
-entries, each with its distance to the page's routing object, and for inner
+largest inner product is the nearest one. Vectors of each length are an index of
+their own. Rows go to the nearest of a bounded number of pivots, and each pivot's
+rows to M-trees of bounded size: pages of entries, each with its distance to the page's routing object, and for inner
 entries the covering radius of the page below.
 
 A query first searches the trees of the pivot it is nearest to. The k-th score
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, prepare
-from docloom.llm.vectors import QUERY_ROWS, best_of, matrix, pack, salted, smallest, usable
+from docloom.llm.vectors import QUERY_ROWS, best_of, groups_of_width, matrix, pack, salted, smallest, usable
 
-#: Pivots that the rows are dealt to, from a sample of the first rows by hash.
+#: Pivots that the rows of a length are dealt to, at most, from a sample of a row for each of so many hash values.
 PIVOTS, SAMPLE = 64, 4096
 TREE_ROWS, PAGE = 4096, 64
 #: Slack of every bound against rounding, in units of the sphere's radius.
@@ -145,21 +145,27 @@ def quantised(rows: DataFrame, scale: int = 64) -> DataFrame:
     return out.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
 
 
-def pivots_of(rows: DataFrame, n: int, sample: int) -> list[list[float]]:
-    """Far-apart vectors of a bounded sample, of the commonest length."""
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    vectors = [r["v"] for r in got]
-    if not vectors:
-        return []
-    widths = [len(v) for v in vectors]
-    width = max(sorted(set(widths)), key=widths.count)
-    x = np.unique(np.array([v for v in vectors if len(v) == width]), axis=0)
-    chosen = [0]
-    far = distances(x, x[:1])[:, 0]
-    while len(chosen) < min(n, len(x)):
-        chosen.append(int(np.argmax(far)))
-        far = np.minimum(far, distances(x, x[chosen[-1:]])[:, 0])
-    return x[chosen].tolist()
+def pivots_of(rows: DataFrame, n: int, sample: int) -> dict[int, tuple[np.ndarray, float]]:
+    """For each vector length: far-apart vectors of a bounded sample, lifted, and the squared radius of the sphere."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        x = np.unique(matrix(table.column("v").combine_chunks()), axis=0)
+        chosen = [0]
+        far = distances(x, x[:1])[:, 0]
+        while len(chosen) < min(n, len(x)):
+            chosen.append(int(np.argmax(far)))
+            far = np.minimum(far, distances(x, x[chosen[-1:]])[:, 0])
+        return pa.table({"pivots": pa.array(x[chosen].tolist(), pa.list_(pa.float64()))})
+
+    first = rows.groupBy("width", F.pmod(F.xxhash64("vec_id"), F.lit(sample)).alias("slot")).agg(F.min(F.struct("vec_id", "v")).alias("x"))
+    # at most `sample` rows of a length, and `n` of them to the driver
+    chosen = first.select("width", "x.v").groupBy("width").applyInArrow(choose, "pivots array<double>")
+    found: dict[int, list] = {}
+    for r in chosen.collect():
+        found.setdefault(len(r["pivots"]), []).append(r["pivots"])
+    norms = rows.groupBy("width").agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("r2"))
+    radii = {r["width"]: float(r["r2"]) for r in norms.collect()}
+    return {w: (lifted(np.array(x), radii[w]), radii[w]) for w, x in found.items()}
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64) -> DataFrame:
@@ -167,90 +173,116 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64) ->
 
     rows and queries have vec_id and embedding. A row is no candidate for a query
     of its own vec_id. Vectors null, empty, or with null or non-finite components
-    take no part; nor do rows whose length is not the commonest one of the pivot
-    sample (an inner product of different lengths is not defined). Ties rank by
+    take no part; only vectors of the query's length are candidates. Ties rank by
     vec_id. Repeated rows of a vec_id count once if their vectors agree. Fewer
-    than k rows give as many; an empty table gives none.
+    than k rows give as many; an empty table gives none. Other columns are ignored.
     """
     spark = rows.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "mtree")
     schema = "query_id long, vec_id long, score long"
-    base = scratch.table(quantised(rows, scale).distinct(), "rows")
-    norms = base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("r2"))
-    pivots = np.array(pivots_of(base, PIVOTS, SAMPLE))
-    if not len(pivots):
+    base = scratch.table(quantised(rows, scale).distinct().withColumn("width", F.size("v")), "rows")
+    index = pivots_of(base, PIVOTS, SAMPLE)
+    if not index:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = pivots.shape[1]
-    radius2 = float(norms.first()["r2"])
-    slack = SLACK * max(1.0, np.sqrt(radius2))
-    centres = lifted(pivots, radius2)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = distances(lifted(matrix(batch.column(1)), radius2), centres)
-            near = np.argmin(d, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], ["vec_id", "v", "pivot", "far"])
+            for width, at in groups_of_width(batch.column(1)):
+                centres, radius2 = index[width]
+                part = batch.take(pa.array(at))
+                d = distances(lifted(matrix(part.column(1)), radius2), centres)
+                near = np.argmin(d, 1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], ["vec_id", "v", "width", "pivot", "far"])
 
-    dealt = base.where(F.size("v") == width).mapInArrow(assign, "vec_id long, v array<double>, pivot int, far double")
-    blocks = pack(salted(dealt, ["pivot"], TREE_ROWS, F.col("vec_id")), ["pivot", "block"], ["vec_id", "v", "far"])
+    group = ["width", "pivot"]  # at most PIVOTS groups for each length that occurs
+    dealt = base.select("vec_id", "v", "width").mapInArrow(assign, "vec_id long, v array<double>, width int, pivot int, far double")
+    blocks = pack(salted(dealt, group, TREE_ROWS, F.col("vec_id")), [*group, "block"], ["vec_id", "v", "far"])
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.array(batch.column(2)[i].as_py())
+                ids = np.array(batch.column(3)[i].as_py())
                 order = np.argsort(ids)
-                tree = Tree(lifted(matrix(batch.column(3)[i].values)[order], radius2))
-                far = float(np.max(batch.column(4)[i].as_py()))
-                yield pa.RecordBatch.from_pydict({"pivot": batch.column(0).slice(i, 1), "block": batch.column(1).slice(i, 1), "radius": pa.array([far]), "tree": pa.array([pickle.dumps((ids[order], tree))], pa.binary())})
+                tree = Tree(lifted(matrix(batch.column(4)[i].values)[order], index[batch.column(0)[i].as_py()][1]))
+                far = float(np.max(batch.column(5)[i].as_py()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(3)), pa.array([far]), pa.array([pickle.dumps((ids[order], tree))], pa.binary())], [*group, "block", "radius", "tree"])
 
-    trees = scratch.table(blocks.mapInArrow(grow, "pivot int, block int, radius double, tree binary"), "trees")
-    radii = {r["pivot"]: r["radius"] for r in trees.groupBy("pivot").agg(F.max("radius").alias("radius")).collect()}  # at most PIVOTS rows
-    present = np.array(sorted(radii))
-    radius = np.array([radii[p] for p in present])
-    asked = quantised(queries, scale).where(F.size("v") == width).distinct()
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    trees = scratch.table(blocks.mapInArrow(grow, "width int, pivot int, block int, radius double, tree binary"), "trees")
+    # which pivots of a length have rows, how far these reach, and in how many trees they are: at most PIVOTS rows a length
+    reach: dict[int, list[tuple[int, float, int]]] = {}
+    for r in trees.groupBy(*group).agg(F.max("radius").alias("radius"), F.count(F.lit(1)).alias("n")).orderBy(*group).collect():
+        reach.setdefault(r["width"], []).append((r["pivot"], r["radius"], r["n"]))
+    asked = quantised(queries, scale).distinct().select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
     def visits(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                d = distances(asking(matrix(batch.column(1))), centres[present])
-                home = np.argmin(d, 1)
-                if first:
-                    who, to = np.arange(len(d)), home
-                else:
-                    bound = batch.column(2).to_numpy(zero_copy_only=False)
-                    open_ = d - radius <= bound[:, None] + slack
-                    open_[np.arange(len(d)), home] = False
-                    who, to = np.nonzero(open_)
-                part = batch.take(pa.array(who))
-                bound = np.full(len(who), np.inf) if first else part.column(2).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bound), pa.array(present[to].astype(np.int32))], ["query_id", "q", "bound", "pivot"])
+                for width, at in groups_of_width(batch.column(1)):
+                    if width not in reach:
+                        continue
+                    mine = batch.take(pa.array(at))
+                    present, radius, blocks = (np.array(x) for x in zip(*reach[width], strict=True))
+                    d = distances(asking(matrix(mine.column(1))), index[width][0][present])
+                    home = np.argmin(d, 1)
+                    if first:
+                        who, to = np.arange(len(d)), home
+                    else:
+                        bound = mine.column(2).to_numpy(zero_copy_only=False)
+                        open_ = d - radius <= bound[:, None] + SLACK * max(1.0, np.sqrt(index[width][1]))
+                        open_[np.arange(len(d)), home] = False
+                        who, to = np.nonzero(open_)
+                    # every tree of a visited pivot is a place of its own
+                    times = blocks[to]
+                    block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    who, to = np.repeat(who, times), np.repeat(to, times)
+                    part = mine.take(pa.array(who))
+                    bound = np.full(len(who), np.inf) if first else part.column(2).to_numpy(zero_copy_only=False)
+                    columns = [part.column(0), part.column(1), pa.array(bound), pa.array(np.full(len(who), width, np.int32)), pa.array(present[to].astype(np.int32)), pa.array(block.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "q", "bound", *group, "block"])
 
         return run
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tree, ids = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, tree = pickle.loads(batch.column(3)[i].as_py())
-                own, bound = (np.array(batch.column(c)[i].as_py()) for c in (0, 2))
-                q = matrix(batch.column(1)[i].values)
-                scores, found = tree.search(asking(q), (q * q).sum(1) + radius2, bound, own, ids, k, slack)
+                here = tuple(batch.column(c)[i].as_py() for c in (0, 1, 2))
+                if here != last:  # query blocks of one tree follow each other
+                    last, (ids, tree) = here, pickle.loads(batch.column(6)[i].as_py())
+                own, bound = (np.array(batch.column(c)[i].as_py()) for c in (3, 5))
+                q = matrix(batch.column(4)[i].values)
+                radius2 = index[here[0]][1]
+                scores, found = tree.search(asking(q), (q * q).sum(1) + radius2, bound, own, ids, k, SLACK * max(1.0, np.sqrt(radius2)))
                 at, column = np.nonzero(np.isfinite(scores))
                 yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(found[at, column]), pa.array(scores[at, column].astype(np.int64))], ["query_id", "vec_id", "score"])
 
     def searched(visitors: DataFrame, name: str) -> DataFrame:
-        packed = pack(salted(visitors, ["pivot"], QUERY_ROWS, F.col("query_id")).withColumnRenamed("block", "q_block"), ["pivot", "q_block"], ["query_id", "q", "bound"])
-        pairs = packed.join(trees, "pivot").select("query_id", "q", "bound", "tree")
+        place = [*group, "block"]
+        n = visitors.groupBy(*group).agg(F.ceil(F.count_distinct("query_id") / F.lit(QUERY_ROWS)).cast("int").alias("parts"))
+        salted_ = visitors.join(F.broadcast(n), group).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+        packed = pack(salted_, [*place, "part"], ["query_id", "q", "bound"])
+        pairs = packed.join(trees, place).select(*place, "query_id", "q", "bound", "tree")
         return scratch.table(pairs.mapInArrow(search, schema).distinct(), name)
 
-    visit_schema = "query_id long, q array<double>, bound double, pivot int"
+    visit_schema = "query_id long, q array<double>, bound double, width int, pivot int, block int"
     asked = scratch.table(asked, "asked")
     home = searched(asked.mapInArrow(visits(True), visit_schema), "home")
     order = [F.desc("score"), F.col("vec_id")]
     full = best_of(home, k, order).groupBy("query_id").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
-    norm = F.aggregate("q", F.lit(radius2), lambda a, x: a + x * x)
+    norm = F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x) + F.element_at(F.create_map(*[F.lit(y) for w, (_, r2) in index.items() for y in (w, r2)]), F.size("q"))
     # a query that has not found k rows yet is bounded by nothing
     bound = F.when(F.col("s").isNull(), F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(norm - 2 * F.col("s"), F.lit(0.0))))
     rest = searched(asked.join(full, "query_id", "left").select("query_id", "q", bound.alias("bound")).mapInArrow(visits(False), visit_schema), "rest")
     return best_of(home.unionByName(rest).distinct(), k, order).select("query_id", "rank", "vec_id", "score")
+
+
+#: The same rows by brute force over all pairs; components are finite and not null, as the test tables' are.
+ORACLE = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.e, r.e) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.e) = len(r.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 20
+"""

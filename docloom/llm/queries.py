@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.ORACLE}
+    return {"op1_near_duplicates": minhash.ORACLE, "op3_top_k": mtree.ORACLE, "op5_line_dedup": linededup.ORACLE}

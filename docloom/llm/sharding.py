@@ -8,7 +8,8 @@ and only documents whose own shard is full move on.
 The ring is cut into a fixed number of slots. One narrow aggregation counts
 the documents of each slot, the ring walk runs over those counts alone (a table
 whose size is bounded by `slots`, whatever the input), and each document finds
-its shard by its rank within its slot.
+its shard by its rank within its slot. Rows that agree in doc_id and text are
+ranked together, as one row with a count.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOT_BITS = 14
+#: Copies of one row that are told apart at a time.
+RUN = 4096
 
 
 def ring(n_shards: int, vnodes: int, slots: int) -> list[np.ndarray]:
@@ -80,12 +83,19 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, vnodes: int = 64, slack: f
         F.crc32(text.cast("binary")).alias("text_crc32"),
     ).withColumn("ring_key", F.xxhash64("doc_id", "text_crc32", "size"))
     base = base.withColumn("ring_slot", F.shiftrightunsigned("ring_key", 64 - SLOT_BITS).cast("int"))
-    counts = {r["ring_slot"]: r["count"] for r in base.groupBy("ring_slot").count().collect()}  # at most 2**SLOT_BITS rows
+    row = ["ring_slot", "ring_key", "doc_id", "size", "text_crc32"]
+    # equal rows are one with a count, combined where they are read, so that no repeated row fills a slot
+    rows = base.groupBy(*row).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["ring_slot"]: r["n"] for r in rows.groupBy("ring_slot").agg(F.sum("n").alias("n")).collect()}  # at most 2**SLOT_BITS rows
     plan = walk(counts, n_shards, vnodes, 1 << SLOT_BITS, slack)
     schema = "ring_slot int, shard int, lo long, hi long, base long"
     plan_df = spark.createDataFrame(plan.astype({"shard": "int32", "ring_slot": "int32"}), schema) if len(plan) else spark.createDataFrame([], schema)
     order = Window.partitionBy("ring_slot").orderBy("ring_key", "doc_id", "size", "text_crc32")
-    ranked = base.withColumn("at", (F.row_number().over(order) - 1).cast("long"))
+    ranked = rows.withColumn("to", F.sum("n").over(order)).withColumn("at", F.col("to") - F.col("n"))
     # bounded: at most n_shards rows for each of the fixed number of slots
-    placed = ranked.join(F.broadcast(plan_df), "ring_slot").where("at >= lo AND at < hi")
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("at") - F.col("lo")).alias("slot"))
+    placed = ranked.join(F.broadcast(plan_df), "ring_slot").where("to > lo AND at < hi")
+    placed = placed.select(*row[2:], "shard", F.greatest("at", "lo").alias("a"), F.least("to", "hi").alias("b"), (F.col("base") - F.col("lo")).alias("by"))
+    # the copies of a row come in runs of bounded length
+    runs = placed.withColumn("a", F.explode(F.sequence("a", F.col("b") - 1, F.lit(RUN).cast("long")))).withColumn("b", F.least("b", F.col("a") + RUN))
+    each = runs.withColumn("at", F.explode(F.sequence("a", F.col("b") - 1)))
+    return each.select("doc_id", "size", "text_crc32", "shard", (F.col("at") + F.col("by")).alias("slot"))

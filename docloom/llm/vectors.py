@@ -39,9 +39,13 @@ def groups_of_width(column: pa.Array):
 
 
 def salted(rows: DataFrame, group: list[str], size: int, key: Column) -> DataFrame:
-    """`rows` with `block`: each group dealt by `key` over as many blocks as its count asks for."""
-    counts = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("_blocks"))
-    return rows.join(counts, group).withColumn("block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")).drop("_blocks")
+    """`rows` with `block`: each group dealt by `key` over as many blocks as its count asks for.
+
+    The counts are broadcast, a row for each group (callers bound the groups), so
+    that a group is never gathered on its way to its blocks.
+    """
+    counts = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("blocks"))
+    return rows.join(F.broadcast(counts), group).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("blocks")
 
 
 def pack(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

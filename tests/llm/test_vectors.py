@@ -44,6 +44,29 @@ def test_top_k_of_odd_vectors(spark):
     assert len(mtree.top_k(few, few).collect()) == 6
 
 
+def test_every_length_is_an_index_of_its_own(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(100 + i, [float(x) for x in rng.normal(size=4)]) for i in range(21)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors = {i: np.array(v) for i, v in rows}
+    want = sorted(x for w in (8, 4) for x in exact({i: v for i, v in vectors.items() if len(v) == w}, [i for i in vectors if i % 20 == 0 and len(vectors[i]) == w], inner, 20))
+    got = sorted((r.query_id, r["rank"], r.vec_id, -r.score) for r in mtree.top_k(df, df.where("vec_id % 20 = 0")).collect())
+    assert got == want and {q for q, *_ in got} == {0, 20, 40, 100, 120}
+
+
+def test_top_k_with_small_trees(spark, monkeypatch):
+    """Several trees to a pivot, and several blocks of queries to a tree."""
+    monkeypatch.setattr(mtree, "PIVOTS", 3)
+    monkeypatch.setattr(mtree, "TREE_ROWS", 50)
+    monkeypatch.setattr(mtree, "QUERY_ROWS", 8)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors = {i: np.array(v) for i, v in rows}
+    got = sorted((r.query_id, r["rank"], r.vec_id, -r.score) for r in mtree.top_k(df, df.where("vec_id % 10 = 0")).collect())
+    assert got == exact(vectors, range(0, 700, 10), inner, 20)
+
+
 def test_tree_holds_every_row_within_its_radii():
     x = mtree.lifted(np.random.default_rng(1).normal(size=(3000, 6)), 60.0)
     tree = mtree.Tree(x)
@@ -82,10 +105,32 @@ def test_nearest_recall_and_scores(table):
         assert [m[0] for m in mine] == list(range(1, len(mine) + 1)) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
 
 
+def test_recall_with_the_registered_probes(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = {r.vec_id: np.array(r.embedding, dtype=float) for r in rows.collect()}
+    queries = [i for i in vectors if i % 100 == 0]
+    want = {(q, i) for q, _, i, _ in exact(vectors, queries, distance, 10)}
+    got = {(r.query_id, r.vec_id) for r in crosspolytope.nearest(rows, rows.where("vec_id % 100 = 0")).collect()}
+    assert len(want & got) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("n", [2, 5, 11, 20])
+def test_small_tables_give_all_candidates(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(n)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        vectors = {i: np.array(v, dtype="f4" if kind == "float" else "f8").astype(float) for i, v in rows}
+        got = sorted((r.query_id, r["rank"], r.vec_id) for r in crosspolytope.nearest(df, df).collect())
+        assert len(got) == n * min(10, n - 1)
+        if n <= 11:
+            assert got == [x[:3] for x in exact(vectors, range(n), distance, 10)]
+
+
 def test_nearest_of_odd_vectors(spark):
     rows, vectors = odd_vectors(spark)
     del vectors[404]  # the zero vector has no direction
-    got = crosspolytope.nearest(rows, rows.where("vec_id IN (5, 100, 404)"), probes=16).collect()
+    got = crosspolytope.nearest(rows, rows.where("vec_id IN (5, 100, 404)")).collect()
     assert {r.query_id for r in got} == {5, 100}
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 5] == [(100 + i, 0.0) for i in range(10)]
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 100] == [5, *range(101, 110)]
