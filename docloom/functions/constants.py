@@ -31,6 +31,8 @@ EXTRACTION_EXTENSIONS = (".pdf", ".epub", ".docx", ".txt", ".md", ".markdown", "
 SIGNATURES = (
     (b"%PDF-", "application/pdf"),
     (b"PK\x03\x04", "application/zip"),
+    (b"\x89PNG", "image/png"),
+    (b"\xff\xd8\xff", "image/jpeg"),
     (b"<?xml", "application/xml"),
     (b"<html", "text/html"),
     (b"<!DOCT", "text/html"),
@@ -40,6 +42,39 @@ SIGNATURES = (
 MARKDOWN_STARTS = ("# ", "## ", "### ", "- ", "* ", "| ", "```", "[", "![]")
 MARKDOWN_FILE_STARTS = ("# ", "## ", "```", "| ", "- [")
 
+# Items of lists in Markdown, in plain text, on pages and in OCR text (indent, marker, text).
+MARKDOWN_ITEM = r"^(\s*)([-*+]|\d+\.)\s+(.*)"
+TEXT_ITEM = r"^(\s*)([-*•]|\d+[.):])\s+(.*)"
+PAGE_ITEM = r"^(\s*)([-•*·◦○]\s+|\d+[.)]\s+)(.*)"
+
+# The level that a heading's looks suggest: by the length of one in capitals (below the limit), by the
+# parts of its number (6 at most), by its words (this many at most), else.
+CAPITAL_LEVELS = ((40, 1), (60, 2))
+NUMBER_OF_HEADING = r"^(\d+(?:\.\d+)*)"
+DEEPEST, FEW_WORDS, FEW_WORDS_LEVEL, OTHER_LEVEL = 6, 3, 3, 2
+
+# What makes a line of a page a heading. A numbered one is no measure ("1 day: 24 h"); one in capitals is
+# no label; a short title holds eight words at most, no sentence punctuation, and nothing of what follows it here.
+NUMBERED_HEADING = r"(?!\d+\s+\w+(?:\s+\w+)?:\s*\d)\d+(?:\.\d+)*\.?\s+\S"
+NUMBERED_BELOW, CAPITALS_ABOVE, CAPITALS_BELOW = 120, 3, 80
+SHORT_TITLE = r"(?=.{1,79}$)[^\s.!?;]+(?:\s+[^\s.!?;]+){0,7}"
+NO_TITLE = (
+    r"^[\-•*·◦○\d]",
+    r"^(?i:See|Source|Note|Ref|Also)\s*:",
+    r"(?i)wikipedia:|arxiv:|doi:|https?://",
+    r"^(?i:edit)$",
+    r"^\S+(?:\s+\S+){0,2}(?<=:)$",
+    r"^(?:_|[^\w\s])+$",
+    r"^\S{3,}\s+:",
+)
+DEFINITION = r"(?P<term>[A-Za-z][A-Za-z\s\-]{1,30}):\s*(?P<definition>.+)"
+TERM_WORDS, SPLIT_TITLE_BELOW = 4, 40
+
+# A paragraph of OCR text is a heading up to these words and below this length, without sentence
+# punctuation unless in capitals; confidence of what OCR text is taken for.
+OCR_HEADING_WORDS, OCR_HEADING_BELOW = 6, 80
+OCR_CONFIDENCE = {"heading": 0.75, "paragraph": 0.80, "list": 0.75}
+
 # Programming language by file extension.
 CODE_LANGUAGE = {
     ".py": "python", ".js": "javascript", ".ts": "typescript", ".sh": "bash",
@@ -120,7 +155,12 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 # HTML elements that are noise; meta properties and names that are kept.
-HTML_NOISE = frozenset("script style nav header footer aside noscript iframe svg canvas form input button select textarea template dialog address".split())
+HTML_NOISE = (
+    "script", "style", "nav", "header", "footer", "aside", "noscript", "iframe", "svg", "canvas",
+    "form", "input", "button", "select", "textarea", "template", "dialog", "address",
+)
+# HTML elements without an end tag.
+HTML_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 META_PROPERTIES = ("og:title", "og:description", "og:url", "og:type", "og:site_name")
 META_NAMES = ("description", "author", "keywords", "language", "twitter:title", "twitter:description")
 CODE_CLASSES = ("python", "javascript", "java", "cpp", "bash", "sql")

@@ -127,16 +127,12 @@ def is_upper(c: Column | str) -> Column:
 def heading_level(c: Column | str) -> Column:
     """The level that a heading's looks suggest."""
     x = _c(c)
-    number = F.regexp_extract(x, r"^(\d+(?:\.\d+)*)", 1)
-    depth = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1
-    return (
-        F.when(x.isNull() | (x == ""), 2)
-        .when(is_upper(x) & (F.length(x) < 40), 1)
-        .when(is_upper(x) & (F.length(x) < 60), 2)
-        .when(number != "", F.least(depth, F.lit(6)))
-        .when(word_count(x) <= 3, 3)
-        .otherwise(2)
-    )
+    number = F.regexp_extract(x, K.NUMBER_OF_HEADING, 1)
+    by_words = F.when(word_count(x).between(1, K.FEW_WORDS), K.FEW_WORDS_LEVEL).otherwise(K.OTHER_LEVEL)
+    level = F.when(number != "", F.least(F.size(F.split(number, r"\.")), F.lit(K.DEEPEST))).otherwise(by_words)
+    for limit, capital in reversed(K.CAPITAL_LEVELS):
+        level = F.when(is_upper(x) & (F.length(x) < limit), capital).otherwise(level)
+    return F.when(x.isNull() | (x == ""), K.OTHER_LEVEL).otherwise(level)
 
 
 def numbered_label(c: Column | str) -> Column:

@@ -14,7 +14,6 @@ from typing import Any
 from docloom.functions import constants as K
 from docloom.functions.python_text import normalize_whitespace
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = {f"h{n}": n for n in range(1, 7)}
 CONTAINERS = frozenset(("div", "section", "article", "main", "header", "footer", "aside"))
 
@@ -63,12 +62,12 @@ class _Builder(HTMLParser):
             seen[k] = v or ""
         node = Node(tag, seen)
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in K.HTML_VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID:
+        if tag not in K.HTML_VOID:
             self.open.pop()
 
     def handle_endtag(self, tag: str):
