@@ -20,6 +20,7 @@ from docloom.operators import structure as T
 from docloom.operators import validate as V
 from docloom.plans.documents import Documents
 from docloom.rendered import EXPECTED, customer_markdown
+from docloom.sources import canonical as J
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,11 +177,23 @@ _KIND = """CASE WHEN len(list_filter(string_split(x, chr(10))[1:50], lambda l: l
 
 @query(
     f"""SELECT doc_id, {_KIND} AS kind FROM (SELECT doc_id, x, list_filter(list_transform(string_split(x, chr(10)), lambda l: {strip_sql("l")}), lambda l: l <> '') AS r
-      FROM (SELECT doc_id, text AS x FROM documents UNION ALL SELECT -1 - page_id, html FROM pages))"""
+      FROM (SELECT doc_id, left(x, 8192) AS x FROM (SELECT doc_id, text AS x FROM documents UNION ALL SELECT -1 - page_id, html FROM pages)))"""
 )
 def classify_text(s, d):
+    """The sample that detection reads, here the first 8192 characters."""
     rows = documents(s, d).unionByName(table(s, d, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text")))
-    return rows.select("doc_id", D.text_kind(F.col("text")).alias("kind"))
+    return rows.select("doc_id", D.text_kind(F.substring("text", 1, D.SAMPLE)).alias("kind"))
+
+
+@query(
+    """SELECT n_nationkey AS k, ['image/png', 'image/jpeg', 'application/pdf', 'application/xml', 'text/html'][n_nationkey % 5 + 1] AS signature_mime, CAST(0.7 AS DOUBLE) AS confidence,
+      CASE WHEN n_nationkey % 5 = 2 THEN 'application/pdf' ELSE 'text/plain' END AS extraction_mime FROM nation"""
+)
+def detect_signatures(s, d):
+    heads = F.array(*[F.unhex(F.lit(x)) for x in ("89504E470D0A1A0A", "FFD8FFE0", "255044462D", "3C3F786D6C", "3C21444F4354")])
+    rows = table(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.get(heads, F.col("n_nationkey") % 5), F.col("n_name").cast("binary")).alias("content"))
+    found = D.detect(rows.select(F.col("k").cast("string").alias("path"), "content"))
+    return found.select(F.col("path").cast("int").alias("k"), "signature_mime", "confidence", "extraction_mime")
 
 
 @query(
@@ -273,9 +286,24 @@ def _plain(s, d) -> Documents:
     return Documents.from_texts(documents(s, d), "text/plain")
 
 
-@query()
+_SHOUTED = "length(x) BETWEEN 4 AND 99 AND regexp_matches(x, '\\p{Lu}') AND NOT regexp_matches(x, '[\\p{Ll}\\p{Lt}]')"
+
+
+# A line that is blank ends a paragraph; one in capitals begins a new one, and is a heading before a blank line. Items and
+# underlines do not occur in the table.
+@query(
+    f"""WITH lines AS (
+      SELECT doc_id, {strip_sql("line")} AS x, pos, lead({strip_sql("line")}) OVER (PARTITION BY doc_id ORDER BY pos) AS below FROM (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+    marked AS (SELECT *, {_SHOUTED} AS loud, coalesce({_SHOUTED} AND below = '', false) AS heading FROM lines),
+    grouped AS (SELECT *, sum(CASE WHEN loud OR coalesce(above = '' OR above_heading, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM (
+      SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY pos) AS above, lag(heading) OVER (PARTITION BY doc_id ORDER BY pos) AS above_heading FROM marked) WHERE x <> ''),
+    made AS (SELECT doc_id, g, bool_or(heading) AS heading, string_agg(regexp_replace(x, '[ \t]+', ' ', 'g'), chr(10) ORDER BY pos) AS t FROM grouped GROUP BY doc_id, g)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INTEGER) AS ordinal, CASE WHEN heading THEN 'heading' ELSE 'paragraph' END AS type,
+      t AS text_plain, {tokens_sql("t")} AS token_count_est FROM made"""
+)
 def plain_blocks(s, d):
-    return _plain(s, d).blocks.select("doc_id", "ordinal", "chunk_id", "type", "text_plain", "heading_level", "token_count_est")
+    return _plain(s, d).blocks.select("doc_id", "ordinal", "type", "text_plain", "token_count_est")
 
 
 @query(f"SELECT doc_id, sum({words_sql('text')}) AS words FROM documents GROUP BY doc_id HAVING sum({words_sql('text')}) > 0")
@@ -342,6 +370,26 @@ def list_paths(s, d):
     return T.list_paths(_crm(s, d).blocks).select("doc_id", "item_path", "depth", "text")
 
 
+@query(expected("SELECT c_custkey AS doc_id, 'li-' || lpad(CAST(unnest(range(1, len(prio) + 1)) AS VARCHAR), 3, '0') AS item_id, unnest(prio) AS text, '•' AS marker, 0 AS level FROM src WHERE n_rows IS NOT NULL"))
+def list_items(s, d):
+    return T.list_items(_crm(s, d).blocks).select("doc_id", "item_id", "text", "marker", "level")
+
+
+@query(
+    """SELECT n_regionkey AS doc_id, item, CASE WHEN item = 0 THEN [0] ELSE range(0, item + 1) END AS item_path, item AS depth, CAST(item + 1 AS VARCHAR) || ' deep' AS text
+      FROM (SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS item FROM nation)""",
+    lists=("item_path",),
+)
+def list_nesting(s, d):
+    """A list of as many levels as a region has nations, and one item a level."""
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    rows = table(s, d, "nation").withColumn("k", F.row_number().over(w))
+    line = F.concat(F.repeat(F.lit("  "), F.col("k") - 1), F.lit("- "), F.col("k").cast("string"), F.lit(" deep"))
+    texts = rows.groupBy(F.col("n_regionkey").cast("long").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", line.alias("x"))))["x"], "\n").alias("text"))
+    items = T.list_items(Documents.from_texts(texts, "text/markdown", "a.md").blocks)
+    return items.select("doc_id", "item", "item_path", "depth", "text")
+
+
 @query(expected("SELECT c_custkey AS doc_id, c_name AS title, 'crm' AS declared_source, 'frontmatter' AS source_type, '2019-03-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS published FROM src"))
 def document_metadata(s, d):
     return _crm(s, d).metadata.select("doc_id", "title", "declared_source", "source_type", "published")
@@ -501,7 +549,16 @@ def chunk_counts(s, d):
     return C.chunks(_talk_placed(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("chunk_num").cast("long").alias("last"))
 
 
-@query(None, lists=("block_ids", "section_ids", "heading_path"))
+# With the default limits a document is cut only by its table's rows, which are at most three here, so one chunk holds it.
+@query(
+    expected(
+        """SELECT b.doc_id, 0 AS position, string_agg(CASE WHEN type = 'table' THEN array_to_string(list_transform(string_split(text, chr(10))[2:4], lambda r: r[3:-3]), chr(10))
+          WHEN type = 'code_block' THEN left(text, 500) ELSE text END, chr(10) || chr(10) ORDER BY ordinal) AS text,
+          list(chunk_id ORDER BY ordinal) AS block_ids, ['sec-000', 'sec-001', 'sec-002'] AS section_ids, [any_value(c_name)] AS heading_path
+        FROM blocks b JOIN src ON c_custkey = doc_id GROUP BY b.doc_id"""
+    ),
+    lists=("block_ids", "section_ids", "heading_path"),
+)
 def section_chunks(s, d):
     p = _crm(s, d).placed
     return C.section_chunks(p).select("doc_id", "position", "text", "block_ids", "section_ids", "heading_path")
@@ -687,6 +744,43 @@ def combined_jsonl(s, d):
     return K.combined_lines(_crm(s, d).blocks).select("doc_id", "chunk_id", "type", F.col("text_plain").alias("text"), F.col("token_count_est").alias("tokens"))
 
 
+@query(expected("SELECT doc_id, ordinal, chunk_id, type, text, chars AS char_count, tokens AS token_count_est, node, path FROM blocks"), lists=("path",))
+def canonical_blocks(s, d):
+    """Documents written as JSON and read back: blocks with the nodes that own them."""
+    c = _crm(s, d)
+    read = J.parsed(K.document_json(c.blocks, c.nodes, c.metadata))
+    # places in the file are those of the remaining blocks; a label that joined its list leaves a gap in the ids
+    rows = J.sections_of(read).withColumn("ordinal", F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("int"))
+    return rows.select("doc_id", "ordinal", "chunk_id", "type", F.col("text_plain").alias("text"), "char_count", "token_count_est", F.col("node_id").alias("node"), F.col("structure_path").alias("path"))
+
+
+@query(
+    expected(
+        """SELECT doc_id, 'blocks[' || ordinal || ']' AS path, 'type is not in the list' AS message FROM blocks WHERE type = 'table'
+        UNION ALL SELECT doc_id, 'blocks[' || ordinal || ']', 'heading_level is not 1 to 6' FROM blocks WHERE level = 3
+        UNION ALL SELECT c_custkey, 'metadata', 'language is no language tag' FROM src WHERE c_custkey % 3 = 0
+        UNION ALL SELECT doc_id, 'structure.' || node, 'node_type is not in the list' FROM blocks WHERE level = 2"""
+    )
+)
+def schema_issues(s, d):
+    """Faults put into blocks, metadata and nodes, and found again."""
+    c = _crm(s, d)
+    blocks = c.blocks.withColumn("type", F.when(F.col("type") == "table", "grid").otherwise(F.col("type"))).withColumn("heading_level", F.when(F.col("heading_level") == 3, 9).otherwise(F.col("heading_level")))
+    meta = c.metadata.select("doc_id", "title", F.when(F.col("doc_id") % 3 == 0, "English").otherwise("en-GB").alias("language"))
+    nodes = c.nodes.withColumn("node_type", F.when(F.col("level") == 2, "chapter").otherwise(F.col("node_type")))
+    return V.schema_issues(blocks, meta, nodes).select("doc_id", "path", "message")
+
+
+@query(
+    """SELECT CAST(n_nationkey AS BIGINT) AS doc_id, ['EXTRACT_002', 'EXTRACT_001', 'IO_001', 'NORM_001', 'UNKNOWN', 'EXTRACT_003'][n_nationkey % 6 + 1] AS path,
+      CASE WHEN n_nationkey % 6 = 3 THEN 'partial' ELSE 'failed' END AS status FROM nation"""
+)
+def error_codes(s, d):
+    said = F.array(*map(F.lit, ("BadZipFile: File is not a zip file", "PdfError: file is encrypted", "OSError: gone", "UnicodeDecodeError: x", "strange", "ValueError: y")))
+    rows = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.get(said, F.col("n_nationkey") % 6).alias("error"))
+    return V.error_issues(rows).select("doc_id", "path", "status")
+
+
 @query(expected("SELECT doc_id, count(*) AS n_blocks, min(text) FILTER (ordinal = 0) AS first FROM blocks GROUP BY doc_id"))
 def document_json(s, d):
     c = _crm(s, d)

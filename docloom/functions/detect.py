@@ -84,7 +84,7 @@ def is_text(content: Column) -> Column:
 
 
 def text_kind(text: Column) -> Column:
-    """Markdown, HTML, CSV or plain text by content."""
+    """Markdown, HTML, CSV or plain text by content: the caller gives the sample that detection reads."""
     lines = F.split(text, "\n")
 
     def marked(line: Column) -> Column:

@@ -126,13 +126,18 @@ def metadata(parsed: DataFrame, dates: DataFrame) -> DataFrame:
     )
 
 
-def structure_scores(blocks: DataFrame) -> DataFrame:
-    """0.3 without headings, else 1 less half the share of headings that skip a level."""
+def structure_scores(blocks: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """1 less half the share of headings that skip a level; without headings 0.5 if the document has a row in `sections`, else 0.3."""
     headings = blocks.where("type = 'heading'")
     skip = F.col("heading_level") - F.lag("heading_level").over(by_doc()) > 1
     marked = headings.withColumn("_skip", F.coalesce(skip, F.lit(False)).cast("int"))
     scored = marked.groupBy("doc_id").agg((1 - 0.5 * F.sum("_skip") / F.count(F.lit(1))).alias("score"))
-    return blocks.select("doc_id").distinct().join(scored, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.3)).alias("structure_score"))
+    rows = blocks.select("doc_id").distinct().join(scored, "doc_id", "left")
+    flat = F.lit(0.3)
+    if sections is not None:
+        rows = rows.join(sections.select("doc_id", F.lit(0.5).alias("flat")).distinct(), "doc_id", "left")
+        flat = F.coalesce("flat", flat)
+    return rows.select("doc_id", F.coalesce("score", flat).alias("structure_score"))
 
 
 def completeness(issues: DataFrame) -> DataFrame:

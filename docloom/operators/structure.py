@@ -154,24 +154,38 @@ def repaired_headings(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("repaired_level", level)
 
 
-def list_paths(blocks: DataFrame) -> DataFrame:
-    """A row for each list item with its path: the numbers of the items it is nested in, from the flat levels.
+def list_items(blocks: DataFrame) -> DataFrame:
+    """A row for each list item: item_id, text, level, marker, the list's start_number, and item_path and depth.
 
-    A jump over levels counts as one; each level numbers its items within their parent.
+    The path is the numbers of the items that the item is nested in, from the flat
+    levels, whatever their number: one fold over a list keeps the items that are
+    still open, of which those of the new item's level or deeper close. A jump
+    over levels counts as one.
     """
-    items = blocks.where("type = 'list'").select("doc_id", F.col("ordinal").alias("block"), F.posexplode("items").alias("item", "i"))
-    rows = items.select("doc_id", "block", "item", F.greatest("i.level", "i.depth").alias("level"), F.col("i.text").alias("text"))
-    w = Window.partitionBy("doc_id", "block").orderBy("item").rowsBetween(Window.unboundedPreceding, 0)
-    running = [F.max(F.when(F.col("level") == n, F.col("item"))).over(w).alias(f"_l{n}") for n in range(MAX_LEVEL + 1)]
-    rows = rows.select("*", *running)
-    start = F.struct(F.lit(-1).alias("latest"), F.array().cast("array<int>").alias("path"))
+    lists = blocks.where("type = 'list'").select("doc_id", F.col("ordinal").alias("block"), F.coalesce("ordered", F.lit(False)).alias("ordered"), "items")
+    levels = F.transform("items", lambda it: F.greatest(it["level"], it["depth"]))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<level:int,item:int>>").alias("open"), F.array().cast("array<array<int>>").alias("paths"))
+
+    def step(s: Column, level: Column) -> Column:
+        above = F.filter(s["open"], lambda o: o["level"] < level)
+        now = F.concat(above, F.array(F.struct(level.cast("int").alias("level"), s["at"].alias("item"))))
+        return F.struct((s["at"] + 1).alias("at"), now.alias("open"), F.concat(s["paths"], F.array(now["item"])).alias("paths"))
+
+    rows = lists.select("doc_id", "block", "ordered", F.posexplode(F.arrays_zip("items", F.aggregate(levels, start, step, lambda s: s["paths"]).alias("path"))).alias("item", "x"))
+    number = F.when(F.col("ordered"), F.lit(1))
+    parent = F.slice("item_path", 1, F.greatest(F.size("item_path") - 1, F.lit(0)))
+    rows = rows.select("doc_id", "block", "item", "ordered", F.greatest("x.items.level", "x.items.depth").alias("level"), F.col("x.items.text").alias("text"), F.col("x.path").alias("item_path"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "block", "parent").orderBy("item"))
+    rows = rows.withColumn("parent", F.array_join(parent.cast("array<string>"), "."))
+    marker = F.when(F.col("ordered"), F.concat(place.cast("string"), F.lit("."))).otherwise("•")
+    n = (F.col("item") + 1).cast("string")
+    item_id = F.concat(F.lit("li-"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n))
+    return rows.withColumns({"item_id": item_id, "marker": marker, "start_number": number, "depth": F.size("item_path") - 1}).drop("parent", "ordered")
 
-    def step(s: Column, a: Column) -> Column:
-        return F.when(a.isNotNull() & (a > s["latest"]), F.struct(a.alias("latest"), F.concat(s["path"], F.array(a)).alias("path"))).otherwise(s)
 
-    above = F.slice(F.array(*[f"_l{n}" for n in range(MAX_LEVEL + 1)]), 1, F.col("level") + 1)
-    path = F.aggregate(above, start, step, lambda s: s["path"])
-    return rows.withColumn("item_path", path).drop(*[f"_l{n}" for n in range(MAX_LEVEL + 1)]).withColumn("depth", F.size("item_path") - 1)
+def list_paths(blocks: DataFrame) -> DataFrame:
+    """The items' places alone: doc_id, block, item, level, text, item_path, depth."""
+    return list_items(blocks).select("doc_id", "block", "item", "level", "text", "item_path", "depth")
 
 
 def anonymous_sections(sections: DataFrame) -> DataFrame:

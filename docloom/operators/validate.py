@@ -35,6 +35,55 @@ def strict_types(blocks: DataFrame) -> DataFrame:
     return _issue(rows, "enum", F.col("chunk_id"), F.concat(F.lit("type "), F.col("type")))
 
 
+# Patterns of the full schema's fields.
+SHA256, LANGUAGE, DATE = r"^[a-f0-9]{64}$", r"^[a-z]{2}(-[A-Z]{2})?$", r"^\d{4}-\d{2}-\d{2}(T.*)?$"
+NODE_TYPES = ("document", "section", "subsection", "subsubsection")
+
+
+def schema_issues(blocks: DataFrame, metadata: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """What breaks the full schema: an opt-in rule set over blocks, documents' metadata and nodes, as far as their tables have the columns.
+
+    Blocks: types of the list, levels 1 to 6, confidence 0 to 1, pages from 1, ids
+    of their pattern. Metadata: title not blank, language, date and checksum of
+    their patterns where they are not null. Nodes: types of the list, levels from
+    0, a path that ends with the node.
+    """
+    def rules(df: DataFrame, path, *found) -> DataFrame:
+        live = [F.when(bad, F.lit(text)) for needs, bad, text in found if needs in df.columns]
+        rows = df.withColumn("_m", F.explode(F.array_compact(F.array(*live, F.lit(None).cast("string")))))
+        return _issue(rows, "schema", path, F.col("_m"))
+
+    def unlike(c: str, pattern: str):
+        return F.col(c).isNotNull() & ~F.col(c).rlike(pattern)
+
+    out = rules(
+        blocks, F.concat(F.lit("blocks["), F.col("ordinal"), F.lit("]")),
+        ("chunk_id", unlike("chunk_id", r"^blk-\d{3,}$"), "chunk_id is no block id"),
+        ("type", ~F.col("type").isin(*K.BLOCK_TYPES), "type is not in the list"),
+        ("heading_level", ~F.col("heading_level").between(1, 6), "heading_level is not 1 to 6"),
+        ("confidence", ~F.col("confidence").between(0, 1), "confidence is not 0 to 1"),
+        ("page_number", F.col("page_number") < 1, "page_number is below 1"),
+        ("rows", (F.col("type") == "table") & (F.size("rows") < 1), "rows is empty"),
+        ("items", (F.col("type") == "list") & (F.size("items") < 1), "items is empty"),
+    )
+    if metadata is not None:
+        out = out.unionByName(rules(
+            metadata, F.lit("metadata"),
+            ("title", F.col("title").isNull() | (F.trim("title") == ""), "title is blank"),
+            ("language", unlike("language", LANGUAGE), "language is no language tag"),
+            ("published", unlike("published", DATE), "published is no date"),
+            ("checksum_sha256", unlike("checksum_sha256", SHA256), "checksum_sha256 is no checksum"),
+        ))
+    if nodes is not None:
+        out = out.unionByName(rules(
+            nodes, F.concat(F.lit("structure."), F.col("node_id")),
+            ("node_type", ~F.col("node_type").isin(*NODE_TYPES), "node_type is not in the list"),
+            ("level", F.col("level") < 0, "level is below 0"),
+            ("path", F.element_at("path", -1) != F.col("node_id"), "path does not end with the node"),
+        ))
+    return out
+
+
 def duplicate_ids(blocks: DataFrame) -> DataFrame:
     rows = blocks.groupBy("doc_id", "chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return _issue(rows, "duplicate", F.col("chunk_id"), F.concat(F.col("n"), F.lit(" blocks have this id")))
@@ -98,8 +147,28 @@ def report(issues: DataFrame, ready: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("issue_count") == 0).alias("schema_valid"), F.coalesce("ml_ready", F.lit(False)).alias("ml_ready"), "issue_count", "block_count", "section_count", "total_token_count_est")
 
 
+# What each code stands for (by the name of the error or a part of its message), and whether a part of the document is left.
+ERRORS = (
+    ("DETECT_001", "unknown format|octet-stream", "failed"),
+    ("DETECT_002", "format mismatch", "partial"),
+    ("EXTRACT_001", "[Ee]ncrypted|[Pp]assword", "failed"),
+    ("EXTRACT_002", "BadZipFile|KeyError|not a zip|[Cc]orrupt", "failed"),
+    ("OCR_001", "[Tt]esseract|OCR", "partial"),
+    ("STRUCT_001", "no headings", "partial"),
+    ("STRUCT_002", "RecursionError|nesting", "partial"),
+    ("NORM_001", "Unicode\\w*Error", "partial"),
+    ("VALIDATE_001", "schema", "partial"),
+    ("VALIDATE_002", "checksum|char_count", "partial"),
+    ("IO_001", "EXTRACT_SIZE|FileNotFoundError|PermissionError|OSError|MemoryError", "failed"),
+    ("EXTRACT_003", "ModuleNotFoundError|ImportError|ParseError|ValueError|Error", "failed"),
+)
+
+
 def error_issues(parsed: DataFrame) -> DataFrame:
-    """Files that could not be parsed, with a code: such rows never fail a job."""
-    code = F.when(F.col("error").startswith("BadZipFile"), "EXTRACT_002").when(F.col("error").contains("EXTRACT_SIZE"), "IO_001").otherwise("EXTRACT_003")
-    rows = parsed.where(F.col("error").isNotNull())
-    return _issue(rows, "extract", code, F.col("error"))
+    """Files that could not be parsed wholly, with a code and a status (failed or partial): such rows never fail a job."""
+    code, status = F.lit("UNKNOWN"), F.lit("failed")
+    for c, pattern, state in reversed(ERRORS):
+        hit = F.col("error").rlike(pattern)
+        code, status = F.when(hit, c).otherwise(code), F.when(hit, state).otherwise(status)
+    rows = parsed.where(F.col("error").isNotNull()).withColumns({"_code": code, "_status": status})
+    return rows.select("doc_id", F.lit("extract").alias("kind"), F.col("_code").alias("path"), F.col("error").alias("message"), F.col("_status").alias("status"))

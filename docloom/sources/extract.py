@@ -19,9 +19,8 @@ from docloom.functions.detect import extraction_mime, members, starts_with
 from docloom.functions.python_text import normalize_whitespace
 from docloom.sources import archives, html, lines, pdf
 
-BATCH_ROWS, BATCH_BYTES = "1024", "16777216"
-#: Whole files larger than this are not parsed; their row says so.
-MAX_FILE = 256 << 20
+#: Rows and bytes of an Arrow batch: files must not pile up in a worker.
+BATCH_ROWS, BATCH_BYTES = "256", "4194304"
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -94,10 +93,11 @@ PARSED = T.StructType(
 )
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """doc_id, path, mime_type, meta, raw (array of raw blocks), error for each row of doc_id, path, mime_type, content.
 
-    A file that cannot be parsed gives no blocks and an error; it never fails the job.
+    A file that cannot be parsed gives no blocks and an error; it never fails the
+    job. Files of any size are parsed, unless `max_bytes` sets a limit.
     """
     spark = files.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -110,7 +110,7 @@ def extract(files: DataFrame) -> DataFrame:
             for doc_id, path, mime, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw, meta, error = [], {}, None
                 try:
-                    if content is not None and len(content) > MAX_FILE:
+                    if max_bytes is not None and content is not None and len(content) > max_bytes:
                         raise ValueError("EXTRACT_SIZE: file too large")
                     found, meta = parse(mime or "text/plain", content or b"", path or "")
                     raw = [raw_row(b) for b in found]
