@@ -9,9 +9,8 @@ with probability 0.96 and a deeper one's with 0.98; with four trees a pair is
 missed about once in 10^5.
 
 Small nodes are compared exhaustively; in a large one every set is compared with
-a few pivots, and the node branches on, with fewer children beyond a depth that
-unrelated sets hardly reach. A large node most of whose sets seem to link to a
-pivot would hardly get smaller. It ends: once its sets are linked as far as
+a few pivots, and the node branches on. A large node most of whose sets are like
+a pivot would hardly get smaller. It ends: once its sets are linked as far as
 other comparisons do it, each set outside the node's largest component is
 compared with all of the node, on full sets where the minwise bytes leave a
 chance. So no link to an outsider is lost, and none within the component is
@@ -37,13 +36,11 @@ from docloom.llm.components import components
 
 #: Coordinates that are compared, and how many of them name paths.
 COORDINATES, PATHS = 128, 32
-TREES, ROOT_CHOICES, CHOICES, DEPTH = 4, 2, 4, 8
-#: Children of a set in a node beyond this depth: what is left there is alike, and 2 keep its rows from multiplying.
-BROAD, NARROW_CHOICES = 4, 2
+TREES, ROOT_CHOICES, CHOICES, DEPTH = 4, 2, 4, 4
 #: Sets in a node that is compared exhaustively, at most; pivots of a larger one.
-SMALL, PIVOTS = 128, 16
-#: Equal coordinates that make a candidate (a pair at 0.8 has fewer once in 10^6), that need no doubt, and that a pair at 0.8 has on average.
-CANDIDATE, SURE, LINKED = 81, 122, 102
+SMALL, PIVOTS = 1024, 16
+#: Equal coordinates that make a candidate (a pair at 0.8 has fewer once in 10^6), that need no doubt, and that make two sets alike.
+CANDIDATE, SURE, ALIKE = 81, 122, 90
 #: Candidates a set, in a small node, beyond which it ends.
 CROWD = 3
 SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, minwise array<int>, bytes binary"
@@ -191,9 +188,9 @@ def salt(c: str, blocks) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(7), c), blocks).cast("int")
 
 
-def branch(placed: DataFrame, sets: DataFrame, choices: int) -> DataFrame:
+def branch(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Children of the placed sets (node, id): the node's path chooses two coordinates for each."""
-    at = placed.join(sets.select("id", "minwise"), "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(choices - 1))))
+    at = placed.join(sets.select("id", "minwise"), "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(CHOICES - 1))))
     pick = [F.pmod(F.xxhash64("node", F.lit(s), F.col("j")), F.lit(PATHS)).cast("int") for s in (1, 2)]
     tokens = [F.element_at("minwise", c + 1) for c in pick]
     return at.select(F.xxhash64("node", *pick, *tokens).alias("node"), "id")
@@ -223,13 +220,13 @@ def chosen_paths(sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataF
         spread = packed(large.withColumn("block", salt("id", blocks)), ["node", "block"])
         near = scratch.table(compare_pivots(spread.join(pivots, ["node", "block"])), f"near{depth}")
         found.append(near.where(F.col("same") >= CANDIDATE).select("a", "b", "same"))
-        ends = near.groupBy("node").agg(F.avg((F.col("same") >= LINKED).cast("int")).alias("linked")).where((F.col("linked") >= 0.7) | F.lit(depth == DEPTH)).select("node")
+        ends = near.groupBy("node").agg(F.avg((F.col("same") >= ALIKE).cast("int")).alias("alike")).where((F.col("alike") >= 0.7) | F.lit(depth == DEPTH)).select("node")
         ends = scratch.table(ends, f"ends{depth}")
         ended.append(large.select("node", "id").join(ends, "node", "left_semi"))
         rest = large.select("node", "id").join(ends, "node", "left_anti")
         if depth == DEPTH or rest.isEmpty():
             break
-        nodes = branch(rest, sets, CHOICES if depth < BROAD else NARROW_CHOICES)
+        nodes = branch(rest, sets)
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.unionByName(x)
@@ -412,3 +409,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("label"))
     out = placed.select("doc_id", "n_shingles", "label").unionByName(rest)
     return out.select("doc_id", "n_shingles", F.col("label").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("label"), F.lit(True)).alias("kept"))
+
+
+#: The same rows by joining shingles: every pair of distinct sets that share one is compared, and components grow by recursion.
+#: Words are those of width 2 and 80 percent; A-Z alone are lower-cased.
+ORACLE = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \\t\\n\\x0B\\x0C\\r]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])) END)) AS s FROM words),
+classes AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+shingles AS (SELECT id, n, unnest(s) AS g FROM classes),
+shared AS (SELECT a.id AS a, b.id AS b, a.n AS n, b.n AS m, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3, 4),
+links AS (SELECT a, b FROM shared WHERE 100 * k >= 80 * (n + m - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, low) AS (
+  SELECT id, id FROM classes UNION SELECT e.b, r.low FROM reach r JOIN edges e ON e.a = r.id WHERE r.low < e.b),
+low AS (SELECT id, min(low) AS low FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(l.low, d.doc_id) AS component_id, coalesce(l.low, d.doc_id) = d.doc_id AS kept
+FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN low l ON l.id = c.id
+"""
