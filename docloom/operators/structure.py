@@ -69,29 +69,39 @@ def nodes(sections: DataFrame) -> DataFrame:
     The root's title is the document's first block, cut at 100 characters, if the
     first heading is not of the first dense level.
     """
-    own = sections.groupBy("doc_id", "node_id").agg(
-        F.first("structure_path").alias("path"),
-        F.max(F.when(F.col("type") == "heading", F.col("text_plain"))).alias("title"),
-        F.max("dense_level").alias("level"),
-        F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id"))).alias("_ids"),
-        F.sum("token_count_est").alias("token_count_est"),
-        F.min("ordinal").alias("first_ordinal"),
-        F.max("ordinal").alias("last_ordinal"),
-        F.min("page_number").alias("page_start"),
-        F.max("page_number").alias("page_end"),
+    heading = F.col("type") == "heading"
+    level1 = F.min_by("dense_level", F.when(heading, F.col("ordinal"))).over(doc())
+    first = F.min_by("text_plain", "ordinal").over(doc())
+    begins = F.col("ordinal") == F.min("ordinal").over(doc())
+    here = F.struct("node_id", F.lit(True).alias("own"))
+    root = F.struct(F.lit("root").alias("node_id"), F.lit(False).alias("own"))
+    # a document's first block also stands for its root, which may own nothing: all in the one partitioning by document
+    at = F.explode(F.when(F.col("_begins") & (F.col("node_id") != "root"), F.array(here, root)).otherwise(F.array(here)))
+    rows = sections.withColumns({"_root_title": F.when(level1 > 1, F.substring(first, 1, 100)).otherwise(""), "_begins": begins}).withColumn("_at", at)
+
+    def mine(c) -> Column:
+        return F.when(F.col("_at.own"), c)
+
+    is_root = F.col("node_id") == "root"
+    tree = rows.groupBy("doc_id", F.col("_at.node_id").alias("node_id")).agg(
+        F.max(mine(F.col("structure_path"))).alias("path"),  # the same for all rows of a node
+        F.max(mine(F.when(heading, F.col("text_plain")))).alias("title"),
+        F.max("_root_title").alias("_root_title"),
+        F.max(mine(F.col("dense_level"))).alias("level"),
+        F.array_sort(F.collect_list(mine(F.struct("ordinal", "chunk_id")))).alias("_ids"),
+        F.sum(mine(F.col("token_count_est"))).alias("token_count_est"),
+        *[f(mine(F.col(c))).alias(n) for f, c, n in ((F.min, "ordinal", "first_ordinal"), (F.max, "ordinal", "last_ordinal"), (F.min, "page_number", "page_start"), (F.max, "page_number", "page_end"))],
     )
-    per_doc = sections.groupBy("doc_id").agg(
-        F.min_by("text_plain", "ordinal").alias("_first"), F.min_by("dense_level", F.when(F.col("type") == "heading", F.col("ordinal"))).alias("_level1")
+    tree = tree.withColumns(
+        {
+            "path": F.when(is_root, F.array(F.lit("root"))).otherwise(F.col("path")),
+            "title": F.coalesce(F.when(is_root, F.col("_root_title")).otherwise(F.col("title")), F.lit("")),
+            "level": F.when(is_root, 0).otherwise(F.col("level")),
+            "token_count_est": F.coalesce("token_count_est", F.lit(0)).cast("long"),
+        }
     )
-    root_title = F.when(F.col("_level1") > 1, F.substring("_first", 1, 100)).otherwise("")
-    empty = F.array().cast("array<struct<ordinal:int,chunk_id:string>>")
-    rows = per_doc.join(own.where("node_id = 'root'").drop("title", "level"), "doc_id", "left").select(
-        "doc_id", F.lit("root").alias("node_id"), F.array(F.lit("root")).alias("path"), root_title.alias("title"), F.lit(0).alias("level"), F.coalesce("_ids", empty).alias("_ids"),
-        F.coalesce("token_count_est", F.lit(0)).cast("long").alias("token_count_est"), "first_ordinal", "last_ordinal", "page_start", "page_end",
-    )
-    rows = rows.unionByName(own.where("node_id <> 'root'"))
-    return rows.select(
-        "doc_id", "node_id", F.try_element_at("path", F.lit(-2)).alias("parent_id"), node_type(F.col("level")).alias("node_type"), F.coalesce("title", F.lit("")).alias("title"), "level", "path",
+    return tree.select(
+        "doc_id", "node_id", F.try_element_at("path", F.lit(-2)).alias("parent_id"), node_type(F.col("level")).alias("node_type"), "title", "level", "path",
         F.col("_ids.chunk_id").alias("chunk_ids"), "token_count_est", "first_ordinal", "last_ordinal", "page_start", "page_end",
     )
 

@@ -234,3 +234,31 @@ def test_one_shuffle_for_blocks_and_sections(spark):
     s = T.with_sections(B.canonical_blocks(raw(spark, {1: [h(1), {"text": "x"}]})))
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_section_tree_parses_once(spark):
+    from docloom import catalog
+
+    df = catalog.QUERIES["section_tree"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1
+
+
+def test_roots_own_what_no_section_does(spark):
+    from docloom.operators import structure
+
+    rows = [(1, 0, "paragraph", "before", None), (1, 1, "heading", "One", 1), (2, 0, "heading", "Low", 2), (2, 1, "heading", "High", 1), (3, 0, "paragraph", "alone", None)]
+    df = spark.createDataFrame(rows, "doc_id long, ordinal int, type string, text_plain string, heading_level int")
+    df = df.selectExpr("*", "concat('blk-00', ordinal) AS chunk_id", "ordinal + 1 AS token_count_est", "CAST(null AS int) AS page_number")
+    got = {(r.doc_id, r.node_id): (r.title, r.level, r.chunk_ids, r.token_count_est) for r in structure.nodes(structure.with_sections(df)).collect()}
+    assert got[1, "root"] == ("", 0, ["blk-000"], 1) and got[3, "root"] == ("", 0, ["blk-000"], 1)
+    assert got[2, "root"] == ("Low", 0, [], 0) and got[2, "sec-000"] == ("Low", 2, ["blk-000"], 1)
+
+
+def test_structure_scores_of_flat_documents(spark):
+    from docloom.operators import enrich
+
+    df = spark.createDataFrame([(1, 0, "paragraph", None), (2, 0, "paragraph", None), (3, 0, "heading", 1), (3, 1, "heading", 3)], "doc_id long, ordinal int, type string, heading_level int")
+    got = {r.doc_id: float(r.structure_score) for r in enrich.structure_scores(df, df.where("doc_id = 2")).collect()}
+    assert got == {1: 0.3, 2: 0.5, 3: 0.75}
