@@ -62,9 +62,10 @@ def test_odd_rows(odd, empty):
     assert (1, True) in kept and (2, False) in kept and (7, False) in kept and (None, True) in kept
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_large_group_of_near_copies(spark, seed):
-    """A group far beyond a node's size, with outsiders at its edge, next to unrelated documents."""
+@pytest.mark.parametrize("seed, small", [(1, 64), (2, 64), (2, 1024)])
+def test_large_group_of_near_copies(spark, monkeypatch, seed, small):
+    """A group far beyond a small node's size, with outsiders at its edge, next to unrelated documents; and compared exhaustively."""
+    monkeypatch.setattr(minhash, "SMALL", small)
     rng = random.Random(seed)
     base = [f"w{k}" for k in range(60)]
     rows = []
