@@ -496,8 +496,7 @@ def _talk(s, d) -> DataFrame:
 
 
 def _talk_placed(s, d) -> DataFrame:
-    sections = T.with_sections(_talk(s, d))
-    return C.heading_paths(sections, T.nodes(sections))
+    return T.with_sections(_talk(s, d))
 
 
 _TALK = f"""talk AS (SELECT conv_id AS doc_id, turn AS ordinal, 'blk-' || lpad(CAST(turn AS VARCHAR), 3, '0') AS chunk_id, text, {tokens_sql("text")} AS t FROM conversations)"""
@@ -669,8 +668,7 @@ def abstract_pairs(s, d):
 
 @query(expected("SELECT b.doc_id, b.chunk_id, b.text, b.type, b.path, b.tokens, c_name AS title FROM blocks b JOIN src ON c_custkey = b.doc_id"), lists=("path",))
 def embedding_payloads(s, d):
-    c = _crm(s, d)
-    r = M.embedding_payloads(c.sections, c.metadata)
+    r = M.embedding_payloads(_crm(s, d).described)
     return r.select("doc_id", "chunk_id", F.col("text_plain").alias("text"), "type", F.col("structure_path").alias("path"), F.col("token_count_est").alias("tokens"), F.col("document_title").alias("title"))
 
 
@@ -747,8 +745,7 @@ def combined_jsonl(s, d):
 @query(expected("SELECT doc_id, ordinal, chunk_id, type, text, chars AS char_count, tokens AS token_count_est, node, path FROM blocks"), lists=("path",))
 def canonical_blocks(s, d):
     """Documents written as JSON and read back: blocks with the nodes that own them."""
-    c = _crm(s, d)
-    read = J.parsed(K.document_json(c.blocks, c.nodes, c.metadata))
+    read = J.parsed(K.document_json(_crm(s, d).described))
     # places in the file are those of the remaining blocks; a label that joined its list leaves a gap in the ids
     rows = J.sections_of(read).withColumn("ordinal", F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("int"))
     return rows.select("doc_id", "ordinal", "chunk_id", "type", F.col("text_plain").alias("text"), "char_count", "token_count_est", F.col("node_id").alias("node"), F.col("structure_path").alias("path"))
@@ -783,8 +780,7 @@ def error_codes(s, d):
 
 @query(expected("SELECT doc_id, count(*) AS n_blocks, min(text) FILTER (ordinal = 0) AS first FROM blocks GROUP BY doc_id"))
 def document_json(s, d):
-    c = _crm(s, d)
-    j = K.document_json(c.blocks, c.nodes, c.metadata)
+    j = K.document_json(_crm(s, d).described)
     parsed = F.from_json("json", "blocks array<struct<text_plain:string>>")
     return j.select("doc_id", F.size(parsed["blocks"]).cast("long").alias("n_blocks"), parsed["blocks"][0]["text_plain"].alias("first"))
 

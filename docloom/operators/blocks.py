@@ -83,6 +83,7 @@ def base_blocks(raw: DataFrame) -> DataFrame:
         "source_location",
         "confidence",
         F.lit(None).cast("string").alias("intro_text"),
+        *(["about"] if "about" in raw.columns else []),
     )
 
 

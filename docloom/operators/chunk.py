@@ -1,15 +1,16 @@
 """Token-bounded chunks with overlap.
 
-A document's blocks are folded in order, carrying indices and token counts
-only, as one aggregate expression in the JVM; texts are looked up afterwards.
+A document's running token sums are folded in order, as one aggregate expression
+in the JVM that carries indices only; texts are cut out of the document afterwards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.operators.blocks import by_doc
 
 MAX_TOKENS, OVERLAP = 512, 50
 
@@ -30,30 +31,47 @@ def block_text(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("rendered", rendered).withColumn("t", X.token_estimate("rendered"))
 
 
-def greedy_groups(t: Column, max_tokens: int, overlap: int, split_oversize: bool = True) -> Column:
-    """Arrays of block indices (from 0) for an array of token counts.
+def greedy_spans(running: Column, max_tokens: int, overlap: int, split_oversize: bool = True) -> Column:
+    """Groups of a document's blocks as (first, last) indices from 0, for the running sums of the blocks' tokens.
 
     A block over the limit stands alone. A group that would pass the limit
     closes, and the next one starts with its trailing blocks within the overlap.
+    Groups are runs, so the fold keeps where the open one began and no more.
     """
-    ints = "array<int>"
-    at = lambda i: F.element_at(t, i + 1)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, i: s + at(i))
+    span = lambda a, z: F.array(F.struct(a.cast("int").alias("first"), z.cast("int").alias("last")))
+    upto = lambda k: F.coalesce(F.get(running, k - 1), F.lit(0))
 
     def step(s: Column, i: Column) -> Column:
-        cur, done, n = s["cur"], s["done"], at(i)
-        closed = F.when(F.size(cur) > 0, F.concat(done, F.array(cur))).otherwise(done)
-        tail = F.filter(cur, lambda _, k: total(F.slice(cur, k + 1, F.size(cur))) <= overlap)
-        alone = F.struct(F.concat(closed, F.array(F.array(i))).alias("done"), F.array().cast(ints).alias("cur"), F.lit(0).alias("n"))
-        fresh = F.concat(tail, F.array(i))
-        turned = F.struct(F.concat(done, F.array(cur)).alias("done"), fresh.alias("cur"), total(fresh).alias("n"))
-        grown = F.struct(done.alias("done"), F.concat(cur, F.array(i)).alias("cur"), (s["n"] + n).alias("n"))
-        over = (s["n"] + n > max_tokens) & (F.size(cur) > 0)
-        return F.when((n > max_tokens) & F.lit(split_oversize), alone).when(over, turned).otherwise(grown)
+        first, done = s["first"], s["done"]
+        n, filled = upto(i + 1) - upto(i), first < i
+        closed = F.when(filled, F.concat(done, span(first, i - 1))).otherwise(done)
+        tail = F.array_min(F.filter(F.sequence(first, i), lambda k: upto(i) - upto(k) <= overlap))
+        alone = F.struct((i + 1).alias("first"), F.concat(closed, span(i, i)).alias("done"))
+        turned = F.struct(F.coalesce(tail, i).alias("first"), closed.alias("done"))
+        over = filled & (upto(i + 1) - upto(first) > max_tokens)
+        return F.when((n > max_tokens) & F.lit(split_oversize), alone).when(over, turned).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("first"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
+    size = F.size(running)
+    every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(every, start, step, lambda s: F.when(s["first"] < size, F.concat(s["done"], span(s["first"], size - 1))).otherwise(s["done"]))
+
+
+def grouped(blocks: DataFrame, fields: tuple[str, ...], max_tokens: int, overlap: int, split_oversize: bool = True) -> DataFrame:
+    """doc_id, k (from 0) and g, the structs of a group's blocks in order; blocks carry their tokens as `t`.
+
+    What leaves a document is cut before it is exploded, so no row of a group
+    holds the document, and no group's texts are copied but for the overlap.
+    """
+    running = F.sum(F.col("t").cast("long")).over(by_doc().rowsBetween(Window.unboundedPreceding, 0))
+    rows = F.array_sort(F.collect_list(F.struct("ordinal", "_running", "t", *fields)))
+    docs = blocks.withColumn("_running", running).groupBy("doc_id").agg(rows.alias("b"))
+    spans = greedy_spans(F.col("b._running"), max_tokens, overlap, split_oversize)
+    return docs.select("doc_id", F.posexplode(F.transform(spans, lambda s: F.slice("b", s["first"] + 1, s["last"] - s["first"] + 1))).alias("k", "g"))
+
 
-    start = F.struct(F.array().cast(f"array<{ints}>").alias("done"), F.array().cast(ints).alias("cur"), F.lit(0).alias("n"))
-    every = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast(ints))
-    return F.aggregate(every, start, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"]))
+def _all(field: str) -> Column:
+    return F.transform("g", lambda b: b[field])
 
 
 def truncated(c: Column, max_tokens: int) -> Column:
@@ -77,25 +95,13 @@ def common_prefix(paths: Column) -> Column:
     return F.when(F.size(paths) > 0, F.aggregate(F.slice(paths, 2, F.greatest(F.size(paths) - 1, F.lit(0))), F.element_at(paths, 1), shorter)).otherwise(empty)
 
 
-def heading_paths(sections: DataFrame, tree: DataFrame) -> DataFrame:
-    """`sections` with heading_path: the titles along the path, but for the root's and empty ones."""
-    titles = tree.where("node_id <> 'root' AND title <> ''").select("doc_id", F.explode(F.array("node_id")).alias("node_id"), "title")
-    named = tree.select("doc_id", "node_id", F.posexplode("path").alias("k", "step")).join(titles.withColumnRenamed("node_id", "step"), ["doc_id", "step"])
-    paths = named.groupBy("doc_id", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]).alias("heading_path"))
-    return sections.join(paths, ["doc_id", "node_id"], "left").withColumn("heading_path", F.coalesce("heading_path", F.array().cast("array<string>")))
-
-
 def chunks(sections: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of the embedding-ready blocks: ids, text, tokens, block ids, common structure and heading paths.
 
-    sections: blocks with structure_path and heading_path (see heading_paths).
+    sections: blocks with structure_path and heading_path (see structure.with_sections).
     """
-    ready = block_text(sections.where("embedding_ready"))
-    row = F.struct("ordinal", "chunk_id", "rendered", "t", "structure_path", "heading_path")
-    docs = ready.groupBy("doc_id").agg(F.array_sort(F.collect_list(row), lambda a, b: a["ordinal"] - b["ordinal"]).alias("b"))
-    groups = docs.select("doc_id", "b", F.posexplode(greedy_groups(F.col("b.t"), max_tokens, overlap)).alias("k", "g"))
-    pick = lambda f: F.transform("g", lambda i: F.element_at(F.col("b"), i + 1)[f])
-    out = groups.select("doc_id", (F.col("k") + 1).alias("chunk_num"), F.array_join(pick("rendered"), "\n\n").alias("_t"), pick("chunk_id").alias("block_ids"), pick("structure_path").alias("_s"), pick("heading_path").alias("_h"))
+    groups = grouped(block_text(sections.where("embedding_ready")), ("chunk_id", "rendered", "structure_path", "heading_path"), max_tokens, overlap)
+    out = groups.select("doc_id", (F.col("k") + 1).alias("chunk_num"), F.array_join(_all("rendered"), "\n\n").alias("_t"), _all("chunk_id").alias("block_ids"), _all("structure_path").alias("_s"), _all("heading_path").alias("_h"))
     n = F.col("chunk_num").cast("string")
     cid = F.concat(F.lit("chunk-"), F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n))
     out = out.withColumn("text", truncated(F.col("_t"), max_tokens))
@@ -104,11 +110,9 @@ def chunks(sections: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVE
 
 def rag_chunks(blocks: DataFrame, max_tokens: int = 512, overlap: int = 64) -> DataFrame:
     """Sliding chunks of plain texts joined by spaces; a block over the limit is not set apart, and the tail is kept."""
-    row = F.struct("ordinal", "chunk_id", "text_plain", F.col("token_count_est").alias("t"))
-    docs = blocks.where("embedding_ready").groupBy("doc_id").agg(F.array_sort(F.collect_list(row), lambda a, b: a["ordinal"] - b["ordinal"]).alias("b"))
-    groups = docs.select("doc_id", "b", F.posexplode(greedy_groups(F.col("b.t"), max_tokens, overlap, split_oversize=False)).alias("k", "g"))
-    pick = lambda f: F.transform("g", lambda i: F.element_at(F.col("b"), i + 1)[f])
-    return groups.select("doc_id", (F.col("k") + 1).alias("chunk_num"), F.array_join(pick("text_plain"), " ").alias("text"), pick("chunk_id").alias("block_ids"), F.aggregate(pick("t"), F.lit(0), lambda a, x: a + x).alias("token_count_est"))
+    rows = blocks.where("embedding_ready").withColumn("t", F.col("token_count_est"))
+    groups = grouped(rows, ("chunk_id", "text_plain"), max_tokens, overlap, split_oversize=False)
+    return groups.select("doc_id", (F.col("k") + 1).alias("chunk_num"), F.array_join(_all("text_plain"), " ").alias("text"), _all("chunk_id").alias("block_ids"), F.aggregate(_all("t"), F.lit(0), lambda a, x: a + x).alias("token_count_est"))
 
 
 def section_chunks(sections: DataFrame, max_tokens: int = 512, overlap: int = 50) -> DataFrame:
@@ -116,8 +120,5 @@ def section_chunks(sections: DataFrame, max_tokens: int = 512, overlap: int = 50
     head = F.array_join(F.transform(F.slice("rows", 1, 3), lambda r: F.array_join(r, " | ", "")), "\n")
     text = F.when(F.col("type") == "table", head).when(F.col("type") == "code_block", F.substring("text_plain", 1, 500)).otherwise(F.col("text_plain"))
     rows = sections.where("embedding_ready").withColumn("_x", text).withColumn("t", X.token_estimate("_x"))
-    row = F.struct("ordinal", "chunk_id", "_x", "t", "node_id", "heading_path")
-    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(row), lambda a, b: a["ordinal"] - b["ordinal"]).alias("b"))
-    groups = docs.select("doc_id", "b", F.posexplode(greedy_groups(F.col("b.t"), max_tokens, overlap, split_oversize=False)).alias("position", "g"))
-    pick = lambda f: F.transform("g", lambda i: F.element_at(F.col("b"), i + 1)[f])
-    return groups.select("doc_id", "position", F.array_join(pick("_x"), "\n\n").alias("text"), pick("chunk_id").alias("block_ids"), F.array_distinct(pick("node_id")).alias("section_ids"), F.element_at(pick("heading_path"), 1).alias("heading_path"))
+    groups = grouped(rows, ("chunk_id", "_x", "node_id", "heading_path"), max_tokens, overlap, split_oversize=False)
+    return groups.select("doc_id", F.col("k").alias("position"), F.array_join(_all("_x"), "\n\n").alias("text"), _all("chunk_id").alias("block_ids"), F.array_distinct(_all("node_id")).alias("section_ids"), F.element_at(_all("heading_path"), 1).alias("heading_path"))

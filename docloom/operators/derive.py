@@ -37,10 +37,12 @@ def abstract_pairs(sections: DataFrame) -> DataFrame:
     return abstracts.join(body, "doc_id").select("doc_id", F.substring("_d", 1, 4000).alias("document"), "summary")
 
 
-def embedding_payloads(sections: DataFrame, documents: DataFrame) -> DataFrame:
-    """Every embedding-ready block with its place and its document's title, author and type (documents: from enrich.metadata)."""
-    about = documents.select("doc_id", F.col("title").alias("document_title"), "author", F.col("language").alias("document_language"))
-    return sections.where("embedding_ready").join(about, "doc_id", "left").select("doc_id", "chunk_id", "text_plain", "type", "structure_path", "section_role", "document_language", "page_number", "token_count_est", "document_title", "author")
+def embedding_payloads(described: DataFrame) -> DataFrame:
+    """Every embedding-ready block with its place and its document's title, author and type. described: Documents.described."""
+    about = F.first("about", ignorenulls=True).over(Window.partitionBy("doc_id"))
+    rows = described.withColumn("about", about).where("embedding_ready AND ordinal IS NOT NULL")
+    of_document = (F.col("about.language").alias("document_language"), F.col("about.title").alias("document_title"), F.col("about.author").alias("author"))
+    return rows.select("doc_id", "chunk_id", "text_plain", "type", "structure_path", "section_role", "page_number", "token_count_est", *of_document)
 
 
 def table_texts(sections: DataFrame) -> DataFrame:

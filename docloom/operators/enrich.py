@@ -73,8 +73,12 @@ def document_dates(blocks: DataFrame) -> DataFrame:
     start = F.sum(F.length("text_plain") + 1).over(by_doc().rowsBetween(Window.unboundedPreceding, -1))
     head = blocks.withColumn("_at", F.coalesce(start, F.lit(0))).where("_at < 5000")
     texts = F.array_sort(F.collect_list(F.struct("ordinal", "text_plain")))
-    joined = head.groupBy("doc_id").agg(F.substring(F.array_join(texts["text_plain"], " "), 1, 5000).alias("_t"))
-    return joined.select("doc_id", X.dates("_t").alias("dates"))
+    return head.groupBy("doc_id").agg(texts["text_plain"].alias("_t")).select("doc_id", first_dates(F.col("_t")).alias("dates"))
+
+
+def first_dates(texts: Column) -> Column:
+    """The dates among the first 5000 characters of a document, given as its blocks' texts in order."""
+    return X.dates(F.substring(F.array_join(F.slice(texts, 1, 5000), " "), 1, 5000))
 
 
 def statistics(blocks: DataFrame) -> DataFrame:
@@ -96,34 +100,45 @@ def type_counts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count_est").alias("tokens"))
 
 
-def metadata(parsed: DataFrame, dates: DataFrame) -> DataFrame:
-    """A document's title, author, source, dates, language: the first non-empty of the places that can name them."""
+def described(parsed: DataFrame) -> DataFrame:
+    """`parsed` with about: a struct of the document's title, author, source, dates, language and so on, each the first
+    non-empty of the places that can name it."""
 
     def first(*keys: str) -> Column:
         return F.coalesce(*[F.nullif(F.try_element_at("meta", F.lit(k)), F.lit("")) for k in keys])
 
     filename = F.regexp_extract("path", r"([^/]*)$", 1)
     source = first("source")
-    rows = parsed.drop("raw").join(dates, "doc_id", "left")
     several = F.coalesce(first("multilingual") == "true", F.lit(False))
-    return rows.select(
-        "doc_id",
-        "path",
-        "mime_type",
-        F.coalesce(first("title", "Title"), F.nullif(filename, F.lit(""))).alias("title"),
-        first("subtitle", "Subject").alias("subtitle"),
-        first("author", "creator").alias("author"),
-        F.coalesce(source, F.col("path")).alias("declared_source"),
-        F.when(source.isNotNull(), "frontmatter").otherwise("filesystem").alias("source_type"),
-        X.date_field(first("created", "date")).alias("created"),
-        X.date_field(first("modified")).alias("modified"),
-        F.coalesce(first("published"), F.try_element_at("dates", F.lit(1))).alias("published"),
-        F.when(several, "multilingual").otherwise("en").alias("language"),
-        F.when(several, 0.95).otherwise(0.99).alias("language_confidence"),
-        first("language").alias("declared_language"),
-        F.coalesce(first("page_count").cast("int"), F.lit(0)).alias("page_count"),
-        "error",
-    )
+    fields = {
+        "path": F.col("path"),
+        "mime_type": F.col("mime_type"),
+        "title": F.coalesce(first("title", "Title"), F.nullif(filename, F.lit(""))),
+        "subtitle": first("subtitle", "Subject"),
+        "author": first("author", "creator"),
+        "declared_source": F.coalesce(source, F.col("path")),
+        "source_type": F.when(source.isNotNull(), "frontmatter").otherwise("filesystem"),
+        "created": X.date_field(first("created", "date")),
+        "modified": X.date_field(first("modified")),
+        "published": first("published"),
+        "language": F.when(several, "multilingual").otherwise("en"),
+        "language_confidence": F.when(several, 0.95).otherwise(0.99),
+        "declared_language": first("language"),
+        "page_count": F.coalesce(first("page_count").cast("int"), F.lit(0)),
+        "error": F.col("error"),
+    }
+    return parsed.withColumn("about", F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
+def published(about: Column, dates: Column) -> Column:
+    """`about` whose publication date, where none is given, is the first of the dates in the text."""
+    return about.withField("published", F.coalesce(about["published"], F.try_element_at(dates, F.lit(1))))
+
+
+def metadata(parsed: DataFrame, dates: DataFrame) -> DataFrame:
+    """A row for each document: the fields of `described`, with its dates (doc_id, dates)."""
+    rows = described(parsed).select("doc_id", "about").join(dates, "doc_id", "left")
+    return rows.select("doc_id", published(F.col("about"), F.col("dates")).alias("about")).select("doc_id", "about.*")
 
 
 def structure_scores(blocks: DataFrame, sections: DataFrame | None = None) -> DataFrame:

@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VERSION = "1.0"
+from docloom.operators.enrich import first_dates, published
+from docloom.operators.structure import nodes
 
+VERSION = "1.0"
 
-def document_json(blocks: DataFrame, tree: DataFrame, documents: DataFrame) -> DataFrame:
-    """doc_id and json: metadata, blocks in order, nodes with their paths."""
-    def ordered(df: DataFrame, by: str, name: str) -> DataFrame:
-        fields = F.struct(*[c for c in df.columns if c not in ("doc_id", by)])
-        rows = F.array_sort(F.collect_list(F.struct(by, fields.alias("row"))), lambda a, b: F.when(a[by] < b[by], -1).when(a[by] > b[by], 1).otherwise(0))
-        return df.groupBy("doc_id").agg(rows["row"].alias(name))
 
-    keep = ["doc_id", "ordinal", "chunk_id", "type", "text_plain", "text_original", "char_count", "token_count_est", "embedding_ready", "prev_chunk_id", "next_chunk_id", "parent_heading_chunk_id", "page_number"]
-    b = ordered(blocks.select(*keep), "ordinal", "blocks")
-    n = ordered(tree.select("doc_id", F.coalesce("first_ordinal", F.lit(-1)).alias("at"), "node_id", "parent_id", "node_type", "title", "level", "path", "chunk_ids"), "at", "nodes")
-    meta = documents.select("doc_id", F.struct(*[c for c in documents.columns if c != "doc_id"]).alias("metadata"))
-    rows = meta.join(b, "doc_id", "left").join(n, "doc_id", "left")
-    return rows.select("doc_id", F.to_json(F.struct(F.lit(VERSION).alias("version"), F.col("doc_id").cast("string").alias("document_id"), "metadata", F.struct("nodes").alias("structure"), "blocks")).alias("json"))
+def document_json(described: DataFrame) -> DataFrame:
+    """doc_id and json: metadata, blocks in order, nodes with their paths. described: Documents.described.
+
+    Blocks go into their nodes and nodes into their document, all within the one
+    partitioning by document.
+    """
+    keep = ("ordinal", "chunk_id", "type", "text_plain", "text_original", "char_count", "token_count_est", "embedding_ready", "prev_chunk_id", "next_chunk_id", "parent_heading_chunk_id", "page_number")
+    of_node = ("node_id", "parent_id", "node_type", "title", "level", "path", "chunk_ids")
+    tree = nodes(described, keep).withColumn("_at", F.coalesce("first_ordinal", F.lit(-1)))
+    docs = tree.groupBy("doc_id").agg(
+        F.array_sort(F.flatten(F.collect_list("blocks"))).alias("_b"), F.array_sort(F.collect_list(F.struct("_at", *of_node))).alias("_n"), F.first("about", ignorenulls=True).alias("about")
+    )
+    without = lambda rows, first, names: F.transform(rows, lambda r: F.struct(*[r[n].alias(n) for n in names if n != first]))
+    parts = F.struct(
+        F.lit(VERSION).alias("version"),
+        F.col("doc_id").cast("string").alias("document_id"),
+        published(F.col("about"), first_dates(F.col("_b.text_plain"))).alias("metadata"),
+        F.struct(without("_n", "_at", of_node).alias("nodes")).alias("structure"),
+        without("_b", "ordinal", keep).alias("blocks"),
+    )
+    return docs.select("doc_id", F.to_json(parts).alias("json"))
 
 
 def chunk_file(chunks: DataFrame, max_tokens: int, overlap: int) -> DataFrame:

@@ -43,31 +43,35 @@ def dense_levels(blocks: DataFrame) -> DataFrame:
 
 
 def with_sections(blocks: DataFrame) -> DataFrame:
-    """`blocks` with node_id, structure_path, section_role and parent_structure_node_id (null in documents without headings)."""
+    """`blocks` with node_id, structure_path, heading_path (the titles along it), section_role and parent_structure_node_id
+    (null in documents without headings)."""
     heading = F.col("type") == "heading"
     rows = dense_levels(blocks).withColumn("_k", F.sum(heading.cast("int")).over(so_far()))
     rows = rows.withColumn("_node", F.when(heading, F.concat(F.lit("sec-"), _padded(F.col("_k") - 1))))
-    running = [F.max(F.when(F.col("dense_level") == n, F.struct("ordinal", F.col("_node").alias("node")))).over(so_far()).alias(f"_a{n}") for n in range(1, MAX_LEVEL + 1)]
+    running = [F.max(F.when(F.col("dense_level") == n, F.struct("ordinal", F.col("_node").alias("node"), F.col("text_plain").alias("title")))).over(so_far()).alias(f"_a{n}") for n in range(1, MAX_LEVEL + 1)]
     rows = rows.select("*", F.max(heading.cast("int")).over(doc()).alias("_any"), *running)
     # one fold over the levels: an ancestor counts if it stands after all those above it
-    start = F.struct(F.lit(-1).alias("latest"), F.array(F.lit("root")).alias("path"))
+    start = F.struct(F.lit(-1).alias("latest"), F.array(F.lit("root")).alias("path"), F.array().cast("array<string>").alias("titles"))
 
     def step(s: Column, a: Column) -> Column:
-        deeper = F.struct(a["ordinal"].alias("latest"), F.concat(s["path"], F.array(a["node"])).alias("path"))
+        deeper = F.struct(a["ordinal"].alias("latest"), F.concat(s["path"], F.array(a["node"])).alias("path"), F.concat(s["titles"], F.array(a["title"])).alias("titles"))
         return F.when(a.isNotNull() & (a["ordinal"] > s["latest"]), deeper).otherwise(s)
 
-    path = F.aggregate(F.array(*[f"_a{n}" for n in range(1, MAX_LEVEL + 1)]), start, step, lambda s: s["path"])
-    rows = rows.withColumn("structure_path", path).withColumn("node_id", F.element_at("structure_path", -1))
+    place = F.aggregate(F.array(*[f"_a{n}" for n in range(1, MAX_LEVEL + 1)]), start, step)
+    rows = rows.withColumn("_place", place).withColumn("structure_path", F.col("_place.path")).withColumn("node_id", F.element_at("structure_path", -1))
+    rows = rows.withColumn("heading_path", F.filter("_place.titles", lambda t: t != ""))
     rows = rows.withColumn("parent_structure_node_id", F.when(F.col("_any") == 1, F.col("node_id")))
     rows = rows.withColumn("section_role", F.when(heading, X.section_role("text_plain")))
-    return rows.drop("_k", "_node", "_any", *[f"_a{n}" for n in range(1, MAX_LEVEL + 1)])
+    return rows.drop("_k", "_node", "_any", "_place", *[f"_a{n}" for n in range(1, MAX_LEVEL + 1)])
 
 
-def nodes(sections: DataFrame) -> DataFrame:
+def nodes(sections: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each node that owns blocks or is a root: ids, path, title, level, its own chunk ids in order, token sum, ordinals.
 
     The root's title is the document's first block, cut at 100 characters, if the
-    first heading is not of the first dense level.
+    first heading is not of the first dense level. With `keep`, the nodes' own
+    blocks come along as `blocks`, structs of these columns, and `about` where the
+    sections have it; a row without an ordinal stands for a document without blocks.
     """
     heading = F.col("type") == "heading"
     level1 = F.min_by("dense_level", F.when(heading, F.col("ordinal"))).over(doc())
@@ -80,7 +84,7 @@ def nodes(sections: DataFrame) -> DataFrame:
     rows = sections.withColumns({"_root_title": F.when(level1 > 1, F.substring(first, 1, 100)).otherwise(""), "_begins": begins}).withColumn("_at", at)
 
     def mine(c) -> Column:
-        return F.when(F.col("_at.own"), c)
+        return F.when(F.col("_at.own") & F.col("ordinal").isNotNull(), c)
 
     is_root = F.col("node_id") == "root"
     tree = rows.groupBy("doc_id", F.col("_at.node_id").alias("node_id")).agg(
@@ -91,6 +95,7 @@ def nodes(sections: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(mine(F.struct("ordinal", "chunk_id")))).alias("_ids"),
         F.sum(mine(F.col("token_count_est"))).alias("token_count_est"),
         *[f(mine(F.col(c))).alias(n) for f, c, n in ((F.min, "ordinal", "first_ordinal"), (F.max, "ordinal", "last_ordinal"), (F.min, "page_number", "page_start"), (F.max, "page_number", "page_end"))],
+        *([F.collect_list(mine(F.struct(*keep))).alias("blocks"), F.first("about", ignorenulls=True).alias("about")] if keep else []),
     )
     tree = tree.withColumns(
         {
@@ -102,7 +107,7 @@ def nodes(sections: DataFrame) -> DataFrame:
     )
     return tree.select(
         "doc_id", "node_id", F.try_element_at("path", F.lit(-2)).alias("parent_id"), node_type(F.col("level")).alias("node_type"), "title", "level", "path",
-        F.col("_ids.chunk_id").alias("chunk_ids"), "token_count_est", "first_ordinal", "last_ordinal", "page_start", "page_end",
+        F.col("_ids.chunk_id").alias("chunk_ids"), "token_count_est", "first_ordinal", "last_ordinal", "page_start", "page_end", *(("blocks", "about") if keep else ()),
     )
 
 

@@ -43,8 +43,13 @@ class Documents:
 
     @cached_property
     def placed(self) -> DataFrame:
-        """Sections with their heading paths."""
-        return chunk.heading_paths(self.sections, self.nodes)
+        """Sections, which carry their heading paths."""
+        return self.sections
+
+    @cached_property
+    def described(self) -> DataFrame:
+        """Sections with `about` on each document's last one, from one parse; see extract.described_blocks."""
+        return structure.with_sections(blocks.canonical_blocks(extract.described_blocks(enrich.described(self.parsed))))
 
     @cached_property
     def statistics(self) -> DataFrame:

@@ -37,6 +37,11 @@ def nodes_of(docs: DataFrame) -> DataFrame:
 
 
 def sections_of(docs: DataFrame) -> DataFrame:
-    """The blocks with the node they are in and its path: what chunking reads."""
-    owned = nodes_of(docs).select("doc_id", "node_id", F.col("path").alias("structure_path"), F.explode("chunk_ids").alias("chunk_id"))
-    return blocks_of(docs).join(owned, ["doc_id", "chunk_id"], "left")
+    """The blocks with the node they are in, its path and the titles along it: what chunking reads."""
+    tree = nodes_of(docs)
+    titles = tree.where("node_id <> 'root' AND title <> ''").select("doc_id", F.col("node_id").alias("step"), "title")
+    steps = tree.select("doc_id", "node_id", F.posexplode("path").alias("k", "step")).join(titles, ["doc_id", "step"])
+    headings = steps.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("k", "title")))["title"].alias("heading_path"))
+    owned = tree.select("doc_id", "node_id", F.col("path").alias("structure_path"), F.explode("chunk_ids").alias("chunk_id"))
+    rows = blocks_of(docs).join(owned, ["doc_id", "chunk_id"], "left").join(headings, ["doc_id", "node_id"], "left")
+    return rows.withColumn("heading_path", F.coalesce("heading_path", F.array().cast("array<string>")))

@@ -139,3 +139,14 @@ def extract_texts(texts: DataFrame, mime: str, path: str = "") -> DataFrame:
 def raw_blocks(parsed: DataFrame) -> DataFrame:
     """A row for each raw block: doc_id, ordinal, its fields."""
     return parsed.select("doc_id", F.posexplode("raw").alias("ordinal", "b")).select("doc_id", "ordinal", "b.*")
+
+
+def described_blocks(parsed: DataFrame) -> DataFrame:
+    """`raw_blocks` that bring the column `about` along, on a document's last block (the label merge takes none that is last).
+
+    A document without blocks is a row without an ordinal, so one pass over the
+    parsed documents serves blocks and documents.
+    """
+    rows = parsed.select("doc_id", "about", F.size("raw").alias("_n"), F.posexplode_outer("raw").alias("ordinal", "b"))
+    last = F.coalesce(F.col("ordinal") == F.col("_n") - 1, F.lit(True))
+    return rows.select("doc_id", "ordinal", "b.*", F.when(last, F.col("about")).alias("about"))

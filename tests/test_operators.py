@@ -112,8 +112,9 @@ def test_greedy_groups_against_a_loop(spark):
     rng = random.Random(2)
     cases = [[300, 200, 50, 40, 600, 10, 500, 30, 20], [490, 20, 30], [], [700]] + [[rng.choice([1, 5, 20, 49, 51, 200, 511, 513]) for _ in range(rng.randrange(1, 30))] for _ in range(60)]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k int, t array<int>")
-    for r in df.select("k", C.greedy_groups(F.col("t"), 512, 50).alias("g")).collect():
-        assert r.g == greedy(cases[r.k], 512, 50)
+    running = F.expr("transform(t, (x, i) -> CAST(aggregate(slice(t, 1, i + 1), 0, (a, y) -> a + y) AS BIGINT))")
+    for r in df.select("k", C.greedy_spans(running, 512, 50).alias("g")).collect():
+        assert [list(range(g.first, g.last + 1)) for g in r.g] == greedy(cases[r.k], 512, 50)
     assert greedy(cases[0], 512, 50) == [[0, 1], [2, 3], [4], [5, 6], [7, 8]] and greedy(cases[1], 512, 50) == [[0, 1], [1, 2]]
 
 
@@ -140,7 +141,7 @@ def test_chunk_rendering(spark):
     assert [r.rendered for r in rows] == ["## T", "- a", "| v |", "```None\nc\n```"]
     paragraph = {1: [{"text": " ".join(["w"] * 700)}]}
     sections = T.with_sections(B.canonical_blocks(raw(spark, paragraph)))
-    only = C.chunks(C.heading_paths(sections, T.nodes(sections))).first()
+    only = C.chunks(sections).first()
     assert (len(only.text.split()), only.token_count_est, only.chunk_id) == (680, 510, "chunk-0001")
 
 
@@ -212,9 +213,9 @@ def test_files_to_json(spark, folder, tmp_path):
     d = Documents.from_files(extract.read_files(spark, str(folder)))
     assert {r.path.rsplit("/", 1)[-1]: r.error is None for r in d.parsed.collect()} == {"a.md": True, "b.html": True, "bad.docx": False}
     assert [r.path for r in V.error_issues(d.parsed).collect()] == ["EXTRACT_002"]
-    docs = {json.loads(r.json)["metadata"]["title"]: json.loads(r.json) for r in K.document_json(d.blocks, d.nodes, d.metadata).collect()}
+    docs = {json.loads(r.json)["metadata"]["title"]: json.loads(r.json) for r in K.document_json(d.described).collect()}
     assert [b["text_plain"] for b in docs["a.md"]["blocks"]] == ["A", "text"] and [n["node_id"] for n in docs["a.md"]["structure"]["nodes"]] == ["root", "sec-000"]
-    K.write_documents(K.document_json(d.blocks, d.nodes, d.metadata), str(tmp_path / "out"))
+    K.write_documents(K.document_json(d.described), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 3
     K.write_json_lines(K.alpaca_lines(M.instruction_pairs(d.sections, d.nodes)), str(tmp_path / "pairs"))
     assert {r.instruction for r in spark.read.json(spark.read.json(str(tmp_path / "pairs")).rdd.map(lambda r: r.json)).collect()} == {"Explain: A", "Explain: B"}
@@ -236,10 +237,11 @@ def test_one_shuffle_for_blocks_and_sections(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-def test_a_section_tree_parses_once(spark):
+@pytest.mark.parametrize("name", ["section_tree", "document_json", "embedding_payloads", "chunk_common_path"])
+def test_parses_once(spark, name):
     from docloom import catalog
 
-    df = catalog.QUERIES["section_tree"](spark, "/root/testdata/sf0.001")
+    df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("MapInArrow") == 1
