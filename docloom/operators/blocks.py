@@ -176,6 +176,21 @@ def table_markdown(blocks: DataFrame) -> DataFrame:
     return blocks.where((F.col("type") == "table") & (F.size("rows") > 0)).select("doc_id", "ordinal", out.alias("markdown"))
 
 
+def table_html(blocks: DataFrame) -> DataFrame:
+    """Each table as HTML, with its number in the document: doc_id, ordinal, table_id, html."""
+    def escaped(c: Column) -> Column:
+        return F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def line(cells: Column, tag: str) -> Column:
+        return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit(f"<{tag}>"), escaped(c), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+
+    body = F.array_join(F.transform(F.slice("rows", 2, F.greatest(F.size("rows"), F.lit(1))), lambda r: line(r, "td")), "")
+    html = F.concat(F.lit("<table><thead>"), line(F.col("headers"), "th"), F.lit("</thead><tbody>"), body, F.lit("</tbody></table>"))
+    n = F.row_number().over(by_doc()).cast("string")
+    table_id = F.concat(F.lit("tbl-"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n))
+    return blocks.where((F.col("type") == "table") & (F.size("rows") > 0)).select("doc_id", "ordinal", table_id.alias("table_id"), html.alias("html"))
+
+
 def table_grid(cells: DataFrame) -> DataFrame:
     """Cells (doc_id, table, row, col, text, rowspan, colspan) on a full grid: every covered place has the cell's text.
 

@@ -161,14 +161,34 @@ def completeness(issues: DataFrame) -> DataFrame:
     return issues.groupBy("doc_id").agg((1 - F.least(F.lit(0.5), cost)).alias("completeness"))
 
 
+INLINE = (
+    ("bold", r"\*\*([^*]+)\*\*"),
+    ("italic", r"(?<!\*)\*([^*]+)\*(?!\*)"),
+    ("code", r"`([^`]+)`"),
+    ("highlight", r"==([^=]+)=="),
+    ("strikethrough", r"~~([^~]+)~~"),
+    ("link", r"(\S+) \[((?:https?:|/)[^\]]*)\]"),
+)
+
+
 def inline_marks(blocks: DataFrame) -> DataFrame:
-    """Emphasis, code and links that the plain text marks: doc_id, ordinal, type, text, href."""
-    def marks_of(kind: str, texts: Column) -> Column:
-        return F.transform(texts, lambda t: F.struct(F.lit(kind).alias("type"), t.alias("text"), F.lit(None).cast("string").alias("href")))
-
-    found = []
-    for kind, pattern in (("strong", r"\*\*([^*]+)\*\*"), ("em", r"(?<!\*)\*([^*]+)\*(?!\*)"), ("code", r"`([^`]+)`"), ("mark", r"==([^=]+)=="), ("del", r"~~([^~]+)~~")):
-        found.append(marks_of(kind, F.regexp_extract_all("text_plain", F.lit(pattern), F.lit(1))))
-    links = F.transform(F.regexp_extract_all("text_plain", F.lit(r"\S+ \[((?:https?:|/)[^\]]*)\]"), F.lit(0)), lambda t: F.struct(F.lit("link").alias("type"), F.regexp_extract(t, r"^(\S+)", 1).alias("text"), F.regexp_extract(t, r"\[([^\]]*)\]$", 1).alias("href")))
-    marks = F.explode(F.concat(*found, links))
-    return blocks.where("type = 'paragraph'").select("doc_id", "ordinal", marks.alias("m")).select("doc_id", "ordinal", "m.*")
+    """Emphasis, code and links that a paragraph's plain text marks: doc_id, ordinal, type, start, end (of the whole mark), text, href.
+
+    Offsets need matches with places, so this is an Arrow pass over the paragraphs that hold a mark.
+    """
+    compiled = [(kind, re.compile(p)) for kind, p in INLINE]
+    names = ["doc_id", "ordinal", "type", "start", "end", "text", "href"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, ordinal, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for kind, pattern in compiled:
+                    rows += [(doc_id, ordinal, kind, m.start(), m.end(), m.group(1), m.group(2) if kind == "link" else None) for m in pattern.finditer(text)]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    marked = blocks.where("type = 'paragraph'").where(F.col("text_plain").rlike(r"[*`\[]|==|~~"))
+    schema = "doc_id long, ordinal int, type string, start int, end int, text string, href string"
+    return marked.select(F.col("doc_id").cast("long"), F.col("ordinal").cast("int"), "text_plain").mapInArrow(run, schema)

@@ -32,3 +32,24 @@ def rebuilt(sections: DataFrame) -> DataFrame:
     from docloom.operators.blocks import linked
 
     return linked(sections.drop("prev_chunk_id", "next_chunk_id", "surrounding_text_preview"))
+
+
+def minimal(sections: DataFrame) -> dict[str, DataFrame]:
+    """Chosen blocks as documents: blocks linked anew, and the nodes that own or lead to them, heading map, id map and statistics of these alone.
+
+    Headings that were not chosen keep their nodes, by path, without a title.
+    """
+    from docloom.operators import enrich, structure
+
+    blocks = rebuilt(sections)
+    steps = blocks.select("doc_id", "ordinal", "chunk_id", "type", "text_plain", "node_id", "structure_path", F.posexplode("structure_path").alias("level", "step"))
+    own = F.col("step") == F.col("node_id")
+    tree = steps.groupBy("doc_id", F.col("step").alias("node_id")).agg(
+        F.max(F.slice("structure_path", 1, F.col("level") + 1)).alias("path"),
+        F.max("level").alias("level"),
+        F.coalesce(F.max(F.when(own & (F.col("type") == "heading"), F.col("text_plain"))), F.lit("")).alias("title"),
+        F.array_sort(F.collect_list(F.when(own, F.struct("ordinal", "chunk_id")))).alias("_ids"),
+        F.min(F.when(own, F.col("ordinal"))).alias("first_ordinal"),
+    )
+    tree = tree.withColumn("chunk_ids", F.col("_ids.chunk_id")).drop("_ids").withColumn("parent_id", F.try_element_at("path", F.lit(-2)))
+    return {"blocks": blocks, "nodes": tree, "heading_map": structure.heading_map(tree), "chunk_id_map": structure.chunk_id_map(blocks), "statistics": enrich.statistics(blocks)}

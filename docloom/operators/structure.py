@@ -156,17 +156,46 @@ def paragraph_places(sections: DataFrame) -> DataFrame:
 
 
 def repaired_headings(blocks: DataFrame) -> DataFrame:
-    """`blocks` with repaired_level: levels from the lowest one on, no jump down by more than one from heading to heading;
-    in documents without headings shouted short lines become headings, one level deeper from the eleventh block on.
+    """`blocks` with repaired_level, repaired_text and inferred: headings as they should have been.
+
+    The distinct levels of a document close up from its lowest one on. If none of
+    them is 1, a heading of level 1 is put before the first block (ordinal -1, null
+    in other columns): the first text of more than three characters among headings
+    and paragraphs, 100 of them at most. Paragraphs in capitals under 100
+    characters become headings of level 2; in documents without any heading, those
+    of 11 to 79 characters do, of level 1 among the first ten blocks. A column
+    `style` that calls a paragraph title, subtitle or heading promotes it, too.
     """
-    heading = F.col("type") == "heading"
+    heading, paragraph = F.col("type") == "heading", F.col("type") == "paragraph"
+    text = X.strip("text_plain")
+    style = F.lower("style").isin("title", "subtitle", "heading") if "style" in blocks.columns else F.lit(False)
     any_heading = F.max(heading.cast("int")).over(doc()) == 1
-    base = F.min(F.when(heading, F.col("heading_level"))).over(doc())
-    shouted = X.is_upper("text_plain") & (F.length("text_plain") > 10) & (F.length("text_plain") < 80) & (F.col("type") == "paragraph")
-    promoted = F.least(F.lit(2), 1 + F.floor(F.col("ordinal") / 10)).cast("int")
-    earlier = F.last(F.when(heading, F.col("heading_level")), ignorenulls=True).over(by_doc().rowsBetween(Window.unboundedPreceding, -1))
-    level = F.when(heading, F.least(F.col("heading_level") - base + 1, F.coalesce(earlier - base + 2, F.lit(1)))).when(~any_heading & shouted, promoted)
-    return blocks.withColumn("repaired_level", level)
+    lowest = F.min(F.when(heading, F.col("heading_level"))).over(doc())
+    loud = paragraph & X.is_upper("text_plain")
+    with_others = paragraph & (F.length(text) < 100) & (X.is_upper("text_plain") | F.coalesce(style, F.lit(False)))
+    alone = loud & (F.length(text) > 10) & (F.length(text) < 80)
+    rows = dense_levels(blocks).withColumns({"_any": any_heading, "_low": lowest, "_text": text})
+    promoted = F.when(F.col("_any") & with_others, 2).when(~F.col("_any") & alone, F.least(F.lit(2), 1 + F.floor(F.col("ordinal") / 10)).cast("int"))
+    rows = rows.withColumn("_promoted", promoted)
+    rows = rows.withColumns(
+        {
+            "repaired_level": F.when(heading, F.col("dense_level") + F.col("_low") - 1).otherwise(F.col("_promoted")),
+            "repaired_text": F.when(F.col("_promoted").isNotNull() & X.is_upper("_text"), F.initcap(F.lower("_text"))).otherwise(F.col("text_plain")),
+            "inferred": F.col("_promoted").isNotNull(),
+        }
+    )
+    usable = F.when((heading | paragraph) & (F.length("_text") > 3), F.struct("ordinal", F.substring("_text", 1, 100).alias("t")))
+    rows = rows.withColumns({"_title": F.min(usable).over(doc())["t"], "_first": F.col("ordinal") == F.min("ordinal").over(doc())})
+    # the first block also stands for the title put before it
+    here = F.struct(F.lit(False).alias("title"))
+    rows = rows.withColumn("_is", F.explode(F.when(F.col("_first") & F.col("_any") & (F.col("_low") > 1), F.array(F.struct(F.lit(True).alias("title")), here)).otherwise(F.array(here))))
+    new = {
+        "ordinal": F.lit(-1), "type": F.lit("heading"), "repaired_level": F.lit(1), "repaired_text": F.coalesce("_title", F.lit("Untitled Document")), "inferred": F.lit(True),
+    }
+    out = [F.col("doc_id")]
+    for c in (*(c for c in blocks.columns if c != "doc_id"), "repaired_level", "repaired_text", "inferred"):
+        out.append(F.when(F.col("_is.title"), new.get(c)).otherwise(F.col(c)).alias(c) if c in new else F.when(~F.col("_is.title"), F.col(c)).alias(c))
+    return rows.select(*out)
 
 
 def list_items(blocks: DataFrame) -> DataFrame:

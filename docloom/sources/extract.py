@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -131,6 +131,23 @@ def extract_files(files: DataFrame) -> DataFrame:
     return extract(rows.select(F.xxhash64("path").alias("doc_id"), "path", mime.alias("mime_type"), "content"))
 
 
+def extract_pages(pages: DataFrame, ocr: bool = False) -> DataFrame:
+    """Raw blocks of texts of pages (doc_id, page, text), as a PDF reader or, with `ocr`, a recogniser gives them."""
+    kinds = {"doc_id": pa.int64(), "page": pa.int32(), "raw": to_arrow_type(T.ArrayType(schemas.RAW_BLOCK))}
+    parser = lines.parse_ocr if ocr else lines.parse_page
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, numbers, texts = (c.to_pylist() for c in batch.columns)
+            raw = [[raw_row(b) for b in parser(t or "", n)] for n, t in zip(numbers, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, numbers, raw), kinds.values(), strict=True)], list(kinds))
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("page", T.IntegerType()), T.StructField("raw", T.ArrayType(schemas.RAW_BLOCK))])
+    parsed = pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "text").mapInArrow(run, schema)
+    rows = parsed.select("doc_id", "page", F.posexplode("raw").alias("_at", "b"))
+    return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "_at")) - 1).alias("ordinal"), "b.*")
+
+
 def extract_texts(texts: DataFrame, mime: str, path: str = "") -> DataFrame:
     """`extract` for rows of doc_id and text, all of one format."""
     return extract(texts.select("doc_id", F.lit(path).alias("path"), F.lit(mime).alias("mime_type"), F.col("text").cast("binary").alias("content")))

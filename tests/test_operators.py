@@ -176,8 +176,10 @@ def test_validation_finds_faults(spark):
 
 
 def test_structure_repair_and_scores(spark):
-    b = B.canonical_blocks(raw(spark, {1: [h(2), h(4), h(3)], 2: [{"text": "A SHOUTED TITLE"}, {"text": "text"}]}))
-    assert {(r.doc_id, r.ordinal): r.repaired_level for r in T.repaired_headings(b).collect()} == {(1, 0): 1, (1, 1): 2, (1, 2): 2, (2, 0): 1, (2, 1): None}
+    b = B.canonical_blocks(raw(spark, {1: [h(2), h(4), h(3)], 2: [{"text": "A SHOUTED TITLE"}, {"text": "text"}], 3: [h(1), {"text": "LOUD"}, h(3)]}))
+    got = {(r.doc_id, r.ordinal): r.repaired_level for r in T.repaired_headings(b).collect()}
+    assert got == {(1, -1): 1, (1, 0): 2, (1, 1): 4, (1, 2): 3, (2, 0): 1, (2, 1): None, (3, 0): 1, (3, 1): 2, (3, 2): 2}
+    b = b.where("doc_id < 3")
     assert {r.doc_id: round(r.structure_score, 6) for r in E.structure_scores(b).collect()} == {1: round(1 - 0.5 / 3, 6), 2: 0.3}
 
 
@@ -194,7 +196,7 @@ def test_derivations_on_small_documents(spark):
     t = M.table_texts(s).first()
     assert t.description == "after" and [json.loads(x) for x in t.records] == [{"k": "a", "v": "1"}, {"k": "b"}]
     assert E.footnote_links(s).first().referenced_by == "blk-006"
-    assert {(r.type, r.text, r.href) for r in E.inline_marks(s).collect()} == {("strong", "bold", None), ("link", "text", "https://x.y")}
+    assert {(r.type, r.start, r.end, r.text, r.href) for r in E.inline_marks(s).collect()} == {("bold", 10, 18, "bold", None), ("link", 19, 37, "text", "https://x.y")}
     assert {r.chunk_id for r in Q.by_keyword(s, "CITED").collect()} == {"blk-006"}
     assert B.table_markdown(s).first().markdown == "| k | v |\n| --- | --- |\n| a | 1 |\n| b |"
 
