@@ -163,7 +163,7 @@ def ocr_blocks(s, d):
 
 # ------------------------------------------------------------------ HTML
 
-_HTML = """<html><head><title> {name} </title><meta name="description" content="Part {k}"><meta property="og:title" content="OG {brand}"><script>var x = "{k}";</script></head>
+_HTML = """<html><head><title> {name} </title><meta name="description" content="Part {k}"><meta name="keywords" content="{kind}, spare ,"><meta property="og:title" content="OG {brand}"><script>var x = "{k}";</script></head>
 <body><nav><p>menu {k}</p></nav><main>
 <h2>{name} <em>guide</em></h2>
 <p>Uses <strong>{brand}</strong>, <code>x{k}</code>, <a href="https://e.org/{k}">link</a>, <a href="#top">top</a>, <del>old</del> <mark>new</mark> <abbr title="as is">a.i.</abbr><br>end <img alt="pic"></p>
@@ -241,6 +241,29 @@ def inline_elements(s, d):
     return r.select("doc_id", "ordinal", "type", "text", "href", F.col("start").cast("long").alias("start_char"), F.col("end").cast("long").alias("end_char"))
 
 
+@query(f"WITH {PART} SELECT doc_id, 'unknown' AS doc_type, [kind, 'spare'] AS keywords, NULL :: VARCHAR AS license, true AS open_access FROM p", lists=("keywords",))
+def classification_and_rights(s, d):
+    m = _html(s, d).metadata
+    return m.select("doc_id", "classification.doc_type", "classification.keywords", "rights.license", "rights.open_access")
+
+
+@query(
+    f"""WITH {PART} SELECT doc_id, x.* FROM p, LATERAL (VALUES
+      ('heading', 'level', '2'), ('paragraph', 'text', {filled_sql(_HTML_TEXT)}), ('list', 'list_type', 'unordered'), ('list', 'items[1].text', 'inner ' || size), ('table', 'headers[1]', 'a < b'), ('table', 'rows[0][1]', size),
+      ('table', 'column_count', '2'), ('code_block', 'lines[0].text', 'select ' || k), ('code_block', 'language', 'sql'), ('quote', 'text', 'said ' || kind), ('image_placeholder', 'image_id', 'img-006'),
+      ('image_placeholder', 'image_uri', '/i/' || k || '.png'), ('definition_list', 'items[0].definition', 'Meaning ' || size), ('figure', 'caption', 'Figure ' || k)) x(type, field, said)"""
+)
+def block_content(s, d):
+    """Fields of the content of each type of block, out of its JSON."""
+    asked = (
+        ("heading", "level"), ("paragraph", "text"), ("list", "list_type"), ("list", "items[1].text"), ("table", "headers[1]"), ("table", "rows[0][1]"), ("table", "column_count"), ("code_block", "lines[0].text"),
+        ("code_block", "language"), ("quote", "text"), ("image_placeholder", "image_id"), ("image_placeholder", "image_uri"), ("definition_list", "items[0].definition"), ("figure", "caption"),
+    )
+    got = [F.struct(F.lit(t).alias("of"), F.lit(f).alias("field"), F.get_json_object("content", f"$.{f}").alias("said")) for t, f in asked]
+    b = B.with_content(_html(s, d).blocks.where("type <> 'paragraph' OR ordinal = 1"))
+    return b.select("doc_id", "type", F.explode(F.array(*got)).alias("x")).where("x.of = type").select("doc_id", "type", "x.field", "x.said")
+
+
 # ------------------------------------------------------------------ files
 
 _KIND = ["epub", "docx", "broken", "xlsx", "odt", "zip"]
@@ -323,6 +346,24 @@ def encodings(s, d):
     return found.join(Documents(extract.extract(files)).blocks.select("doc_id", F.col("text_plain").alias("text")), "doc_id").select(F.col("doc_id").cast("int"), "encoding", "text")
 
 
+@query("SELECT n_nationkey AS doc_id, ['application/rtf', 'text/csv', 'text/html', 'text/markdown'][n_nationkey % 4 + 1] AS mime, CASE WHEN n_nationkey % 4 = 2 THEN n_name ELSE '<p>' || n_name || '</p>' END AS text FROM nation")
+def format_router(s, d):
+    """Each format goes to its parser; one that has none is read as text."""
+    mime = F.get(F.array(*map(F.lit, ("application/rtf", "text/csv", "text/html", "text/markdown"))), (F.col("n_nationkey") % 4).cast("int"))
+    content = F.concat(F.lit("<p>"), F.col("n_name"), F.lit("</p>")).cast("binary")
+    files = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.lit("").alias("path"), mime.alias("mime_type"), content.alias("content"))
+    docs = Documents(extract.extract(files))
+    return docs.blocks.join(docs.parsed.select("doc_id", F.col("mime_type").alias("mime")), "doc_id").select(F.col("doc_id").cast("int"), "mime", F.col("text_plain").alias("text"))
+
+
+@query("SELECT l_orderkey AS doc_id, 2 * count(*) FILTER (l_quantity < 25 AND l_linenumber % 2 = 0) > count(*) AS scanned FROM lineitem GROUP BY l_orderkey")
+def scanned_files(s, d):
+    """Orders as files, their line items as pages: quantities as numbers of characters, even ones with an image."""
+    row = F.struct((F.col("l_quantity") * 2).cast("int").alias("chars"), (F.col("l_linenumber") % 2 == 0).cast("int").alias("images"))
+    pages = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(row).alias("p"))
+    return pages.select("doc_id", D.is_scanned(F.col("p.chars"), F.col("p.images")).alias("scanned"))
+
+
 # ------------------------------------------------------------------ references, footnotes, repair, scores
 
 
@@ -367,6 +408,19 @@ def heading_inference(s, d):
     return T.repaired_headings(blocks).select("doc_id", "ordinal", F.col("repaired_level").alias("level"), F.col("repaired_text").alias("text"), "inferred")
 
 
+@query(block_sql([("root", "Before {k}", 0), ("sec-000", "3.{size} Low", 2), ("sec-001", "IV. High", 1)], ("node_id", "title", "level")))
+def root_titles(s, d):
+    """A root takes the first block's text as its title where the first heading is not of the first level."""
+    blocks = _made(s, d, ("paragraph", "Before {k}", None), ("heading", "3.{size} Low", 4), ("heading", "IV. High", 2))
+    return T.nodes(T.with_sections(blocks)).select("doc_id", "node_id", "title", "level")
+
+
+@query(block_sql([(0, "3.{size}"), (1, "IV"), (2, None)], ("ordinal", "label")))
+def heading_labels(s, d):
+    blocks = _made(s, d, ("heading", "3.{size} Low", 4), ("heading", "IV. High", 2), ("heading", "{name}", 3))
+    return blocks.select("doc_id", "ordinal", F.col("heading_label").alias("label"))
+
+
 @query("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, round(1 - least(0.5, 0.2 * count(*) FILTER (n_nationkey % 3 = 0) + 0.05 * count(*) FILTER (n_nationkey % 3 = 1)), 6) :: DOUBLE AS completeness FROM nation GROUP BY n_regionkey")
 def completeness(s, d):
     severity = F.get(F.array(*map(F.lit, ("error", "warning", "info"))), (F.col("n_nationkey") % 3).cast("int"))

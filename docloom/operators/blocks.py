@@ -147,6 +147,39 @@ def canonical_blocks(raw: DataFrame) -> DataFrame:
     return with_parent_heading(linked(counted(merge_labels(base_blocks(raw)))))
 
 
+def with_content(blocks: DataFrame) -> DataFrame:
+    """`blocks` with content: the fields of each one's type as a JSON object, {} for dividers, the text for other types."""
+
+    def fields(**columns: Column | str) -> Column:
+        return F.to_json(F.struct(*[(F.lit(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]), {"ignoreNullFields": "false"})
+
+    text, none, no_rows = F.col("text_plain"), F.lit(None).cast("string"), F.array().cast("array<array<string>>")
+    rows = F.coalesce("rows", no_rows)
+    lines = F.transform(F.split("text_original", "\n"), lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("text")))
+    names = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("functions", "classes", "imports")}
+    number = F.col("ordinal").cast("string")
+    image_id = F.concat(F.lit("img-"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))
+    of_type = {
+        "heading": fields(text=text, level=F.col("heading_level"), numbered=F.col("heading_label").isNotNull(), label=F.col("heading_label")),
+        "paragraph": fields(text=text, sentences=X.sentences("text_plain")),
+        "code_block": fields(code=F.col("text_original"), language=F.col("language"), filename=F.col("filename"), line_numbers=F.lit(False), lines=lines, line_count=F.col("line_count"), **names),
+        "list": fields(list_type=F.when(F.col("ordered"), "ordered").otherwise("unordered"), items=F.col("items")),
+        "table": fields(
+            headers=F.col("headers"), rows=F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), cells=rows, row_count=F.col("row_count"),
+            header_row_count=(F.size("headers") > 0).cast("int"), column_count=F.col("column_count"),
+        ),
+        "definition_list": fields(items=F.col("definitions")),
+        "quote": fields(text=text, attribution=none, source=none, cite_chunk_id=none),
+        "image_placeholder": fields(image_id=image_id, image_uri=F.coalesce("src", F.lit("")), alt_text=F.coalesce("alt", F.lit(""))),
+        "figure": fields(image_uri=F.coalesce("src", F.lit("")), alt_text=F.coalesce("alt", F.lit("")), caption=F.col("caption")),
+        "divider": F.lit("{}"),
+    }
+    out = fields(text=text)
+    for kind, made in of_type.items():
+        out = F.when(F.col("type") == kind, made).otherwise(out)
+    return blocks.withColumn("content", out)
+
+
 def paragraph_groups(blocks: DataFrame) -> DataFrame:
     """Runs of two or more paragraphs in a row as one text: doc_id, first and last ordinal, n_paragraphs, text."""
     is_p = F.col("type") == "paragraph"

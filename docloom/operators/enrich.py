@@ -125,6 +125,10 @@ def described(parsed: DataFrame) -> DataFrame:
         "language_confidence": F.when(several, 0.95).otherwise(0.99),
         "declared_language": first("language"),
         "page_count": F.coalesce(first("page_count").cast("int"), F.lit(0)),
+        "classification": F.struct(
+            F.coalesce(first("doc_type"), F.lit("unknown")).alias("doc_type"), first("genre").alias("genre"), F.filter(F.transform(F.split(F.coalesce(first("keywords"), F.lit("")), ","), X.strip), lambda k: k != "").alias("keywords")
+        ),
+        "rights": F.struct(first("license").alias("license"), first("copyright").alias("copyright"), F.lit(True).alias("open_access")),
         "error": F.col("error"),
     }
     return parsed.withColumn("about", F.struct(*[c.alias(n) for n, c in fields.items()]))

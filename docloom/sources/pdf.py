@@ -9,20 +9,41 @@ from docloom.sources.lines import parse_ocr, parse_page
 OCR_DPI = 200
 
 
-def page_texts(raw: bytes) -> list[tuple[str, list]] | None:
+# The passwords that an encrypted file is tried with.
+PASSWORDS = ("", "password", "123456")
+
+
+class Encrypted(ValueError):
+    """No known password opens the file."""
+
+
+def _tried(opens, password: str | None):
+    """What `opens` gives for the first password that it takes; readers raise for one that is wrong."""
+    for p in (password,) if password else PASSWORDS:
+        try:
+            return opens(p)
+        except Exception as e:
+            if "password" not in f"{type(e).__name__} {e!r}".lower():
+                raise
+    raise Encrypted("file is encrypted: a password is required")
+
+
+def page_texts(raw: bytes, password: str | None = None) -> list[tuple[str, list]] | None:
     """(text, tables) of each page by the first reader that is installed; None without one."""
     try:
         import pdfplumber
     except ImportError:
         pdfplumber = None
     if pdfplumber:
-        with pdfplumber.open(BytesIO(raw)) as pdf:
+        with _tried(lambda p: pdfplumber.open(BytesIO(raw), password=p), password) as pdf:
             return [(p.extract_text() or "", p.extract_tables() or []) for p in pdf.pages]
     try:
         import fitz
     except ImportError:
         return None
     with fitz.open(stream=raw, filetype="pdf") as pdf:
+        if pdf.needs_pass and not any(pdf.authenticate(p) for p in ((password,) if password else PASSWORDS)):
+            raise Encrypted("file is encrypted: a password is required")
         return [(p.get_text(), []) for p in pdf]
 
 

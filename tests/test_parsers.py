@@ -169,3 +169,45 @@ def test_raw_rows_keep_originals():
     assert row["text"] == "fi x" and row["text_original"] == "ﬁ  x" and row["confidence"] == 0.95
     nested = raw_row(html.parse_html("<ol><li>p<ul><li>q</li></ul></li><li>r</li></ol>")[0][0])
     assert [(i["text"], i["depth"]) for i in nested["items"]] == [("p", 0), ("q", 1), ("r", 0)]
+
+
+def test_encrypted_pdfs_are_tried_with_known_passwords(monkeypatch):
+    import sys
+    import types
+
+    from docloom.sources import pdf
+
+    class Page:
+        def extract_text(self):
+            return "A sentence of the page."
+
+        def extract_tables(self):
+            return [[["k", None]]]
+
+    class File:
+        pages = [Page()]
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+    class PDFPasswordIncorrect(Exception):
+        pass
+
+    def opens(stream, password):
+        if password != stream.read().decode():
+            raise PDFPasswordIncorrect
+        return File()
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=opens))
+    blocks, meta = pdf.parse_pdf(b"123456")
+    assert [(b["type"], b.get("text"), b.get("rows"), b["page_number"]) for b in blocks] == [("paragraph", "A sentence of the page.", None, 1), ("table", None, [["k", ""]], 1)]
+    assert meta == {"page_count": 1}
+    with pytest.raises(pdf.Encrypted, match="encrypted"):
+        pdf.parse_pdf(b"secret")
+    assert pdf.page_texts(b"secret", "secret")
+    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=lambda stream, password: 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        pdf.parse_pdf(b"")
