@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions import constants as K
-from docloom.functions.text import strip
+from docloom.functions.text import WS
 
 SAMPLE = 8192
 
@@ -85,7 +85,7 @@ def is_text(content: Column) -> Column:
 
 def text_kind(text: Column) -> Column:
     """Markdown, HTML, CSV or plain text by content: the caller gives the sample that detection reads."""
-    lines = F.split(text, "\n")
+    lines = F.split(text, "\n", 51)
 
     def marked(line: Column) -> Column:
         out = F.lit(False)
@@ -94,13 +94,10 @@ def text_kind(text: Column) -> Column:
         return out
 
     low = F.lower(text)
-    rows = F.filter(F.transform(lines, strip), lambda x: x != "")
-
-    def commas(k: int) -> Column:
-        row = F.try_element_at(rows, F.lit(k))
-        return F.length(row) - F.length(F.replace(row, F.lit(","), F.lit("")))
-
-    csv = (F.size(rows) > 1) & (commas(1) > 1) & (commas(2) == commas(1))
+    # the first two lines that are not blank, without a look at the others
+    rows = [F.regexp_extract(text, f"\\A[{WS}]*+{before}([^\\n]++)", 1) for before in ("", f"[^\\n]++\\n[{WS}]*+")]
+    commas = [F.length(r) - F.length(F.replace(r, F.lit(","), F.lit(""))) for r in rows]
+    csv = (commas[0] > 1) & (commas[1] == commas[0])
     return (
         F.when(F.exists(F.slice(lines, 1, 50), marked), "text/markdown")
         .when(low.contains("<html") | low.contains("<!doctype html"), "text/html")
