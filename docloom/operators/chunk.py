@@ -36,7 +36,8 @@ def greedy_spans(running: Column, max_tokens: int, overlap: int, split_oversize:
 
     A block over the limit stands alone. A group that would pass the limit
     closes, and the next one starts with its trailing blocks within the overlap.
-    Groups are runs, so the fold keeps where the open one began and no more.
+    Groups are runs, so the fold keeps where the open one began, and the two ends
+    of each closed one, a list that is copied whenever a group closes.
     """
     span = lambda a, z: F.array(F.struct(a.cast("int").alias("first"), z.cast("int").alias("last")))
     upto = lambda k: F.coalesce(F.get(running, k - 1), F.lit(0))
