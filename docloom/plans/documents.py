@@ -22,8 +22,8 @@ class Documents:
         return cls(extract.extract_files(files))
 
     @classmethod
-    def from_texts(cls, texts: DataFrame, mime: str = "text/plain", path: str = "") -> Documents:
-        return cls(extract.extract_texts(texts, mime, path))
+    def from_texts(cls, texts: DataFrame, mime: str = "text/plain", path: str = "", closed_references: bool = False) -> Documents:
+        return cls(extract.extract_texts(texts, mime, path, closed_references))
 
     @cached_property
     def raw(self) -> DataFrame:

@@ -48,6 +48,20 @@ def test_query(spark, duck, name):
     assert got == sorted(repr([plain(r[k]) for k in at]) for r in result.fetchall())
 
 
+@pytest.mark.parametrize("name", ["html_headings"])
+def test_pages_with_cut_references(spark, tmp_path, name):
+    """Titles that end within a reference, as the larger tables have them."""
+    con = duckdb.connect()
+    titles = ["a &amp;&amp", "b &lt", "c &am", "d &amp;lt;", "e &quot;&#39;&#39", "f &"]
+    page = "<html><head><title>{0}</title></head><body><article><h1>{0}</h1><p>x</article></body></html>"
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, 'u', ?)", [(k, page.format(t)) for k, t in enumerate(titles)])
+    con.execute(f"COPY pages TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    result = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(result)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

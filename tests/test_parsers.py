@@ -118,6 +118,17 @@ def test_html_trees_are_lenient():
     assert html.tree(deep).text() == "x"
 
 
+def test_html_references_without_semicolon():
+    page = '<title>a &amp;&amp b</title><p id="x&lt">&copy=2 &ampx; &foo; &#39;&#39 &lt;b&gt; <![CDATA[&amp;]]>\ue000</p>&'
+    assert html.parse_html(page)[1] == {"title": "a && b"}
+    blocks, meta = html.parse_html(page, closed_references=True)
+    assert meta == {"title": "a &&amp b"}
+    assert blocks[0]["text"] == "&copy=2 &ampx; &foo; '&#39 <b> &amp;\ue000"
+    root = html.tree(page + "<p&amp &amp>y</p&amp>z", closed_references=True)
+    assert root.find("p").attrs == {"id": "x&lt"} and root.find("p&amp").attrs == {"&amp": ""}
+    assert root.find("p&amp").text() == "y" and root.children[-1] == "z"
+
+
 def archive(**members):
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
