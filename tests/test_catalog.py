@@ -48,7 +48,7 @@ def test_query(spark, duck, name):
     assert got == sorted(repr([plain(r[k]) for k in at]) for r in result.fetchall())
 
 
-@pytest.mark.parametrize("name", ["html_headings"])
+@pytest.mark.parametrize("name", ["html_headings", "html_title"])
 def test_pages_with_cut_references(spark, tmp_path, name):
     """Titles that end within a reference, as the larger tables have them."""
     con = duckdb.connect()
