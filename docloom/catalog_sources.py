@@ -25,9 +25,13 @@ from docloom.sources import extract
 PART = "p AS (SELECT CAST(p_partkey AS BIGINT) AS doc_id, CAST(p_partkey AS VARCHAR) AS k, p_name AS name, p_brand AS brand, p_type AS kind, CAST(p_size AS VARCHAR) AS size FROM part)"
 
 
+#: Tasks for each core that the rows of `part` are dealt to: a file of a few MB holds a million documents, and comes as one or two tasks.
+TASKS = 4
+
+
 def parts(s, d) -> DataFrame:
     cast = {"doc_id": F.col("p_partkey").cast("long"), "k": F.col("p_partkey").cast("string"), "name": F.col("p_name"), "brand": F.col("p_brand"), "kind": F.col("p_type"), "size": F.col("p_size").cast("string")}
-    return table(s, d, "part").select(*[c.alias(n) for n, c in cast.items()])
+    return table(s, d, "part").select(*[c.alias(n) for n, c in cast.items()]).repartition(TASKS * s.sparkContext.defaultParallelism, "doc_id")
 
 
 def filled(template: str) -> Column:
@@ -181,8 +185,12 @@ _HTML = """<html><head><title> {name} </title><meta name="description" content="
 _HTML_TEXT = "Uses **{brand}**, `x{k}`, link [https://e.org/{k}], top, ~~old~~ ==new== a.i. (as is)\nend [Image: pic]"
 
 
+def _html_texts(s, d) -> DataFrame:
+    return parts(s, d).select("doc_id", filled(_HTML).alias("text"))
+
+
 def _html(s, d) -> Documents:
-    return Documents.from_texts(parts(s, d).select("doc_id", filled(_HTML).alias("text")), "text/html")
+    return Documents.from_texts(_html_texts(s, d), "text/html")
 
 
 @query(
@@ -211,7 +219,8 @@ def html_elements(s, d):
 @query(f"WITH {PART} SELECT doc_id, name AS title, 'Part ' || k AS description, 'OG ' || brand AS og_title FROM p")
 def html_metadata(s, d):
     m = F.col("meta")
-    return _html(s, d).parsed.select("doc_id", m["title"].alias("title"), m["description"].alias("description"), m["og_title"].alias("og_title"))
+    parsed = extract.extract_texts(_html_texts(s, d), "text/html", blocks=False)
+    return parsed.select("doc_id", m["title"].alias("title"), m["description"].alias("description"), m["og_title"].alias("og_title"))
 
 
 @query(f"WITH {PART} SELECT doc_id, i AS item, ['one', 'inner ' || size, 'two'][i + 1] AS text, [0, 1, 0][i + 1] AS depth, [[0], [0, 1], [2]][i + 1] AS item_path FROM p, (VALUES (0), (1), (2)) v(i)", lists=("item_path",))

@@ -61,13 +61,15 @@ def raw_row(block: dict) -> dict[str, Any]:
     return row
 
 
-def parse(mime: str, content: bytes, path: str, closed_references: bool = False) -> tuple[list[dict], dict]:
+def parse(mime: str, content: bytes, path: str, closed_references: bool = False, blocks: bool = True) -> tuple[list[dict], dict]:
     if mime == "application/pdf":
         return pdf.parse_pdf(content)
     if mime == K.EPUB:
         return archives.parse_epub(content)
     if mime == K.DOCX:
         return archives.parse_docx(content)
+    if mime == "text/html" and not blocks:
+        return [], html.parse_metadata(content.decode("utf-8", "replace"), closed_references)
     if mime == "text/html":
         return html.parse_html(content.decode("utf-8", "replace"), closed_references=closed_references)
     return lines.parse_text(lines.decode(content), path)
@@ -93,12 +95,13 @@ PARSED = T.StructType(
 )
 
 
-def extract(files: DataFrame, max_bytes: int | None = None, closed_references: bool = False) -> DataFrame:
+def extract(files: DataFrame, max_bytes: int | None = None, closed_references: bool = False, blocks: bool = True) -> DataFrame:
     """doc_id, path, mime_type, meta, raw (array of raw blocks), error for each row of doc_id, path, mime_type, content.
 
     A file that cannot be parsed gives no blocks and an error; it never fails the
     job. Files of any size are parsed, unless `max_bytes` sets a limit. HTML pages
-    are read with `closed_references` as `html.tree` defines it.
+    are read with `closed_references` as `html.tree` defines it. Without `blocks`
+    the whole documents are parsed for their metadata, and raw is empty.
     """
     spark = files.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -113,8 +116,8 @@ def extract(files: DataFrame, max_bytes: int | None = None, closed_references: b
                 try:
                     if max_bytes is not None and content is not None and len(content) > max_bytes:
                         raise ValueError("EXTRACT_SIZE: file too large")
-                    found, meta = parse(mime or "text/plain", content or b"", path or "", closed_references)
-                    raw = [raw_row(b) for b in found]
+                    found, meta = parse(mime or "text/plain", content or b"", path or "", closed_references, blocks)
+                    raw = [raw_row(b) for b in found] if blocks else []
                 except Exception as e:  # one bad file must not end the job
                     error = f"{type(e).__name__}: {e}"
                 for k, v in (("doc_id", doc_id), ("path", path), ("mime_type", mime), ("meta", _flat(meta)), ("raw", raw), ("error", error)):
@@ -149,10 +152,10 @@ def extract_pages(pages: DataFrame, ocr: bool = False) -> DataFrame:
     return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "_at")) - 1).alias("ordinal"), "b.*")
 
 
-def extract_texts(texts: DataFrame, mime: str, path: str = "", closed_references: bool = False) -> DataFrame:
+def extract_texts(texts: DataFrame, mime: str, path: str = "", closed_references: bool = False, blocks: bool = True) -> DataFrame:
     """`extract` for rows of doc_id and text, all of one format."""
     files = texts.select("doc_id", F.lit(path).alias("path"), F.lit(mime).alias("mime_type"), F.col("text").cast("binary").alias("content"))
-    return extract(files, closed_references=closed_references)
+    return extract(files, closed_references=closed_references, blocks=blocks)
 
 
 def raw_blocks(parsed: DataFrame) -> DataFrame:

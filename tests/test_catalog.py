@@ -62,6 +62,17 @@ def test_pages_with_cut_references(spark, tmp_path, name):
     assert sorted(map(tuple, df.collect())) == sorted(result)
 
 
+def test_html_metadata_is_dealt_out(spark, monkeypatch):
+    """The parser's tasks do not follow the size of the file of `part`, and it makes no blocks for metadata alone."""
+    from docloom.catalog_sources import TASKS
+    from docloom.sources import extract
+
+    monkeypatch.setattr(extract.html, "parse_html", None)
+    df = catalog.QUERIES["html_metadata"](spark, DATA)
+    assert df.rdd.getNumPartitions() == TASKS * spark.sparkContext.defaultParallelism
+    assert extract.parse("text/html", b"<title>t</title><p>x", "", blocks=False) == ([], {"title": "t"})
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

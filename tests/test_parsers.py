@@ -111,6 +111,11 @@ def test_html():
     assert html.parse_html("<p>漢字</p>")[1]["multilingual"] is True
 
 
+@pytest.mark.parametrize("page", [PAGE, "", "<p>漢字</p>", "<p>&#x6f22;</p>", "<nav>漢字</nav>x", "<body><p>a<title> b </title><meta name=AUTHOR content=c><div>漢"])
+def test_html_metadata_without_blocks(page):
+    assert html.parse_metadata(page) == html.parse_html(page)[1]
+
+
 def test_html_trees_are_lenient():
     assert brief(html.parse_html("<article><h1>A</h1><p><b>x<p>y</article>")[0]) == [("h", 1, "A"), ("paragraph", "xy")]
     assert html.parse_html("</p><p>a</i></p>")[0][0]["text"] == "a"
