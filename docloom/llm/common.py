@@ -86,6 +86,15 @@ def trim_driver(spark: SparkSession) -> None:
         return
 
 
+def shrink_driver(spark: SparkSession) -> None:
+    """Where the driver's heap has grown beyond half of its limit, collect it: it shrinks, and Spark removes broadcasts and shuffles that nothing refers to."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
+
+
 class Scratch:
     """Written tables that cut lineage: each survives the loss of any executor.
 
@@ -103,7 +112,7 @@ class Scratch:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         self.kept.add(name)
-        trim_driver(self.spark)
+        shrink_driver(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -104,7 +104,10 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def model_table(counts: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, own, rest for every n-gram: its discounted probability after its context, and the weight that it, as a context, leaves to the lower order."""
+    """key, own, rest for every n-gram: its discounted probability after its context, and the weight that it, as a context, leaves to the lower order.
+
+    Each order is written by itself: all in one plan would have the driver hold the tasks and shuffles of some twenty stages at once.
+    """
     parts = []
     for n in range(ORDER, 0, -1):
         d1, d2, d3 = discounts(counts)
@@ -113,7 +116,7 @@ def model_table(counts: DataFrame, scratch: Scratch) -> DataFrame:
         contexts = rows.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
         own = rows.join(contexts, "h").select((F.col("x").bitwiseOR(F.lit(n << 8 * ORDER))).alias("key"), ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), F.lit(None).cast("double").alias("rest"))
         rest = contexts.select((F.col("h").bitwiseOR(F.lit((n - 1) << 8 * ORDER))).alias("key"), F.lit(None).cast("double").alias("own"), (F.col("left") / F.col("total")).alias("rest"))
-        parts += [own, rest]
+        parts.append(scratch.table(own.unionByName(rest), f"order{n}"))
         if n > 1:
             # lower orders count the distinct n-grams that end with them
             suffix = F.col("x").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))
@@ -139,6 +142,11 @@ def probabilities(codes: np.ndarray, keys: np.ndarray, own: np.ndarray, rest: np
     return np.log(p(codes, ORDER))
 
 
+def steps() -> list[str]:
+    """The scratch tables that `model_table` leaves."""
+    return [f"counts{n}" for n in range(1, ORDER)] + [f"order{n}" for n in range(1, ORDER + 1)]
+
+
 def prime(n: int) -> int:
     n = max(3, n | 1)
     while any(n % k == 0 for k in range(3, int(n**0.5) + 1, 2)):
@@ -203,7 +211,7 @@ def train(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
         counts = scratch.table(count_table(passed.join(learn, "doc_id", "left_semi").select("packed")), "counts")
     model = scratch.table(model_table(counts, scratch), "model")
     del passed, counts
-    scratch.release(*[f"counts{n}" for n in range(1, ORDER)])
+    scratch.release(*steps())
     return model
 
 
@@ -226,7 +234,7 @@ def out_of_fold(docs: DataFrame, ids: DataFrame, counts: DataFrame, scratch: Scr
         model = scratch.table(model_table(scratch.table(c, "fold_counts"), scratch), "fold_model")
         out[fold] = scratch.table(perplexities(rows, model, scratch), f"out{fold}")
         del rows, less, c, model
-        scratch.release("fold_counts", "fold_model", *[f"counts{n}" for n in range(1, ORDER)])
+        scratch.release("fold_counts", "fold_model", *steps())
     del mine, own
     scratch.release("small", "small0")
     return out

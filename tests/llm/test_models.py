@@ -341,3 +341,29 @@ def test_filter_holds_every_id(spark):
     with found.shared() as bits:
         places = np.array([r[0] for r in ids.select(found.place("id")).collect()])
         assert len(np.flatnonzero(bits.value[places >> 5] >> (places & 31).astype(np.uint32) & 1)) == 10_000
+
+
+def test_orders_of_the_model_are_planned_apart(spark, table):
+    """The driver holds the stages of one order at a time, and the last plan only reads what they wrote."""
+    scratch = Scratch(spark, "test-orders")
+    counts = scratch.table(spark.range(1000).select(F.col("id").alias("x"), (F.col("id") % 5 + 1).alias("c")), "counts")
+    plan = kneserney.model_table(counts, scratch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert {f"order{n}" for n in range(1, kneserney.ORDER + 1)} < scratch.kept
+    scratch.release("counts", *kneserney.steps())
+    assert not scratch.kept
+
+
+def test_a_grown_heap_is_collected(monkeypatch):
+    """The driver's heap is collected after a written table once it takes more than half of its limit."""
+    from types import SimpleNamespace as S
+
+    from docloom.llm import common
+
+    monkeypatch.setattr(common, "trim_driver", lambda spark: None)
+    done = []
+    for total in (400, 600):
+        runtime = S(totalMemory=lambda total=total: total, maxMemory=lambda: 1000)
+        jvm = S(java=S(lang=S(Runtime=S(getRuntime=lambda r=runtime: r))), System=S(gc=lambda total=total: done.append(total)))
+        common.shrink_driver(S(sparkContext=S(_jvm=jvm)))
+    assert done == [600]
