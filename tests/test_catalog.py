@@ -62,6 +62,18 @@ def test_pages_with_cut_references(spark, tmp_path, name):
     assert sorted(map(tuple, df.collect())) == sorted(result)
 
 
+def test_titles_with_markup(spark, tmp_path):
+    """A title is text up to its end tag, whatever it holds."""
+    con = duckdb.connect()
+    titles = ["a < b", "a <b", "a <b>c</b> d", "1<2 &amp; 3 > 2", "a <!-- b --> c", "a</b>c", "<![CDATA[q]]>", "x <?y?> z", "a<br/>b", "a <script>b</script> c", " a &lt;i&gt; <i> &am", "</"]
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, 'u', ?)", [(k, f"<html><head><title>{t}</title></head><body><p>x</body></html>") for k, t in enumerate(titles)])
+    con.execute(f"COPY pages TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
+    df = catalog.QUERIES["html_title"](spark, str(tmp_path))
+    result = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES['html_title']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(result)
+
+
 def test_html_metadata_is_dealt_out(spark, monkeypatch):
     """The parser's tasks do not follow the size of the file of `part`, and it makes no blocks for metadata alone."""
     from docloom.catalog_sources import TASKS

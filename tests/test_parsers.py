@@ -134,6 +134,14 @@ def test_html_references_without_semicolon():
     assert root.find("p&amp").text() == "y" and root.children[-1] == "z"
 
 
+def test_html_titles_hold_no_markup():
+    blocks, meta = html.parse_html("<head><TITLE>a &lt;b <p>c</p></Title ></head><body><p>d &amp; <b>e</b>")
+    assert meta == {"title": "a <b <p>c</p>"} and [b["text"] for b in blocks] == ["d & e"]
+    blocks, meta = html.parse_html("<title>a<title>b<article><p>c</p></article>")
+    assert meta == {"title": "a"} and [b["text"] for b in blocks] == ["c"]
+    assert html.parse_html("<title/><p>c</p><title>t</title>")[1] == {"title": ""}
+
+
 def archive(**members):
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
